@@ -72,11 +72,13 @@ BUILDING_TYPES_RUSSIAN = {
 }
 
 
-def template(key: str, lang: Column) -> Column:
+def template(key: str, lang: Column | str) -> Column:
+    if isinstance(lang, str):
+        return F.lit((RUSSIAN if lang == "ru" else ENGLISH)[key])
     return F.when(lang == "ru", RUSSIAN[key]).otherwise(ENGLISH[key])
 
 
-def label(key: str, lang: Column, **values: Column) -> Column:
+def label(key: str, lang: Column | str, **values: Column) -> Column:
     """One evidence label with its placeholders filled."""
     text = template(key, lang)
     for name, value in values.items():
@@ -91,14 +93,16 @@ def localize(key: Column, lang: Column) -> Column:
     return F.when(lang == "ru", lookup(RUSSIAN)).otherwise(lookup(ENGLISH))
 
 
-def building_type_name(kind: Column, lang: Column) -> Column:
+def building_type_name(kind: Column, lang: str) -> Column:
+    if lang != "ru":
+        return kind
     names = F.create_map(*[F.lit(x) for pair in BUILDING_TYPES_RUSSIAN.items() for x in pair])
-    return F.when(lang == "ru", F.coalesce(F.element_at(names, kind), kind)).otherwise(kind)
+    return F.coalesce(F.element_at(names, kind), kind)
 
 
-def format_distance(meters: Column, lang: Column) -> Column:
-    """Nearest 10 m below a kilometre, else kilometres with one decimal."""
-    short = F.format_string("%d", (F.bround(meters / 10, 0) * 10).cast("bigint"))
-    long = F.format_string("%.1f", F.bround(meters / 1000, 1))
-    return F.when(meters < 1000, F.concat(short, F.when(lang == "ru", " м").otherwise(" m"))).otherwise(
-        F.concat(long, F.when(lang == "ru", " км").otherwise(" km")))
+def format_distance(meters: Column, lang: str) -> Column:
+    """Nearest 10 m below a kilometre, else kilometres with one decimal; null stays null."""
+    m, km = ("м", "км") if lang == "ru" else ("m", "km")
+    short = F.format_string(f"%d {m}", (F.bround(meters / 10, 0) * 10).cast("bigint"))
+    return F.when(meters < 1000, short).when(
+        meters >= 1000, F.format_string(f"%.1f {km}", F.bround(meters / 1000, 1)))

@@ -124,12 +124,13 @@ def item(kind: str, words: Column, weight: Column | int) -> Column:
         (F.lit(weight) if isinstance(weight, int) else weight).cast("int").alias("weight"))
 
 
-def build_evidence(lang: Column) -> Column:
+def build_evidence(lang: str) -> Column:
     """The ordered evidence list of one row."""
     geo = F.col("geo")
-    where = F.lit(None)
+    template = F.lit(None)
     for key in ("geo_inside", "geo_edge", "geo_just_outside", "geo_near_point", "geo_point", "geo_away"):
-        where = F.when(geo["key"] == key, label(key, lang, d=format_distance(geo["meters"], lang))).otherwise(where)
+        template = F.when(geo["key"] == key, label(key, lang)).otherwise(template)
+    where = F.replace(template, F.lit("{d}"), format_distance(geo["meters"], lang))
     point = F.when(geo["key"] == "no_geo", item("missing", label("no_geo", lang), geo["weight"])).otherwise(
         item("geo", where, geo["weight"]))
     building, named = F.col("building"), F.col("building.name")
@@ -149,7 +150,8 @@ def build_evidence(lang: Column) -> Column:
         .when(F.col("specimen"), item("content", label("specimen", lang), SPECIMEN_WEIGHT))
         .when(F.col("food"), item("content", label("food_closeup", lang), SPECIMEN_WEIGHT))
     )
-    dated = dates.date_label(F.col("date_taken"), F.col("date_uploaded"), F.col("shown_date_source"), lang)
+    dated = dates.date_label(
+        F.col("date_taken"), F.col("date_uploaded"), F.col("shown_date_source"), F.lit(lang))
     return F.array_compact(F.array(
         point,
         F.when(F.coalesce(building["inside_campus"], F.lit(False)), item("category", label(
@@ -212,7 +214,6 @@ def score(
     else:
         hits = spatial.building_at(images.select("profile_id", "seq", "lat", "lng"), buildings)
         joined = joined.join(hits, ["profile_id", "seq"], "left")
-    language = F.lit(lang)
     normalized = text.normalize_text_exact(own_text()) if exact_unicode else None
     flagged = joined.withColumns({
         "geo": spatial.position(F.col("lat"), F.col("lng"), F.col("c_lat"), F.col("c_lng"), F.col("edges"),
@@ -232,7 +233,7 @@ def score(
             F.col("geo.on_campus").isNull() & F.col("lat").isNotNull() & ~F.col("linked"))).withColumn(
         "off_campus", F.coalesce("off_campus", F.lit(False)))
     category, tags = classify()
-    scored = flagged.withColumn("evidence", build_evidence(language)).withColumn(
+    scored = flagged.withColumn("evidence", build_evidence(lang)).withColumn(
         "confidence", apply_caps(confidence_of(F.col("evidence")), F.col("vision_veto"), F.col("vision_checked"))
     ).withColumns({"tier": tier_of(F.col("confidence")), "category": category, "tags": tags}).withColumns({
         "highlight": is_highlight(),

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections import deque
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from placeproof.operators.skew import BLOCK_ROWS, ordered_position, previous_row
+from placeproof.session import cut_lineage
 
 # Fixed values.
 FRESHNESS_BONUS = {"2024_plus": 20, "2020_2023": 10, "older": -5, "date_unknown": -5, "historic": -10}
@@ -77,8 +80,8 @@ def diverse_top(photos: DataFrame, count: int) -> DataFrame:
         {"likeness": F.lit(0.0), "compared": F.lit(False)})
     picks: DataFrame | None = None
     for step in range(1, count + 1):
-        chosen = pool.groupBy(*keys).agg(F.min(F.struct(order.alias("order"), "embedding")).alias("best")).select(
-            *keys, F.col("best.order.seq").alias("chosen_seq"), F.col("best.embedding").alias("chosen_embedding"))
+        chosen = cut_lineage(pool.groupBy(*keys).agg(F.min(F.struct(order.alias("order"), "embedding")).alias("best")).select(
+            *keys, F.col("best.order.seq").alias("chosen_seq"), F.col("best.embedding").alias("chosen_embedding")))
         pick = chosen.select(*keys, F.col("chosen_seq").alias("seq"), F.lit(step).alias("pick"))
         picks = pick if picks is None else picks.unionByName(pick)
         if step == count:
@@ -90,6 +93,8 @@ def diverse_top(photos: DataFrame, count: int) -> DataFrame:
         pool = pool.join(chosen, keys).filter(F.col("seq") != F.col("chosen_seq")).withColumn(
             "likeness", F.when(~known, F.col("likeness")).when(F.col("compared"), F.greatest("likeness", dot)).otherwise(dot)
         ).withColumn("compared", F.col("compared") | known).drop("chosen_seq", "chosen_embedding")
+        if step % 4 == 0:
+            pool = cut_lineage(pool)
     return photos.join(picks, [*keys, "seq"])
 
 
@@ -106,28 +111,30 @@ def pick_highlights(photos: DataFrame, limit: int = MAX_HIGHLIGHTS) -> DataFrame
 
 
 def _space_pages(rows: pd.DataFrame) -> pd.DataFrame:
-    """Round-robin where the head of a queue waits a turn when it comes from the page just shown."""
-    from collections import deque
+    """Round-robin where the head of a queue waits a turn when it comes from the page just shown.
 
-    queues: dict[str, deque] = {}
+    A queue is kept as runs of one page, so passing over a long run costs one step.
+    """
+    queues: dict[tuple, deque] = {}
     for row in rows.sort_values(["turn", "queue"]).itertuples(index=False):
-        queues.setdefault((row.queue, row.category), deque()).append((row.seq, row.page))
+        runs = queues.setdefault((row.queue, row.category), deque())
+        if runs and runs[-1][0] == row.page:
+            runs[-1][1].append(row.seq)
+        else:
+            runs.append((row.page, deque([row.seq])))
     order, last = [], rows["opening_page"].iloc[0]
     lines = [queues[key] for key in sorted(queues)]
     while any(lines):
-        for line in lines:
-            if not line:
-                continue
-            waiting = []
-            while line and line[0][1] == last:
-                waiting.append(line.popleft())
-            if line:
-                seq, last = line.popleft()
-                line.extendleft(reversed(waiting))
-            else:
-                seq, last = waiting[0]
-                line.extend(waiting[1:])
-            order.append(seq)
+        for runs in filter(None, lines):
+            held = runs.popleft() if runs[0][0] == last and len(runs) > 1 else None
+            last, members = runs[0]
+            order.append(members.popleft())
+            if not members:
+                runs.popleft()
+            if held and runs and runs[0][0] == held[0]:
+                held[1].extend(runs.popleft()[1])
+            if held:
+                runs.appendleft(held)
     return pd.DataFrame({
         "profile_id": rows["profile_id"].iloc[0], "seq": order, "place": range(1, len(order) + 1)})
 
@@ -156,10 +163,8 @@ def showcase_order(photos: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame
     base = showcase_base(photos, block_rows).select(
         "profile_id", "seq", "part", "line", "queue", "category", F.xxhash64("source_url").alias("page"))
     placed = ordered_position(
-        base.withColumn("_slot", F.col("line") * 16 + F.col("queue")), ["profile_id"], [
-            F.col("part"), F.when(F.col("part") == 1, F.floor(F.col("_slot") / block_rows)).otherwise(0),
-            F.when(F.col("part") == 1, 0).otherwise(F.floor(F.col("line") / block_rows)),
-            F.col("line"), F.col("queue"), F.col("category")], "seq", "place", block_rows)
+        base, ["profile_id"], [F.col("part"), F.floor(F.col("line") / block_rows)], "seq", "place", block_rows,
+        inner=[F.col(c) for c in ("line", "queue", "category", "seq")])
     neighbours = previous_row(placed.select("profile_id", "place", "part", "page"), ["profile_id"], "place", {
         "before": "page"}, block_rows)
     clashing = neighbours.filter((F.col("part") == 1) & (F.col("page") == F.col("before"))).select(

@@ -2,7 +2,8 @@
 
 A window over one key runs in one task, and one key may hold a third of all rows. Here every key is cut into blocks of
 its order, work inside a block is a bounded window, and only one small row per block meets in the per-key window.
-Block borders depend on the data alone, so a recomputed task gives the same answer.
+Block borders depend on the data alone, so a recomputed task gives the same answer. Each function reads its input twice
+(block totals and rows), so pass stored rows: a written table or `cut_lineage`, not a long unfinished plan.
 """
 
 from __future__ import annotations
@@ -18,16 +19,21 @@ def _block(seq: str, block_rows: int) -> Column:
 
 
 def ordered_position(
-    df: DataFrame, keys: list[str], order: list[Column], seq: str, out: str, block_rows: int = BLOCK_ROWS
+    df: DataFrame, keys: list[str], order: list[Column], seq: str, out: str, block_rows: int = BLOCK_ROWS,
+    inner: list[Column] | None = None,
 ) -> DataFrame:
-    """1-based position within `keys` by `order` (ascending, few distinct values), ties by `seq` (unique in the key)."""
+    """1-based position within `keys` by `order` (ascending, few distinct values), ties by `seq` (unique in the key).
+
+    With `inner`, rows of equal `order` are already few and are sorted by `inner` instead of `seq`.
+    """
     names = [f"_o{i}" for i in range(len(order))]
-    tagged = df.withColumns({**dict(zip(names, order)), "_blk": _block(seq, block_rows)})
+    block_no = F.lit(0).cast("bigint") if inner else _block(seq, block_rows)
+    tagged = df.withColumns({**dict(zip(names, order)), "_blk": block_no})
     block = [*keys, *names, "_blk"]
     before = Window.partitionBy(*keys).orderBy(*names, "_blk").rowsBetween(Window.unboundedPreceding, -1)
     offsets = tagged.groupBy(*block).agg(F.count("*").alias("_n")).select(
         *block, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
-    inside = F.row_number().over(Window.partitionBy(*block).orderBy(seq))
+    inside = F.row_number().over(Window.partitionBy(*block).orderBy(*(inner or [F.col(seq)])))
     return tagged.withColumn("_rn", inside).join(offsets, block).withColumn(
         out, (F.col("_off") + F.col("_rn")).cast("bigint")).drop(*names, "_blk", "_rn", "_off")
 

@@ -1,0 +1,10 @@
+"""Registered queries by subject."""
+
+from importlib import import_module
+
+MODULES = ["scoring"]
+
+
+def load() -> None:
+    for name in MODULES:
+        import_module(f"placeproof.plans.{name}")

@@ -24,6 +24,7 @@ def local_session(cores: str = "8", name: str = "placeproof", memory: str = "8g"
         builder.config("spark.sql.shuffle.partitions", cores)
         .config("spark.driver.memory", memory)
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
     )
 
