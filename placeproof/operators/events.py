@@ -42,10 +42,14 @@ def version_changed(
         F.col("_before").isNull() | (F.col("_before") != F.col("_hash"))).drop("_before", "_hash")
 
 
-def keep_final(photos: DataFrame, done: DataFrame) -> DataFrame:
-    """Photos of the final list with their place in it; `done` has profile_id and photo_ids in order."""
-    final = done.select("profile_id", F.posexplode("photo_ids").alias("place", "id"))
-    return photos.join(final, ["profile_id", "id"])
+def final_list(done: DataFrame) -> DataFrame:
+    """Rows (profile_id, id, place) of `done` messages that carry their ids as a list."""
+    return done.select("profile_id", F.posexplode("photo_ids").alias("place", "id"))
+
+
+def keep_final(photos: DataFrame, final: DataFrame) -> DataFrame:
+    """Photos of the final list with their place in it; `final` has profile_id, id and place."""
+    return photos.join(final.select("profile_id", "id", "place"), ["profile_id", "id"])
 
 
 def withdrawn(sent: DataFrame, final: DataFrame, keys: list[str]) -> DataFrame:

@@ -160,11 +160,11 @@ def showcase_order(photos: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame
     Only profiles where two neighbours of the plain rotation share a page need the sequential page rule; the others
     keep the rotation computed in blocks. The page rule reads narrow rows: sequence number, category and page hash.
     """
-    base = showcase_base(photos, block_rows).select(
+    base = cut_lineage(showcase_base(photos, block_rows)).select(
         "profile_id", "seq", "part", "line", "queue", "category", F.xxhash64("source_url").alias("page"))
-    placed = ordered_position(
+    placed = cut_lineage(ordered_position(
         base, ["profile_id"], [F.col("part"), F.floor(F.col("line") / block_rows)], "seq", "place", block_rows,
-        inner=[F.col(c) for c in ("line", "queue", "category", "seq")])
+        inner=[F.col(c) for c in ("line", "queue", "category", "seq")]))
     neighbours = previous_row(placed.select("profile_id", "place", "part", "page"), ["profile_id"], "place", {
         "before": "page"}, block_rows)
     clashing = neighbours.filter((F.col("part") == 1) & (F.col("page") == F.col("before"))).select(

@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["scoring"]
+MODULES = ["scoring", "texts", "places", "resolution", "logs", "payloads", "copies"]
 
 
 def load() -> None:

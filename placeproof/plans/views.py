@@ -97,7 +97,7 @@ BUILDING = {
     "building_id": "'b' || CAST(p_partkey AS STRING)",
     "name": "CASE WHEN p_partkey % 5 = 0 THEN '' ELSE p_name END",
     "type": case("p_partkey % 7", BUILDING_KINDS),
-    "cx": "127e0 + (p_partkey % 25) * 1e-1 + ((p_partkey * 31) % 161 - 80) / 1e4",
+    "cx": "127e0 + (p_partkey % 25) * 1e-1 + ((p_partkey * 31) % 161 - 80) / 1e4 + 37e-7",
     "cy": "37e0 + (p_partkey % 25) * 5e-2 + ((p_partkey * 57) % 161 - 80) / 1e4",
     "hw": "2e-4 + (p_partkey % 5) * 1e-4",
     "hh": "2e-4 + (p_partkey % 3) * 1e-4",
