@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["scoring", "texts", "places", "resolution", "logs", "payloads", "copies"]
+MODULES = ["scoring", "texts", "places", "resolution", "logs", "payloads", "copies", "streams"]
 
 
 def load() -> None:

@@ -64,9 +64,9 @@ def _verdict_columns(verdict):
 
 
 def _prompts(spark, sf_dir):
-    """The first nine vectors stand for the prompts; they are a fixed number of constants, so they join as one row."""
+    """The first nine vectors stand for the prompts: a fixed number of constants, read once as a scalar."""
     rows = views.table(spark, sf_dir, "embeddings").filter("vec_id < 9")
-    return rows.agg(F.transform(F.array_sort(F.collect_list(F.struct("vec_id", "embedding"))), lambda p: p["embedding"]).alias("prompts"))
+    return rows.agg(F.transform(F.array_sort(F.collect_list(F.struct("vec_id", "embedding"))), lambda p: p["embedding"]).alias("prompts")).scalar()
 
 
 def _similarities():
@@ -80,7 +80,7 @@ def _similarities():
     END AS weight, good - bad <= -0.07e0 AS veto, CASE WHEN good - bad >= 0.03e0 THEN CASE best WHEN 1 THEN 'libraries' WHEN 2 THEN 'classrooms'
     WHEN 3 THEN 'dorms' END END AS category FROM m""")
 def prompt_verdict(spark, sf_dir):
-    rows = views.table(spark, sf_dir, "embeddings").join(_prompts(spark, sf_dir))
+    rows = views.table(spark, sf_dir, "embeddings").withColumn("prompts", _prompts(spark, sf_dir))
     return rows.withColumn("v", verdicts.prompt_verdict(_similarities())).select("vec_id", *_verdict_columns(F.col("v")))
 
 

@@ -46,8 +46,8 @@ def normalize_commons(spark, sf_dir):
 
 
 FLICKR = """named_struct('id', doc_id, 'owner', 'o' || doc_id % 9, 'title', lang, 'license', CAST(doc_id % 18 AS STRING), 'description', CASE WHEN
-    doc_id % 2 = 0 THEN named_struct('_content', '<p>' || lang || '</p> x') END, 'dateupload', CAST(1700000000 + doc_id * 86400 % 60000000 AS
-    STRING), 'datetaken', CASE doc_id % 3 WHEN 0 THEN CAST(date_add(DATE '2023-11-14', CAST(doc_id * 86400 % 60000000 DIV 86400 AS INT)) AS STRING)
+    doc_id % 2 = 0 THEN named_struct('_content', '<p>' || lang || '</p> x') END, 'dateupload', CAST(1699920000 + doc_id % 600 * 86400 AS
+    STRING), 'datetaken', CASE doc_id % 3 WHEN 0 THEN CAST(date_add(DATE '2023-11-14', CAST(doc_id % 600 AS INT)) AS STRING)
     || ' 10:00:00' WHEN 1 THEN '2016-01-01 00:00:00' ELSE '2015-05-05 00:00:00' END, 'datetakenunknown', CASE WHEN doc_id % 3 = 2 THEN '1' ELSE
     '0' END, 'ownername', 'n', 'latitude', CASE WHEN doc_id % 4 = 0 THEN '0' ELSE CAST(doc_id % 90 AS STRING) END, 'longitude', CASE WHEN doc_id %
     4 = 0 THEN '0' ELSE '12.5' END, 'tags', 'a  b ' || lang, 'media', CASE WHEN doc_id % 7 = 6 THEN 'video' ELSE 'photo' END, 'url_l', CASE WHEN

@@ -127,11 +127,11 @@ def best_candidates(spark, sf_dir):
     country THEN NULL WHEN hit2 THEN up1 WHEN up2 = country THEN NULL WHEN hit3 THEN up2 END AS place_id FROM c""")
 def city_center(spark, sf_dir):
     customers = views.table(spark, sf_dir, "customer")
-    count = customers.agg(F.count("*").alias("n"))
+    count = customers.agg(F.count("*").alias("n")).scalar()
     places = customers.selectExpr(
         "c_custkey AS place_id", "CASE WHEN c_custkey >= 3 THEN c_custkey DIV 3 END AS parent_id", "c_custkey % 7 = 0 AS is_city",
         "CASE WHEN c_custkey % 5 <> 0 THEN c_custkey * 1e-2 END AS lat", "CASE WHEN c_custkey % 5 <> 0 THEN 127e0 END AS lng")
-    starts = views.table(spark, sf_dir, "supplier").join(count).selectExpr(
+    starts = views.table(spark, sf_dir, "supplier").withColumn("n", count).selectExpr(
         "s_suppkey AS profile_id", "s_suppkey * 13 % n AS start_id", "CAST(s_nationkey AS BIGINT) AS country_id")
     return resolve.city_center(places, starts).select("profile_id", "place_id")
 
