@@ -214,13 +214,14 @@ def score(
     else:
         hits = spatial.building_at(images.select("profile_id", "seq", "lat", "lng"), buildings)
         joined = joined.join(hits, ["profile_id", "seq"], "left")
-    normalized = text.normalize_text_exact(own_text()) if exact_unicode else None
+    normalize = text.normalize_text_exact if exact_unicode else text.normalize_text
+    joined = joined.withColumn("_norm", normalize(own_text()))
     flagged = joined.withColumns({
         "geo": spatial.position(F.col("lat"), F.col("lng"), F.col("c_lat"), F.col("c_lng"), F.col("edges"),
                                 F.col("ring_center")),
         "people": people_or_event(), "specimen": specimen(), "food": food_closeup(),
         "institution": other_institution(F.col("own_names")),
-        "mention": text.mentioned_name(own_text(), F.col("own_prepared"), normalized),
+        "mention": text.mentioned_name(own_text(), F.col("own_prepared"), F.col("_norm")),
         "official": official_domain(F.col("official_domains")),
         "text_category": text_category(),
         "shown_date_source": dates.date_source(

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from placeproof.operators.skew import BLOCK_ROWS, running_before
+from placeproof.session import cut_lineage
 
 # Micro-dollars per token, i.e. dollars per million tokens; an unknown model counts as the dearest.
 PRICES = {"small": (1, 5), "medium": (2, 10), "large": (5, 25)}
@@ -51,7 +52,8 @@ def spend_admission(usage: DataFrame, user_cap: int, day_cap: int, block_rows: i
     costed = with_cost(usage)
     by_user = running_before(costed, ["day", "user_id"], "seq", {"user_before": F.col("cost")}, "sum", block_rows)
     passed = F.coalesce("user_before", F.lit(0)) < user_cap
-    counted = by_user.withColumn("user_ok", passed).withColumn("booked", F.when(passed, F.col("cost")).otherwise(0))
+    counted = cut_lineage(by_user.withColumn("user_ok", passed).withColumn(
+        "booked", F.when(passed, F.col("cost")).otherwise(0)))
     by_day = running_before(counted, ["day"], "seq", {"day_before": F.col("booked")}, "sum", block_rows)
     return by_day.withColumn("admitted", F.col("user_ok") & (F.coalesce("day_before", F.lit(0)) < day_cap)).drop(
         "user_before", "day_before", "user_ok", "booked")
