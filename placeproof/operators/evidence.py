@@ -38,26 +38,26 @@ def with_texts(images: DataFrame) -> DataFrame:
 
 
 def not_a_place() -> Column:
-    return rules.matches(F.col("_own"), rules.NOT_A_PHOTO) | rules.any_matches(
+    return rules.matches("_own", rules.NOT_A_PHOTO) | rules.any_matches(
         F.col("source_categories"), rules.NOT_A_PHOTO_CATEGORY)
 
 
 def people_or_event() -> Column:
     return (
-        rules.matches(F.col("_all"), rules.PEOPLE_OR_EVENT)
-        | rules.matches(F.col("_title"), rules.GROUP_OF_PEOPLE)
+        rules.matches("_all", rules.PEOPLE_OR_EVENT)
+        | rules.matches("_title", rules.GROUP_OF_PEOPLE)
         | rules.any_matches(
             F.col("source_categories"), rules.GROUP_OF_PEOPLE, rules.PERSON_CATEGORY, rules.EVENT_CATEGORY)
     )
 
 
 def specimen() -> Column:
-    return rules.matches(F.col("_all"), rules.SPECIMEN) | rules.any_matches(
+    return rules.matches("_all", rules.SPECIMEN) | rules.any_matches(
         F.col("source_categories"), rules.SPECIMEN_CATEGORY)
 
 
 def food_closeup() -> Column:
-    return rules.matches(F.col("_all"), rules.FOOD_CLOSEUP)
+    return rules.matches("_all", rules.FOOD_CLOSEUP)
 
 
 def other_institution(names: Column) -> Column:
@@ -79,21 +79,21 @@ def official_domain(domains: Column) -> Column:
 
 def text_category() -> Column:
     return (
-        F.when(rules.matches(F.col("_all"), rules.LIBRARY), "libraries")
-        .when(rules.matches(F.col("_all"), rules.DORM), "dorms")
-        .when(rules.matches(F.col("_all"), rules.CLASSROOM), "classrooms")
+        F.when(rules.matches("_all", rules.LIBRARY), "libraries")
+        .when(rules.matches("_all", rules.DORM), "dorms")
+        .when(rules.matches("_all", rules.CLASSROOM), "classrooms")
     )
 
 
 def text_tags() -> Column:
     """Tags from the text; a lab counts by title, or by description or category when the file is not about people."""
-    lab = rules.matches(F.col("_title"), rules.LAB) | (~F.col("people") & (
-        rules.matches(F.col("_desc"), rules.LAB) | rules.any_matches(F.col("source_categories"), rules.LAB)))
+    lab = rules.matches("_title", rules.LAB) | (~F.col("people") & (
+        rules.matches("_desc", rules.LAB) | rules.any_matches(F.col("source_categories"), rules.LAB)))
     return F.array_compact(F.array(
-        F.when(rules.matches(F.col("_all"), rules.DORM), "dorm"),
-        F.when(rules.matches(F.col("_all"), rules.SPORT), "sport"),
+        F.when(rules.matches("_all", rules.DORM), "dorm"),
+        F.when(rules.matches("_all", rules.SPORT), "sport"),
         F.when(lab, "labs"),
-        F.when(rules.matches(F.col("_all"), rules.STUDENT_LIFE), "student_life")))
+        F.when(rules.matches("_all", rules.STUDENT_LIFE), "student_life")))
 
 
 def _choose(value: Column, options: dict[str, str]) -> Column:
@@ -191,7 +191,7 @@ def apply_caps(confidence: Column, veto: Column, checked: Column) -> Column:
 
 
 def is_highlight() -> Column:
-    shown = F.col("vision_highlight") | rules.matches(F.col("_own"), rules.SHOWCASE)
+    shown = F.col("vision_highlight") | rules.matches("_own", rules.SHOWCASE)
     return (F.col("category") == "campus") & (F.col("tier") != "unconfirmed") & shown
 
 

@@ -3,7 +3,6 @@ outside its query, and only names that share a query reach the Python ratio."""
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -39,15 +38,17 @@ def same_organisation(left: DataFrame, right: DataFrame) -> DataFrame:
     return by_registry.union(by_entity).union(by_name).distinct()
 
 
-def _first_free(edges: pd.DataFrame) -> pd.DataFrame:
-    taken: set[int] = set()
-    picks = []
-    for right, group in edges.sort_values(["r_ord", "l_ord"]).groupby("r_ord", sort=True):
-        left = next((int(v) for v in group["l_ord"] if int(v) not in taken), None)
-        if left is not None:
-            taken.add(left)
-            picks.append((int(edges["query_id"].iloc[0]), left, int(right)))
-    return pd.DataFrame(picks, columns=["query_id", "l_ord", "r_ord"])
+def _first_free(edges: Column) -> Column:
+    """Greedy one-to-one picks from a sorted array of (r_ord, l_ord): the first edge of a right hit whose left is free."""
+    none = F.array().cast("array<bigint>")
+
+    def step(done: Column, edge: Column) -> Column:
+        used = F.array_contains(done["l"], edge["l_ord"]) | F.array_contains(done["r"], edge["r_ord"])
+        return F.when(used, done).otherwise(F.struct(
+            F.array_append(done["l"], edge["l_ord"]).alias("l"), F.array_append(done["r"], edge["r_ord"]).alias("r")))
+
+    picked = F.aggregate(edges, F.struct(none.alias("l"), none.alias("r")), step)
+    return F.zip_with(picked["l"], picked["r"], lambda l, r: F.struct(l.alias("l"), r.alias("r")))
 
 
 def limit_hits(hits: DataFrame, limit: int = HITS_PER_REGISTRY) -> DataFrame:
@@ -59,12 +60,13 @@ def limit_hits(hits: DataFrame, limit: int = HITS_PER_REGISTRY) -> DataFrame:
 def merge_registries(left: DataFrame, right: DataFrame) -> DataFrame:
     """One row per organisation: each right hit joins the first left hit of its query that it matches and is still free.
 
-    A registry answers with at most ten hits, so a query has at most a hundred edges; the greedy pick runs per query on
-    those edges only.
+    A registry answers with at most ten hits, so a query has at most a hundred edges: they fit one small array, and the
+    greedy pick is a fold over it.
     """
     l, r = limit_hits(left), limit_hits(right)
-    picks = same_organisation(l, r).groupBy("query_id").applyInPandas(
-        _first_free, "query_id bigint, l_ord bigint, r_ord bigint")
+    edges = same_organisation(l, r).groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("r_ord", "l_ord"))).alias("edges"))
+    pick = F.explode(_first_free(F.col("edges")))
+    picks = edges.select("query_id", pick.alias("p")).select("query_id", F.col("p.l").alias("l_ord"), F.col("p.r").alias("r_ord"))
     columns = [c for c in left.columns if c != "query_id"]
     a = l.select("query_id", F.col("ord").alias("l_ord"), F.struct(*columns).alias("left"))
     b = r.select("query_id", F.col("ord").alias("r_ord"), F.struct(*columns).alias("right"))

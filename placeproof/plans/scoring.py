@@ -37,6 +37,7 @@ def stored_photos(spark: SparkSession, sf_dir: str) -> DataFrame:
 def forget_stored() -> None:
     """Lets the next report write its photos anew, as a run on its own would."""
     _STORED.clear()
+    views._SPREAD.clear()
 
 
 def _sorted_tags() -> F.Column:
