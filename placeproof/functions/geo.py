@@ -24,12 +24,12 @@ def haversine_m(lat1: Column, lng1: Column, lat2: Column, lng2: Column) -> Colum
 
 def edges_of(ring: Column) -> Column:
     """Consecutive ring points as edges; built once per polygon so that each point test only folds over them."""
-    n = F.size(ring)
-    closed = F.when(F.get(ring, F.lit(0)) == F.get(ring, n - 1), ring).otherwise(
-        F.concat(ring, F.slice(ring, 1, 1)))
-    return F.zip_with(
-        F.slice(closed, 1, F.size(closed) - 1), F.slice(closed, 2, F.size(closed) - 1),
-        lambda a, b: F.struct(a["x"].alias("x1"), a["y"].alias("y1"), b["x"].alias("x2"), b["y"].alias("y2")))
+    def of(r: Column) -> Column:
+        closed = F.when(F.get(r, F.lit(0)) == F.get(r, F.size(r) - 1), r).otherwise(F.concat(r, F.slice(r, 1, 1)))
+        return F.element_at(F.transform(F.array(closed), lambda c: F.zip_with(
+            F.slice(c, 1, F.size(c) - 1), F.slice(c, 2, F.size(c) - 1), lambda a, b: F.struct(
+                a["x"].alias("x1"), a["y"].alias("y1"), b["x"].alias("x2"), b["y"].alias("y2")))), 1)
+    return F.element_at(F.transform(F.array(ring), of), 1)
 
 
 def contains(edges: Column, x: Column, y: Column) -> Column:
@@ -73,16 +73,23 @@ def planar_area(edges: Column) -> Column:
 
 
 def centroid(edges: Column) -> Column:
-    """struct<x, y>: area centroid of the ring."""
-    x0, y0 = F.get(edges, F.lit(0))["x1"], F.get(edges, F.lit(0))["y1"]
+    """struct<x, y>: area centroid of the ring.
+
+    Wrapped in a one-element array, so that the optimizer keeps it as one value and does not unfold it wherever x or y is
+    read, such as once per edge of another ring.
+    """
+    def of(ring: Column) -> Column:
+        x0, y0 = F.get(ring, F.lit(0))["x1"], F.get(ring, F.lit(0))["y1"]
+
+        def cross(e: Column) -> Column:
+            return (e["x1"] - x0) * (e["y2"] - y0) - (e["x2"] - x0) * (e["y1"] - y0)
 
-    def cross(e: Column) -> Column:
-        return (e["x1"] - x0) * (e["y2"] - y0) - (e["x2"] - x0) * (e["y1"] - y0)
+        a2 = signed_area2(ring)
+        sx = F.aggregate(ring, F.lit(0.0), lambda s, e: s + (e["x1"] + e["x2"] - 2 * x0) * cross(e))
+        sy = F.aggregate(ring, F.lit(0.0), lambda s, e: s + (e["y1"] + e["y2"] - 2 * y0) * cross(e))
+        return F.struct((x0 + sx / (3 * a2)).alias("x"), (y0 + sy / (3 * a2)).alias("y"))
 
-    a2 = signed_area2(edges)
-    sx = F.aggregate(edges, F.lit(0.0), lambda s, e: s + (e["x1"] + e["x2"] - 2 * x0) * cross(e))
-    sy = F.aggregate(edges, F.lit(0.0), lambda s, e: s + (e["y1"] + e["y2"] - 2 * y0) * cross(e))
-    return F.struct((x0 + sx / (3 * a2)).alias("x"), (y0 + sy / (3 * a2)).alias("y"))
+    return F.element_at(F.transform(F.array(edges), of), 1)
 
 
 def area_km2(edges: Column) -> Column:

@@ -23,8 +23,11 @@ def all_names() -> Column:
 
 
 def same_organisation(left: DataFrame, right: DataFrame) -> DataFrame:
-    """(query_id, l_ord, r_ord) that share a registry id, an entity id, or a name within 15 km."""
-    l, r = left.withColumnRenamed("ord", "l_ord"), right.withColumnRenamed("ord", "r_ord")
+    """(query_id, l_ord, r_ord) that share a registry id, an entity id, or a name within 15 km.
+
+    Compares what the lookups return, so at most ten hits a side and query.
+    """
+    l, r = limit_hits(left).withColumnRenamed("ord", "l_ord"), limit_hits(right).withColumnRenamed("ord", "r_ord")
     pair = ["query_id", "l_ord", "r_ord"]
     by_registry = l.filter(F.col("ror_id") != "").select("query_id", "l_ord", "ror_id").join(
         r.filter(F.col("ror_id") != "").select("query_id", "r_ord", "ror_id"), ["query_id", "ror_id"]).select(pair)
@@ -64,7 +67,7 @@ def merge_registries(left: DataFrame, right: DataFrame) -> DataFrame:
     greedy pick is a fold over it.
     """
     l, r = limit_hits(left), limit_hits(right)
-    edges = same_organisation(l, r).groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("r_ord", "l_ord"))).alias("edges"))
+    edges = same_organisation(left, right).groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("r_ord", "l_ord"))).alias("edges"))
     pick = F.explode(_first_free(F.col("edges")))
     picks = edges.select("query_id", pick.alias("p")).select("query_id", F.col("p.l").alias("l_ord"), F.col("p.r").alias("r_ord"))
     columns = [c for c in left.columns if c != "query_id"]

@@ -41,8 +41,8 @@ def ordered_position(
 def running_before(
     df: DataFrame, keys: list[str], seq: str, values: dict[str, Column], how: str = "sum", block_rows: int = BLOCK_ROWS
 ) -> DataFrame:
-    """Sum or min of each value over the rows of the key with a smaller `seq`; null where there are none."""
-    fold = {"sum": F.sum, "min": F.min}[how]
+    """Sum, min or max of each value over the rows of the key with a smaller `seq`; null where there are none."""
+    fold = {"sum": F.sum, "min": F.min, "max": F.max}[how]
     names = {f"_v{i}": value for i, value in enumerate(values.values())}
     tagged = df.withColumns({**names, "_blk": _block(seq, block_rows)})
     block = [*keys, "_blk"]
@@ -53,8 +53,9 @@ def running_before(
     scanned = tagged.withColumns({n + "i": fold(n).over(earlier) for n in names}).join(carry, block)
     for out, n in zip(values, names):
         inside, carried = F.col(n + "i"), F.col(n + "c")
-        total = F.least(inside, carried) if how == "min" else F.coalesce(inside + carried, inside, carried)
-        scanned = scanned.withColumn(out, total)
+        both = {"min": F.least, "max": F.greatest}[how](inside, carried) if how != "sum" else F.coalesce(
+            inside + carried, inside, carried)
+        scanned = scanned.withColumn(out, both)
     return scanned.drop("_blk", *[n + s for n in names for s in ("", "i", "c")])
 
 

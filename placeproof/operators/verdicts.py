@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from placeproof.operators.skew import running_before
+
 # Fixed values.
 UNCLEAR_MARGIN, VETO_MARGIN = 0.03, 0.07
 PROMPT_POSITIVE, REVIEW_POSITIVE, NEGATIVE = 12, 16, -20
@@ -74,9 +76,7 @@ def apply_verdict(images: DataFrame, verdict: str = "verdict") -> DataFrame:
         **{c: F.when(given, F.col(verdict)[f]).otherwise(F.col(c)) for c, f in fields.items()}}).drop(verdict)
 
 
-def latest_per_key(stored: DataFrame, key: str, time: str, value: str) -> DataFrame:
-    return stored.groupBy(key).agg(F.max(F.struct(F.col(time).alias("at"), F.col(value).alias("value"))).alias("last")).select(
-        key, F.col("last.at").alias("at"), F.col("last.value").alias("value"))
+HOUR_MICROS = 3_600_000_000
 
 
 def cached_verdicts(
@@ -84,12 +84,20 @@ def cached_verdicts(
 ) -> DataFrame:
     """Images with the latest stored verdict of their key known at `asked_at` and not older than the time to live.
 
-    `stored` has the key, `checked_at` and `verdict`. Requests and verdicts of a key meet in an equality join, and the
-    latest one is kept by an aggregation that combines before its shuffle.
+    `stored` has the key, `checked_at` and `verdict`. Requests and verdicts are one sequence in time per key, scanned in
+    hourly blocks: the cost grows with the rows, also for a key that holds most requests and most verdicts.
     """
-    age_ok = (F.col("checked_at") <= F.col(asked_at)) & (
-        F.col("checked_at") > F.col(asked_at) - F.expr(f"INTERVAL {ttl_days} DAYS"))
-    asked = images.select(key, asked_at).distinct()
-    fresh = asked.join(stored.select(key, "checked_at", "verdict"), key).filter(age_ok).groupBy(key, asked_at).agg(
-        F.max(F.struct("checked_at", "verdict")).alias("_hit")).select(key, asked_at, F.col("_hit.verdict").alias("verdict"))
-    return images.join(fresh, [key, asked_at], "left")
+    micros = F.unix_micros(asked_at)
+    kind = stored.schema["verdict"].dataType.simpleString()
+    hit = F.struct(F.col("checked_at").alias("at"), F.col("verdict").alias("verdict"))
+    asked = images.select(
+        F.col(key).alias("_key"), (micros * 2 + 1).alias("_at"), F.struct(*images.columns).alias("_row"),
+        F.lit(None).cast(f"struct<at:timestamp,verdict:{kind}>").alias("_hit"))
+    known = stored.select(
+        F.col(key).alias("_key"), (F.unix_micros("checked_at") * 2).alias("_at"),
+        F.lit(None).cast(asked.schema["_row"].dataType).alias("_row"), hit.alias("_hit"))
+    scanned = running_before(
+        asked.unionByName(known), ["_key"], "_at", {"_last": F.col("_hit")}, "max", 2 * HOUR_MICROS).filter(
+        F.col("_row").isNotNull())
+    alive = F.col("_last.at") > F.col(f"_row.{asked_at}") - F.expr(f"INTERVAL {ttl_days} DAYS")
+    return scanned.select("_row.*", F.when(alive, F.col("_last.verdict")).alias("verdict"))
