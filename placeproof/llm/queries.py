@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from placeproof.llm import langid, simhash, suffix_dedup, toxicity
+from placeproof.llm import hilbert, langid, simhash, suffix_dedup, toxicity, warc
 from placeproof.llm.common import table
 
 QUERIES = {}
@@ -40,3 +41,21 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return langid.identify(docs, langid.fit(docs))
+
+
+@query("op5_hilbert_sharding")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hilbert.shard(table(spark, sf_dir, "documents"), hilbert.text_dimensions(F.col("text")))
+
+
+@query("op10_warc", """
+WITH p AS (SELECT page_id, coalesce(html, '') AS body, sha1(coalesce(html, '')) AS h FROM pages)
+SELECT page_id, CAST(strlen(body) AS BIGINT) AS payload_bytes,
+  array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    CAST(((CAST('0x' || substr(h, CAST(1 + 5 * (i // 4) AS INTEGER), 5) AS BIGINT) >> CAST(15 - 5 * (i % 4) AS INTEGER)) & 31) AS INTEGER) + 1, 1)), '') AS payload_digest,
+  CASE WHEN page_id = max(page_id) OVER (PARTITION BY body) THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id = max(page_id) OVER (PARTITION BY body) THEN NULL ELSE max(page_id) OVER (PARTITION BY body) END AS refers_to,
+  true AS verified, sha256(body) AS payload_address
+FROM p""")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archived(table(spark, sf_dir, "pages"))

@@ -55,10 +55,20 @@ class Model:
         return (self.vectors @ self.weights).astype(np.float32)
 
 
+def window_sums(values: np.ndarray, window: int) -> np.ndarray:
+    """Sums over every `window` rows in a row; one sum if there are no more than that."""
+    total = np.concatenate([np.zeros((1, values.shape[1])), np.cumsum(values, axis=0)])
+    return total[window:] - total[:-window] if len(values) > window else total[-1:]
+
+
 def train(
-    texts: list[str], targets: np.ndarray, labels: list, shape: Shape, epochs: int, rate: float, seed: int, class_weights: np.ndarray | None = None,
+    texts: list[str], targets: np.ndarray, labels: list, shape: Shape, epochs: int, rate: float, seed: int, window: int | None = None, warm_up: int = 2,
 ) -> Model:
-    """Joint stochastic gradient descent over embeddings and softmax, one text a step, steps scaled as in Adagrad."""
+    """Joint stochastic gradient descent over embeddings and softmax, one text a step, steps scaled as in Adagrad.
+
+    With a `window` (two classes), a text is after the warm-up the window of so many words that speaks most for the second class,
+    so a few words weigh as much in a long text as in a short one.
+    """
     rng = np.random.default_rng(seed)
     k = len(labels)
     vectors = rng.uniform(-0.5 / shape.dim, 0.5 / shape.dim, (shape.buckets, shape.dim)).astype(np.float32)
@@ -70,29 +80,30 @@ def train(
     cache: dict[str, np.ndarray] = {}
     bags = []
     for text in texts:
-        ids, shares = [], []
         parts = words_of(text)
         for w in parts:
-            g = cache.get(w)
-            if g is None:
-                g = cache[w] = np.array(shape.grams(w), dtype=np.int32)
-            ids.append(g)
-            shares.append(np.float32(1 / (len(parts) * len(g))))
-        if ids:
-            flat, at = np.unique(np.concatenate(ids), return_inverse=True)
-            bags.append((flat, np.bincount(at, weights=np.repeat(shares, [len(g) for g in ids])).astype(np.float32)))
-        else:
-            bags.append((np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.float32)))
-    for _ in range(epochs):
+            if w not in cache:
+                cache[w] = np.array(shape.grams(w), dtype=np.int32)
+        grams = [cache[w] for w in parts]
+        bags.append((np.concatenate(grams), np.array([len(g) for g in grams], dtype=np.int32)) if grams else (np.zeros(0, dtype=np.int32),) * 2)
+    del cache
+    for epoch in range(epochs):
         for i in rng.permutation(len(bags)):
-            ids, share = bags[i]
+            ids, sizes = bags[i]
+            spread = len(sizes)
+            if window and epoch >= warm_up and spread:
+                amounts = np.add.reduceat(vectors[ids] @ (weights[:, 1] - weights[:, 0]), np.cumsum(sizes) - sizes) / sizes
+                best = int(window_sums(amounts[:, None], window).argmax())
+                begin, end = np.r_[0, np.cumsum(sizes)][[best, min(best + window, spread)]]
+                ids, sizes, spread = ids[begin:end], sizes[best:best + window], window
+            each = np.repeat((1 / (max(1, spread) * sizes)).astype(np.float32), sizes)
+            ids, at = np.unique(ids, return_inverse=True)
+            share = np.bincount(at, weights=each, minlength=len(ids)).astype(np.float32)
             hidden = share @ vectors[ids]
             logits = hidden @ weights + bias
             p = np.exp(logits - logits.max())
             p /= p.sum()
             p[targets[i]] -= 1
-            if class_weights is not None:
-                p *= class_weights[targets[i]]
             down = weights @ p
             step_weights = np.outer(hidden, p)
             seen_weights += step_weights**2
@@ -134,14 +145,24 @@ class Scorer:
         self.amounts[begin:end] = sums / sizes[:, None]
         self.numbers.update(zip(fresh, range(begin, end)))
 
-    def logits(self, texts: list[str]) -> np.ndarray:
-        """One row a text; the bias alone where there is no word."""
+    def word_amounts(self, text: str) -> np.ndarray:
+        """What each word of the text adds to each class."""
+        words = words_of(text)
+        if not words:
+            return np.zeros((0, self.table.shape[1]))
+        self._meet(set(words))
+        return self.amounts[list(map(self.numbers.__getitem__, words))]
+
+    def logits(self, texts: list[str], window: int | None = None) -> np.ndarray:
+        """One row a text: its mean over words, or its window that speaks most for the second class; the bias alone without words."""
         out = np.tile(self.bias.astype(np.float64), (len(texts), 1))
         for i, text in enumerate(texts):
-            words = words_of(text)
-            if words:
-                self._meet(set(words))
-                out[i] += self.amounts[list(map(self.numbers.__getitem__, words))].mean(axis=0)
+            amounts = self.word_amounts(text)
+            if len(amounts) and window:
+                sums = window_sums(amounts, window)
+                out[i] += sums[(sums[:, 1] - sums[:, 0]).argmax()] / window
+            elif len(amounts):
+                out[i] += amounts.mean(axis=0)
         return out
 
 

@@ -1,4 +1,7 @@
-"""Toxicity by subword-bag embeddings averaged into a linear softmax, so unseen misspellings share n-gram vectors with known words."""
+"""Toxicity by subword-bag embeddings averaged into a linear softmax, so unseen misspellings share n-gram vectors with known words.
+
+The embeddings are averaged over windows of words, and a text counts as its most toxic window, whole texts being read.
+"""
 
 from __future__ import annotations
 
@@ -13,7 +16,7 @@ from placeproof.llm.common import as_bytes
 from placeproof.llm.subwords import Model, Scorer, Shape, batches_of, softmax, train
 
 SHAPE = Shape(shortest=2, longest=5, buckets=1 << 17, dim=16)
-SAMPLE, EPOCHS, RATE, SEED, SHARE = 3000, 8, 0.3, 7, 0.4
+SAMPLE, EPOCHS, RATE, SEED, SHARE, WINDOW = 3000, 8, 0.3, 7, 0.4, 12
 FOLDS, HELD_OUT = 5, 0
 
 
@@ -42,7 +45,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str =
         if len(got[toxic]) < wanted[toxic]:
             got[toxic].append(text)
     targets = np.array([0] * len(got[0]) + [1] * len(got[1]), dtype=np.int64)
-    return train(got[0] + got[1], targets, [0, 1], SHAPE, EPOCHS, RATE, SEED)
+    return train(got[0] + got[1], targets, [0, 1], SHAPE, EPOCHS, RATE, SEED, WINDOW)
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -53,7 +56,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
         scorer = Scorer(*shared.value)
         for batch in batches:
             texts = as_bytes(batch.column(2))
-            found = [softmax(scorer.logits([t.decode(errors="replace") for t in part]))[:, 1] for part in batches_of(texts)]
+            found = [softmax(scorer.logits([t.decode(errors="replace") for t in part], WINDOW))[:, 1] for part in batches_of(texts)]
             value = np.concatenate(found) if found else np.zeros(0)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(value), pa.array((value >= 0.5).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
