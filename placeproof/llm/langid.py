@@ -59,7 +59,10 @@ def fit(docs: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col:
     taught = [p for i, p in enumerate(pairs) if i % 5] if len(pairs) >= 50 else pairs
     model = train([t for t, _ in taught], np.array([number[lang] for _, lang in taught]), labels, SHAPE, EPOCHS, RATE, SEED)
     met = np.zeros((SHAPE.buckets, 1), dtype=np.float32)
-    met[np.array(sorted({g for w in {w for t, _ in taught for w in words_of(t)} for g in SHAPE.grams(w)}), dtype=np.int64)] = 1
+    for t, _ in taught:
+        if words := words_of(t):
+            ids = SHAPE.grams(words)[0]
+            met[ids[ids >= 0]] = 1
     table = np.hstack([model.gram_scores(), met])
     out = Scorer(SHAPE, table, np.r_[model.bias, np.float32(0)]).logits([t for t, _ in checked])
     target = np.array([number[lang] for _, lang in checked])

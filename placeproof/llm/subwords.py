@@ -18,24 +18,31 @@ KEPT_WORDS = 400_000
 
 @dataclass(frozen=True)
 class Shape:
-    """Which n-grams a word has, and how they are hashed and embedded."""
+    """Which n-grams (of UTF-8 bytes) a word has, and how they are hashed and embedded."""
 
     shortest: int = 2
-    longest: int = 5
+    longest: int = 6
     buckets: int = 1 << 17
     dim: int = 16
-    longest_word: int = 64
 
-    def grams(self, word: str) -> list[int]:
-        """Ids of the word itself and its n-grams with marked ends. A longer word counts as its pieces of 64 characters."""
-        found = []
-        crc, buckets = zlib.crc32, self.buckets
-        for i in range(0, max(1, len(word)), self.longest_word):
-            marked = f"<{word[i:i + self.longest_word]}>"
-            found.append(crc(marked.encode(errors="replace")) % buckets)
-            for n in range(self.shortest, self.longest + 1):
-                found += [crc(marked[k:k + n].encode(errors="replace")) % buckets for k in range(len(marked) - n + 1)]
-        return found
+    def grams(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """For every byte of every word with marked ends: ids of the n-grams that begin there, and first of the whole word at
+        its beginning; -1 where there is none. Also where each word begins."""
+        marked = [f"<{w}>".encode(errors="replace") for w in words]
+        sizes = np.array([len(m) for m in marked], dtype=np.int64)
+        begins = np.cumsum(sizes) - sizes
+        data = np.frombuffer(b"".join(marked), dtype=np.uint8).astype(np.uint64)
+        left = np.repeat(begins + sizes, sizes) - np.arange(len(data))
+        ids = np.full((len(data), self.longest - self.shortest + 2), -1, dtype=np.int32)
+        ids[begins, 0] = [zlib.crc32(m) % self.buckets for m in marked]
+        padded = np.concatenate([data, np.zeros(self.longest, dtype=np.uint64)])
+        rolling = np.zeros(len(data), dtype=np.uint64)
+        for n in range(1, self.longest + 1):
+            rolling = rolling * np.uint64(0x100000001B3) + padded[n - 1:n - 1 + len(data)] + np.uint64(1)
+            if n >= self.shortest:
+                mixed = (rolling ^ (rolling >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
+                ids[:, n - self.shortest + 1] = np.where(left >= n, (mixed >> np.uint64(40)) % np.uint64(self.buckets), -1).astype(np.int32)
+        return ids, begins
 
 
 def words_of(text: str) -> list[str]:
@@ -81,9 +88,10 @@ def train(
     bags = []
     for text in texts:
         parts = words_of(text)
-        for w in parts:
-            if w not in cache:
-                cache[w] = np.array(shape.grams(w), dtype=np.int32)
+        fresh = sorted({w for w in parts if w not in cache})
+        if fresh:
+            ids, begins = shape.grams(fresh)
+            cache.update(zip(fresh, (g[g >= 0] for g in (part.ravel() for part in np.split(ids, begins[1:])))))
         grams = [cache[w] for w in parts]
         bags.append((np.concatenate(grams), np.array([len(g) for g in grams], dtype=np.int32)) if grams else (np.zeros(0, dtype=np.int32),) * 2)
     del cache
@@ -119,7 +127,8 @@ class Scorer:
     """Class logits of whole texts from the table of n-gram scores; keeps the amounts of words it has met."""
 
     def __init__(self, shape: Shape, table: np.ndarray, bias: np.ndarray):
-        self.shape, self.table, self.bias = shape, table, bias
+        self.shape, self.bias = shape, bias
+        self.table = np.vstack([table, np.zeros((1, table.shape[1]), dtype=table.dtype)])  # no n-gram: the last row
         self.numbers: dict[str, int] = {}
         self.amounts = np.zeros((1024, table.shape[1]), dtype=np.float64)
 
@@ -130,13 +139,9 @@ class Scorer:
         if len(self.numbers) + len(fresh) > KEPT_WORDS:
             self.numbers = {}
             fresh = list(words)
-        ids, sizes = [], []
-        for w in fresh:
-            g = self.shape.grams(w)
-            ids += g
-            sizes.append(len(g))
-        sizes = np.array(sizes)
-        sums = np.add.reduceat(self.table[ids], np.cumsum(sizes) - sizes, axis=0, dtype=np.float64)
+        ids, begins = self.shape.grams(fresh)
+        sums = np.add.reduceat(self.table[ids].sum(axis=1, dtype=np.float64), begins, axis=0)
+        sizes = np.add.reduceat((ids >= 0).sum(axis=1), begins)
         begin, end = len(self.numbers), len(self.numbers) + len(fresh)
         if end > len(self.amounts):
             grown = np.zeros((max(2 * len(self.amounts), end), self.table.shape[1]))

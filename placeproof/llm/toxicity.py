@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from placeproof.llm.common import as_bytes
 from placeproof.llm.subwords import Model, Scorer, Shape, batches_of, softmax, train
 
-SHAPE = Shape(shortest=2, longest=5, buckets=1 << 17, dim=16)
+SHAPE = Shape(shortest=2, longest=6, buckets=1 << 17, dim=16)
 SAMPLE, EPOCHS, RATE, SEED, SHARE, WINDOW = 3000, 8, 0.3, 7, 0.4, 12
 FOLDS, HELD_OUT = 5, 0
 
