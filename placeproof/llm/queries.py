@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from placeproof.llm import hilbert, langid, simhash, suffix_dedup, toxicity, warc
+from placeproof.llm import hilbert, langid, mixing, packing, simhash, suffix_dedup, toxicity, warc
 from placeproof.llm.common import table
 
 QUERIES = {}
@@ -21,6 +21,21 @@ def query(name: str, sql: str | None = None):
     return add
 
 
+MIX_SHARE = 0.6
+
+
+@query("op1_mixing", mixing.oracle(
+    "documents", {"source": "source", "lang": "lang", "topic": mixing.TOPIC_SQL}, mixing.TARGETS, "CAST(coalesce(len(regexp_extract_all(text, '[^ \\t\\n\\v\\f\\r]+')), 0) AS BIGINT)", MIX_SHARE))
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    dimensions = {"source": F.col("source"), "lang": F.col("lang"), "topic": F.expr(mixing.TOPIC_SQL)}
+    return mixing.mix(table(spark, sf_dir, "documents"), dimensions, mixing.TARGETS, packing.words(F.col("text")), MIX_SHARE)
+
+
+@query("op2_best_fit_packing")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), packing.words(F.col("text")))
+
+
 @query("op3_suffix_array_dedup")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
