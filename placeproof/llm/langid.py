@@ -74,11 +74,11 @@ def fit(docs: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col:
 
 
 def identify(docs: DataFrame, language: Language | None, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None) -> DataFrame:
-    """(doc_id, held_out, lang_pred, score, rejected) and the `carry` columns for every row, over its whole text.
+    """(doc_id, held_out, lang_pred, score, rejected) for every row, over its whole text.
 
     A null text or one without a letter is `und` with score 0 and rejected. Others get the likeliest language; they are rejected
     if its probability or the share of n-grams that training met is under its limit. Without a model all is `und`.
-    Results come under names that begin with an underscore if columns are carried, so that none can clash.
+    With carried columns the result is (row, found): two structs, so that no names can clash.
     """
     carry = carry or []
     names = ["doc_id", "held_out", "lang_pred", "score", "rejected"]
@@ -108,4 +108,4 @@ def identify(docs: DataFrame, language: Language | None, id_col: str = "doc_id",
         run, f"doc_id long, held_out boolean, lang_pred string, score double, rejected boolean{wide}")
     if not carry:
         return found
-    return found.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(carry)], *[F.col(n).alias(f"_{n}") for n in names])
+    return found.select(F.struct(*[F.col(f"c{i}").alias(c) for i, c in enumerate(carry)]).alias("row"), F.struct(*names).alias("found"))

@@ -332,13 +332,15 @@ def remove_repeats(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None, with_text: bool = False,
     block_bytes: int = BLOCK_BYTES,
 ) -> DataFrame:
-    """The `carry` columns (default: the id), n_bytes, n_removed, n_spans, kept_sha256, spans and, if asked for, kept_text.
+    """The id, n_bytes, n_removed, n_spans, kept_sha256, spans and, if asked for, kept_text.
+
+    With `carry` columns the result is (row, found): two structs, so that no names can clash.
 
     A byte goes if a 100-byte string over it also starts earlier: in a row with a smaller id, or earlier in the same text.
     Rows with one id come in the order of their texts; null ids come last, in the order of a hash of the text. A null text
     is empty. kept_text leaves out the halves of characters that a cut splits. An empty table gives an empty result.
     """
-    carry = [id_col] if carry is None else carry
+    carry, wide = [id_col] if carry is None else carry, carry is not None
     text, own = F.coalesce(F.col(text_col).cast("string"), F.lit("")), F.col(id_col).cast("long")
     total = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
     blocks = max(1, -(-total // block_bytes))
@@ -358,7 +360,8 @@ def remove_repeats(
     compared = mixed.repartition("anchor").mapInArrow(_compare, "b long, k long, kind int, x binary, y binary")
     names = pa.schema([(f.name, pa.null()) for f in out])
     cut = by_block.cogroup(answers.unionByName(compared).groupBy("b")).applyInArrow(_cokeyed(_cut, buckets, len(carry), with_text, names), out)
-    return cut.select(*[F.col(f"_{i}").alias(c) for i, c in enumerate(carry)], *[f.name for f in out][len(carry):])
+    row, found = [F.col(f"_{i}").alias(c) for i, c in enumerate(carry)], [f.name for f in out][len(carry):]
+    return cut.select(F.struct(*row).alias("row"), F.struct(*found).alias("found")) if wide else cut.select(*row, *found)
 
 
 def _keyed(function, *args):
