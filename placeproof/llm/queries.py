@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from placeproof.llm import hilbert, langid, mixing, packing, simhash, suffix_dedup, toxicity, warc
+from placeproof.llm import hilbert, langid, mixing, nndescent, packing, simhash, suffix_dedup, toxicity, warc
 from placeproof.llm.common import table
 
 QUERIES = {}
@@ -74,3 +74,8 @@ SELECT page_id, CAST(strlen(body) AS BIGINT) AS payload_bytes,
 FROM p""")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archived(table(spark, sf_dir, "pages"))
+
+
+@query("op6_nn_descent")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nndescent.near_vectors(table(spark, sf_dir, "embeddings"))
