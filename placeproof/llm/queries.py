@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from placeproof.llm import hilbert, langid, mixing, nndescent, packing, simhash, suffix_dedup, toxicity, warc
+from placeproof.llm import hilbert, langid, mixing, nndescent, packing, simhash, suffix_dedup, toxicity, wand, warc
 from placeproof.llm.common import table
 
 QUERIES = {}
@@ -79,3 +79,8 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op6_nn_descent")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nndescent.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+@query("op7_exact_top_k")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wand.top_k(table(spark, sf_dir, "documents"), F.col("doc_id") % 100 == 0)
