@@ -74,12 +74,12 @@ def train(
     """Joint stochastic gradient descent over embeddings and softmax, one text a step, steps scaled as in Adagrad.
 
     With a `window` (two classes), a text is after the warm-up the window of so many words that speaks most for the second class,
-    so a few words weigh as much in a long text as in a short one.
+    so a few words weigh as much in a long text as in a short one. Without texts all classes are alike.
     """
     rng = np.random.default_rng(seed)
     k = len(labels)
     vectors = rng.uniform(-0.5 / shape.dim, 0.5 / shape.dim, (shape.buckets, shape.dim)).astype(np.float32)
-    weights = rng.normal(0, 0.1, (shape.dim, k)).astype(np.float32)
+    weights = rng.normal(0, 0.1, (shape.dim, k)).astype(np.float32) * (1 if texts else 0)
     bias = np.zeros(k, dtype=np.float32)
     seen_vectors = np.full(shape.buckets, 1e-6, dtype=np.float32)
     seen_weights = np.full_like(weights, 1e-3)
