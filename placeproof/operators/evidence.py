@@ -196,12 +196,11 @@ def is_highlight() -> Column:
 
 
 def score(
-    images: DataFrame, campus: DataFrame, buildings: DataFrame | None = None, lang: str = "en", exact_unicode: bool = False
+    images: DataFrame, campus: DataFrame, buildings: DataFrame | None = None, lang: str = "en"
 ) -> DataFrame:
     """Image rows to photo rows. Rows that are no photo of a place are removed before any other work.
 
-    `campus` has profile_id, names[], lat, lng, ring and official_domains[]. With `exact_unicode` the few rows with rare
-    characters are folded in Python; without it every expression stays in the JVM.
+    `campus` has profile_id, names[], lat, lng, ring and official_domains[]. Every expression stays in the JVM.
     """
     kept = with_texts(images).filter(~not_a_place())
     context = spatial.with_outline(campus).select(
@@ -214,8 +213,7 @@ def score(
     else:
         hits = spatial.building_at(images.select("profile_id", "seq", "lat", "lng"), buildings)
         joined = joined.join(hits, ["profile_id", "seq"], "left")
-    normalize = text.normalize_text_exact if exact_unicode else text.normalize_text
-    joined = joined.withColumn("_norm", normalize(own_text()))
+    joined = joined.withColumn("_norm", text.normalize_text(own_text()))
     flagged = joined.withColumns({
         "geo": spatial.position(F.col("lat"), F.col("lng"), F.col("c_lat"), F.col("c_lng"), F.col("edges"),
                                 F.col("ring_center")),

@@ -136,7 +136,7 @@ def extract_page_images(spark, sf_dir):
     pages = views.spread(views.table(spark, sf_dir, "pages")).select(
         (F.col("page_id") % 25).alias("profile_id"), F.col("page_id").alias("seq"), "url", F.concat(head, F.col("html")).alias("html"))
     rows = site.extract_page_images(pages, _today())
-    return rows.select("id", F.floor(F.col("seq") / 65_536).cast("bigint").alias("page_id"), "date_taken")
+    return rows.select("id", F.shiftright("seq", 32).alias("page_id"), "date_taken")
 
 
 @query("sitemap_links", """SELECT p_size AS site_id, 'https://s' || p_size || '/campus/' || p_partkey AS link, position FROM (SELECT *, row_number()

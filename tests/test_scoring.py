@@ -1,5 +1,7 @@
 """Scored facts: inputs and the tier, category or evidence they must give."""
 
+import unicodedata
+
 import pytest
 from helpers import IN_LIBRARY, INSIDE, NAMES, RING, STREET, buildings, campus, images
 
@@ -152,11 +154,16 @@ def test_no_python_and_no_nested_loop_on_the_scoring_path(spark):
     assert "Python" not in plan and "NestedLoop" not in plan and "Cartesian" not in plan
 
 
-def test_exact_unicode_agrees_on_ordinary_text(spark):
-    rows = [{**INSIDE, "title": "File:Korea University ﬁeld №5 Straße.jpg"}, {"title": "Ｋｏｒｅａ Ｕｎｉｖｅｒｓｉｔｙ"}]
-    one = evidence.score(images(spark, rows), campus(spark)).select("id", "confidence").collect()
-    two = evidence.score(images(spark, rows), campus(spark), exact_unicode=True).select("id", "confidence").collect()
-    assert sorted(one) == sorted(two)
+def test_a_decomposed_name_is_the_same_name(spark):
+    rows = [{"title": unicodedata.normalize(form, "File:고려대학교 정문.jpg")} for form in ("NFC", "NFD")]
+    one, two = evidence.score(images(spark, rows), campus(spark)).select("confidence").collect()
+    assert one == two and one["confidence"] > evidence.score(images(spark, [{"title": "File:정문.jpg"}]), campus(spark)).first()["confidence"]
+
+
+def test_the_institution_found_is_named_in_any_alphabet(spark):
+    found = evidence.other_institution(F.array(F.lit("Korea University"))).alias("found")
+    rows = images(spark, [{"title": "Городская Больница"}, {"title": "CITY HOSPITAL"}, {"title": "안산병원"}])
+    assert [r["found"] for r in rows.orderBy("seq").select(found).collect()] == ["Больниц", "HOSPITAL", "병원"]
 
 
 def test_prompt_margins(spark):
