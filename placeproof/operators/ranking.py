@@ -55,11 +55,17 @@ def parse_targets(value: Column) -> Column:
 
 
 def select_targets(photos: DataFrame, targets: dict[str, int]) -> DataFrame:
-    """The best reliable photos per category up to its target (all without one) and every unconfirmed photo."""
+    """The best reliable photos per category up to its target (all without one) and every unconfirmed photo.
+
+    Photos with an `embedding` column are picked for diversity; without one, likeness is unknown and their rank decides.
+    """
     if not targets:
         return photos
     capped = reliable() & F.col("category").isin(list(targets))
     wanted = F.element_at(F.create_map(*[F.lit(x) for pair in targets.items() for x in pair]), F.col("category"))
+    if "embedding" in photos.columns:
+        picked = diverse_top(photos.filter(capped), max(targets.values()))
+        return photos.filter(~capped).unionByName(picked.filter(F.col("pick") <= wanted).drop("pick").select(photos.columns))
     best = Window.partitionBy("profile_id", "category").orderBy(*rank_order(), "seq")
     top = photos.filter(capped).withColumn("_n", F.row_number().over(best)).filter(
         F.col("_n") <= max(targets.values())).filter(F.col("_n") <= wanted).drop("_n")
@@ -266,3 +272,9 @@ def gallery_filter(
 
 def page(ordered: DataFrame, size: int) -> DataFrame:
     return ordered.limit(size)
+
+
+def page_with_rest(ordered: DataFrame, size: int) -> DataFrame:
+    """The first `size` rows, each with the number of rows after them."""
+    total = ordered.agg(F.count("*").alias("n")).scalar()
+    return ordered.limit(size).withColumn("remaining", F.greatest(total - size, F.lit(0)).cast("bigint"))

@@ -8,13 +8,15 @@ from pyspark.sql import functions as F
 
 from placeproof.functions.geo import haversine_m
 from placeproof.functions.text import name_similarity, normalize_text
+from placeproof.session import cut_lineage
 
 # Fixed values.
-MAX_CANDIDATES, MAX_ALIASES, HITS_PER_REGISTRY = 5, 12, 10
+MAX_CANDIDATES, MAX_ALIASES = 5, 12
 MIN_SIMILARITY, RESOLVED_SIMILARITY = 0.6, 0.9
 RESOLVED_SCORE, RESOLVED_GAP, NOT_FOUND_BELOW = 0.7, 0.1, 0.55
 SAME_PLACE_KM = 15.0
 CORRECTED_FACTOR, CHOSEN_SIMILARITY = 0.95, 0.95
+AFTER_LEFT = 1 << 32
 SIMILARITY_SHARE, BOTH_SHARE, POPULARITY_SHARE, POPULAR_LINKS = 0.55, 0.15, 0.3, 150
 
 
@@ -23,11 +25,8 @@ def all_names() -> Column:
 
 
 def same_organisation(left: DataFrame, right: DataFrame) -> DataFrame:
-    """(query_id, l_ord, r_ord) that share a registry id, an entity id, or a name within 15 km.
-
-    Compares what the lookups return, so at most ten hits a side and query.
-    """
-    l, r = limit_hits(left).withColumnRenamed("ord", "l_ord"), limit_hits(right).withColumnRenamed("ord", "r_ord")
+    """(query_id, l_ord, r_ord) that share a registry id, an entity id, or a name within 15 km."""
+    l, r = left.withColumnRenamed("ord", "l_ord"), right.withColumnRenamed("ord", "r_ord")
     pair = ["query_id", "l_ord", "r_ord"]
     by_registry = l.filter(F.col("ror_id") != "").select("query_id", "l_ord", "ror_id").join(
         r.filter(F.col("ror_id") != "").select("query_id", "r_ord", "ror_id"), ["query_id", "ror_id"]).select(pair)
@@ -41,40 +40,35 @@ def same_organisation(left: DataFrame, right: DataFrame) -> DataFrame:
     return by_registry.union(by_entity).union(by_name).distinct()
 
 
-def _first_free(edges: Column) -> Column:
-    """Greedy one-to-one picks from a sorted array of (r_ord, l_ord): the first edge of a right hit whose left is free."""
-    none = F.array().cast("array<bigint>")
-
-    def step(done: Column, edge: Column) -> Column:
-        used = F.array_contains(done["l"], edge["l_ord"]) | F.array_contains(done["r"], edge["r_ord"])
-        return F.when(used, done).otherwise(F.struct(
-            F.array_append(done["l"], edge["l_ord"]).alias("l"), F.array_append(done["r"], edge["r_ord"]).alias("r")))
+def _one_to_one(edges: DataFrame) -> DataFrame:
+    """Each right hit in order takes its first left hit that no earlier one took.
 
-    picked = F.aggregate(edges, F.struct(none.alias("l"), none.alias("r")), step)
-    return F.zip_with(picked["l"], picked["r"], lambda l, r: F.struct(l.alias("l"), r.alias("r")))
-
-
-def limit_hits(hits: DataFrame, limit: int = HITS_PER_REGISTRY) -> DataFrame:
-    """What a registry lookup returns: its first hits per query."""
-    first = Window.partitionBy("query_id").orderBy("ord")
-    return hits.withColumn("_n", F.row_number().over(first)).filter(F.col("_n") <= limit).drop("_n")
+    An edge that is the first of both its ends is certain, and the edges of taken ends fall away; this goes on until no
+    edge is left. Rounds are joins over narrow rows, so a query may have any number of hits.
+    """
+    left, picked = cut_lineage(edges), None
+    while not left.isEmpty():
+        of_right = left.groupBy("query_id", "r_ord").agg(F.min("l_ord").alias("l_ord"))
+        of_left = left.groupBy("query_id", "l_ord").agg(F.min("r_ord").alias("r_ord"))
+        sure = cut_lineage(of_right.join(of_left, ["query_id", "l_ord", "r_ord"]))
+        picked = sure if picked is None else picked.unionByName(sure)
+        left = cut_lineage(left.join(sure.select("query_id", "l_ord"), ["query_id", "l_ord"], "left_anti").join(
+            sure.select("query_id", "r_ord"), ["query_id", "r_ord"], "left_anti").select("query_id", "l_ord", "r_ord"))
+    return left if picked is None else picked
 
 
 def merge_registries(left: DataFrame, right: DataFrame) -> DataFrame:
     """One row per organisation: each right hit joins the first left hit of its query that it matches and is still free.
 
-    A registry answers with at most ten hits, so a query has at most a hundred edges: they fit one small array, and the
-    greedy pick is a fold over it.
+    `group_ord` is the left hit's place, or that of a right hit alone after all left ones. How many hits a lookup returns is
+    the lookup's affair (`sources.registries`); all that come take part.
     """
-    l, r = limit_hits(left), limit_hits(right)
-    edges = same_organisation(left, right).groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("r_ord", "l_ord"))).alias("edges"))
-    pick = F.explode(_first_free(F.col("edges")))
-    picks = edges.select("query_id", pick.alias("p")).select("query_id", F.col("p.l").alias("l_ord"), F.col("p.r").alias("r_ord"))
+    picks = _one_to_one(same_organisation(left, right))
     columns = [c for c in left.columns if c != "query_id"]
-    a = l.select("query_id", F.col("ord").alias("l_ord"), F.struct(*columns).alias("left"))
-    b = r.select("query_id", F.col("ord").alias("r_ord"), F.struct(*columns).alias("right"))
+    a = left.select("query_id", F.col("ord").alias("l_ord"), F.struct(*columns).alias("left"))
+    b = right.select("query_id", F.col("ord").alias("r_ord"), F.struct(*columns).alias("right"))
     return a.join(picks, ["query_id", "l_ord"], "left").join(b, ["query_id", "r_ord"], "full_outer").select(
-        "query_id", "left", "right", F.coalesce("l_ord", F.col("r_ord") + F.lit(1_000_000)).alias("group_ord"))
+        "query_id", "left", "right", F.coalesce("l_ord", F.col("r_ord") + F.lit(AFTER_LEFT)).alias("group_ord"))
 
 
 def _side_names(side: str) -> Column:
@@ -132,7 +126,10 @@ def decide(scored: DataFrame, queries: DataFrame) -> DataFrame:
 
 
 def top_candidates(scored: DataFrame, limit: int = MAX_CANDIDATES) -> DataFrame:
-    return with_gap(scored).filter(F.col("position") <= limit)
+    """The first candidates of every query that found something: none where the best score is too low."""
+    first = with_gap(scored).filter(F.col("position") <= limit)
+    best = F.max("score").over(Window.partitionBy("query_id"))
+    return first.withColumn("_best", best).filter(F.col("_best") >= NOT_FOUND_BELOW).drop("_best")
 
 
 def to_candidate(ranked: DataFrame) -> DataFrame:

@@ -15,7 +15,7 @@ def _today():
 
 
 def _docs(spark, sf_dir):
-    return views.spread(views.table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
+    return views.table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
 
 
 def _payload(rows, struct: str):
@@ -117,7 +117,7 @@ WEB = """named_struct('title', title_text, 'url', CASE WHEN page_id % 8 = 7 THEN
     'https://t/' || page_id END), 12) AS id, regexp_extract(url, '^https?://([^/?#]+)', 1) AS source_domain, md5(html) AS digest FROM pages WHERE
     page_id % 8 <> 7 AND 150 + page_id % 90 >= 200""")
 def normalize_web_search(spark, sf_dir):
-    pages = views.spread(views.table(spark, sf_dir, "pages")).withColumn("title_text", F.col("html"))
+    pages = views.table(spark, sf_dir, "pages").withColumn("title_text", F.col("html"))
     payloads = pages.selectExpr("page_id % 25 AS profile_id", "page_id AS seq", f"to_json({WEB}) AS payload")
     rows = images.normalize_web_search(payloads)
     return rows.select(F.col("seq").alias("page_id"), "id", "source_domain", F.md5(F.col("title").cast("binary")).alias("digest"))
@@ -133,7 +133,7 @@ def extract_page_images(spark, sf_dir):
         F.lit('<meta property="og:image" content="/img/'), key, F.lit('_library.jpg"><img src="/x.svg" alt="campus library">'),
         F.lit('<script type="application/ld+json">{"@graph": [{"@type": "ImageObject", "contentUrl": "'), origin, F.lit("/img/"), key,
         F.lit('_library.jpg", "dateCreated": "2021-03"}]}</script>'))
-    pages = views.spread(views.table(spark, sf_dir, "pages")).select(
+    pages = views.table(spark, sf_dir, "pages").select(
         (F.col("page_id") % 25).alias("profile_id"), F.col("page_id").alias("seq"), "url", F.concat(head, F.col("html")).alias("html"))
     rows = site.extract_page_images(pages, _today())
     return rows.select("id", F.shiftright("seq", 32).alias("page_id"), "date_taken")

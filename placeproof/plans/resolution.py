@@ -54,9 +54,27 @@ def same_organisation(spark, sf_dir):
     return resolve.same_organisation(_hits(spark, sf_dir, LEFT), _hits(spark, sf_dir, RIGHT))
 
 
-@query("merge_registries")
+# For merging, a query has two dozen hits a side. In SQL every place of the right side is a step of its own.
+WIDE = 24
+WIDE_LEFT = {**LEFT, "query_id": f"p_partkey // {WIDE}", "ord": f"p_partkey % {WIDE}"}
+WIDE_RIGHT = {**RIGHT, "query_id": f"p_partkey // {WIDE}", "ord": f"{WIDE - 1} - p_partkey % {WIDE}"}
+
+
+def _merge_sql() -> str:
+    sides = ", ".join(f"{side} AS ({views.select_sql('part', columns)})" for side, columns in (("l", WIDE_LEFT), ("r", WIDE_RIGHT)))
+    steps = ["t0 AS (SELECT NULL::BIGINT AS query_id, NULL::BIGINT AS r_ord, NULL::BIGINT AS l_ord WHERE false)"]
+    for k in range(WIDE):
+        steps.append(f"t{k + 1} AS (SELECT * FROM t{k} UNION ALL SELECT e.query_id, e.r_ord, min(e.l_ord) FROM edge e ANTI JOIN t{k} t ON t.query_id = "
+                     f"e.query_id AND t.l_ord = e.l_ord WHERE e.r_ord = {k} GROUP BY e.query_id, e.r_ord)")
+    edge = EDGES[EDGES.index("edge AS"):]
+    return (f"WITH {sides}, {edge}, {', '.join(steps)} SELECT coalesce(l.query_id, r.query_id) AS query_id, coalesce(l.ord, r.ord + {resolve.AFTER_LEFT}) AS "
+            f"group_ord, l.name AS l_name, r.name AS r_name FROM l LEFT JOIN t{WIDE} t ON t.query_id = l.query_id AND t.l_ord = l.ord FULL JOIN r ON "
+            "r.query_id = t.query_id AND r.ord = t.r_ord")
+
+
+@query("merge_registries", _merge_sql())
 def merge_registries(spark, sf_dir):
-    merged = resolve.merge_registries(_hits(spark, sf_dir, LEFT), _hits(spark, sf_dir, RIGHT))
+    merged = resolve.merge_registries(_hits(spark, sf_dir, WIDE_LEFT), _hits(spark, sf_dir, WIDE_RIGHT))
     return merged.select("query_id", "group_ord", F.col("left.name").alias("l_name"), F.col("right.name").alias("r_name"))
 
 
@@ -111,7 +129,8 @@ def decide_status(spark, sf_dir):
     return resolve.decide(given, given.select("query_id").distinct())
 
 
-@query("best_candidates", f"WITH {GIVEN} SELECT query_id, name, position FROM kept WHERE position <= 5")
+@query("best_candidates", f"""WITH {GIVEN} SELECT query_id, name, position FROM kept WHERE position <= 5 AND query_id IN
+    (SELECT query_id FROM kept GROUP BY query_id HAVING max(score) >= 0.55e0)""")
 def best_candidates(spark, sf_dir):
     return resolve.top_candidates(_given(spark, sf_dir)).select("query_id", "name", "position")
 
@@ -137,11 +156,11 @@ def city_center(spark, sf_dir):
 
 
 @query("attach_place_labels", """WITH lab AS (SELECT c_nationkey AS place_id, CASE c_custkey % 4 WHEN 0 THEN 'ru' WHEN 1 THEN 'en' WHEN 2 THEN
-    'ko' ELSE 'kk' END AS lang, c_name AS label FROM customer WHERE c_acctbal > c_nationkey * 300), best AS (SELECT *, row_number() OVER
+    'ko' ELSE 'kk' END AS lang, c_name AS label FROM customer), best AS (SELECT *, row_number() OVER
     (PARTITION BY place_id ORDER BY CASE lang WHEN 'ko' THEN 0 WHEN 'en' THEN 1 WHEN 'ru' THEN 2 ELSE 3 END, lang, label) AS n FROM lab)
     SELECT s_suppkey, label AS place FROM supplier LEFT JOIN best ON place_id = s_nationkey AND n = 1""")
 def attach_place_labels(spark, sf_dir):
-    labels = views.table(spark, sf_dir, "customer").filter("c_acctbal > c_nationkey * 300").selectExpr(
+    labels = views.table(spark, sf_dir, "customer").selectExpr(
         "c_nationkey AS place_id", "CASE c_custkey % 4 WHEN 0 THEN 'ru' WHEN 1 THEN 'en' WHEN 2 THEN 'ko' ELSE 'kk' END AS lang",
         "c_name AS label")
     rows = views.table(spark, sf_dir, "supplier").withColumnRenamed("s_nationkey", "city_id")
@@ -323,7 +342,7 @@ def summary_sources(spark, sf_dir):
 @query("extractive_summary", """SELECT doc_id % 25 AS profile_id, coalesce(md5(arg_min(text, doc_id) FILTER (doc_id % 3 = 0)), md5('')) AS digest,
     CASE WHEN count_if(doc_id % 3 = 0) > 0 THEN 1 END AS citation FROM documents GROUP BY 1""")
 def extractive_summary(spark, sf_dir):
-    texts = views.spread(views.table(spark, sf_dir, "documents")).select(
+    texts = views.table(spark, sf_dir, "documents").select(
         (F.col("doc_id") % 25).alias("profile_id"), F.col("doc_id").alias("seq"), (F.col("doc_id") % 3 == 0).alias("is_extract"), "text")
     return profile.extractive_summary(texts).select(
         "profile_id", F.md5(F.col("text").cast("binary")).alias("digest"), "citation")

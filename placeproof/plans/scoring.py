@@ -37,7 +37,6 @@ def stored_photos(spark: SparkSession, sf_dir: str) -> DataFrame:
 def forget_stored() -> None:
     """Lets the next report write its photos anew, as a run on its own would."""
     _STORED.clear()
-    views._SPREAD.clear()
 
 
 def _sorted_tags() -> F.Column:
@@ -284,6 +283,13 @@ def gallery_page(spark, sf_dir):
     return ranking.page(ranking.sort_by_confidence(shown), 24).select("id")
 
 
+@query("gallery_page_rest", scored("""SELECT id, greatest((SELECT count(*) FROM photo WHERE reliable) - 24, 0) AS remaining FROM photo WHERE reliable
+    ORDER BY confidence DESC, seq LIMIT 24"""))
+def gallery_page_rest(spark, sf_dir):
+    shown = ranking.gallery_filter(stored_photos(spark, sf_dir))
+    return ranking.page_with_rest(ranking.sort_by_confidence(shown), 24).select("id", "remaining")
+
+
 # ---- reports ----
 
 GROUPS_SQL = """keys AS (SELECT profile_id, seq, 'sha1:' || sha1 AS class FROM img WHERE sha1 IS NOT NULL UNION ALL

@@ -14,7 +14,7 @@ NORMAL = r"trim(regexp_replace(regexp_replace(replace(lower({}), 'ß', 'ss'), '[
 
 
 def _docs(spark, sf_dir, *columns):
-    return views.spread(views.table(spark, sf_dir, DOCS).select("doc_id", "text", *columns))
+    return views.table(spark, sf_dir, DOCS).select("doc_id", "text", *columns)
 
 
 @query("normalize_text", f"SELECT doc_id, md5({NORMAL.format('text')}) AS digest FROM documents")
@@ -80,13 +80,13 @@ def title_stem(spark, sf_dir):
 @query("strip_tags", r"SELECT page_id, md5(trim(regexp_replace(regexp_replace(html, '<[^>]+>', ' ', 'g'), '\s+', ' ', 'g'))) AS digest "
                      "FROM pages")
 def strip_tags(spark, sf_dir):
-    pages = views.spread(views.table(spark, sf_dir, "pages").select("page_id", "html"))
+    pages = views.table(spark, sf_dir, "pages").select("page_id", "html")
     return pages.select("page_id", F.md5(text.strip_tags(F.col("html")).cast("binary")).alias("digest"))
 
 
 @query("clean_html")
 def clean_html(spark, sf_dir):
-    pages = views.spread(views.table(spark, sf_dir, "pages").select("page_id", "html"))
+    pages = views.table(spark, sf_dir, "pages").select("page_id", "html")
     return pages.select("page_id", F.length(text.clean_html(F.col("html"))).alias("letters"))
 
 
@@ -229,7 +229,7 @@ LINKED = r"""hrefs AS (SELECT page_id, url, unnest(regexp_extract_all(html, '<a\
 @query("extract_campus_links", f"WITH {LINKED} " + """SELECT page_id, link, position FROM (SELECT *, row_number() OVER (PARTITION BY page_id
     ORDER BY length(link), link) AS position FROM kept) WHERE position <= 8""")
 def extract_links(spark, sf_dir):
-    pages = views.spread(views.table(spark, sf_dir, "pages"))
+    pages = views.table(spark, sf_dir, "pages")
     return extract_campus_links(pages, path_words=["the", "la", "en", "de"])
 
 

@@ -10,7 +10,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from placeproof.schemas import as_images
-from placeproof.session import cut_lineage
 
 TODAY = "2026-09-17"
 
@@ -129,23 +128,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-_SPREAD: dict[tuple, DataFrame] = {}
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Rows of an input with fewer file splits than cores, over all cores; a large input already has enough splits.
-
-    Such a small input is written once, because filters would otherwise move below the repartition into its few splits.
-    """
-    context = df.sparkSession.sparkContext
-    if df.rdd.getNumPartitions() >= context.defaultParallelism:
-        return df
-    key = (context.applicationId, tuple(df.columns), tuple(df.inputFiles()))
-    if key not in _SPREAD:
-        _SPREAD[key] = cut_lineage(df.repartition(context.defaultParallelism))
-    return _SPREAD[key]
-
-
 def derived(spark: SparkSession, sf_dir: str, name: str, columns: dict[str, str]) -> DataFrame:
     return table(spark, sf_dir, name).selectExpr(*[f"{e} AS {c}" for c, e in columns.items()])
 
@@ -155,7 +137,7 @@ def select_sql(name: str, columns: dict[str, str]) -> str:
 
 
 def images(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spread(table(spark, sf_dir, "documents").select("doc_id", "text", "lang")).selectExpr(
+    rows = table(spark, sf_dir, "documents").select("doc_id", "text", "lang").selectExpr(
         *[f"{e} AS {c}" for c, e in IMAGE.items()])
     return as_images(rows.withColumn("source_categories", F.array("category_a", "category_b")))
 
