@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from placeproof import schemas
 from placeproof.operators import verdicts
 from placeproof.plans import views
-from placeproof.plans.copies import ANSWER
+from placeproof.plans.copies import ANSWER, REVIEWED
 from placeproof.plans.logs import COSTED
 from placeproof.plans.registry import ORACLES, query
 from placeproof.plans.scored_sql import scored
@@ -33,22 +33,49 @@ def _collect(spark, stream, mode="append", keys=None):
     root = _folder(spark)
     table = jobs.BatchTable(spark, f"{root}/out", jobs.schema_text(stream))
     jobs.run_available(stream, table.write, f"{root}/checkpoint", mode)
-    return table.latest(keys) if keys else table.before().drop("batch")
+    return table.latest(keys) if keys else table.rows().drop("batch", "version")
 
 
-@query("daily_budget_stream", f"{COSTED} SELECT CAST(day AS VARCHAR) AS day, user_id, CAST(sum(cost) AS BIGINT) AS spent FROM c GROUP BY day, user_id")
-def daily_budget_stream(spark, sf_dir):
+def _budget(spark, sf_dir):
     usage = _stream(spark, sf_dir, "events").selectExpr(
         "CAST(ts AS TIMESTAMP) AS ts", *[f"{e} AS {c}" for c, e in views.USAGE.items() if c != "day"])
-    return _collect(spark, jobs.daily_budget(usage), "update", ["day", "user_id"]).withColumn("day", F.col("day").cast("string"))
+    root = _folder(spark)
+    budget = jobs.DailyBudget(spark, f"{root}/spent")
+    jobs.run_available(usage, budget.add, f"{root}/checkpoint")
+    return budget
 
 
-@query("upsert_stream", """SELECT event_id AS seq FROM (SELECT *, lag(event_id % 2) OVER (PARTITION BY user_id ORDER BY event_id) AS before FROM events)
-    WHERE before IS NULL OR before <> event_id % 2""")
-def upsert_stream(spark, sf_dir):
+@query("daily_budget_stream", f"{COSTED} SELECT CAST(day AS VARCHAR) AS day, user_id, CAST(sum(cost) AS BIGINT) AS spent FROM c GROUP BY day, user_id")
+def daily_budget_stream(spark, sf_dir):
+    return _budget(spark, sf_dir).by_user().withColumn("day", F.col("day").cast("string"))
+
+
+@query("daily_total_stream", f"{COSTED} SELECT CAST(day AS VARCHAR) AS day, CAST(sum(cost) AS BIGINT) AS spent, count(DISTINCT user_id) AS users FROM c GROUP BY day")
+def daily_total_stream(spark, sf_dir):
+    return _budget(spark, sf_dir).total().withColumn("day", F.col("day").cast("string"))
+
+
+def _changes(spark, sf_dir, expires=None):
     log = _stream(spark, sf_dir, "events").select(
-        "user_id", F.col("event_id").alias("seq"), (F.col("event_id") % 2).alias("content"))
-    return _collect(spark, jobs.upsert_stream(log, "user_id", ["content"])).select("seq")
+        "user_id", F.col("event_id").alias("seq"), (F.col("event_id") % 2).alias("content"), F.col("ts").cast("timestamp").alias("ts"))
+    root = _folder(spark)
+    changes = jobs.Changes(spark, root, jobs.schema_text(log), "user_id", ["content"], expires)
+    jobs.run_available(log, changes.add, f"{root}/checkpoint")
+    return changes.changed.rows().select("seq")
+
+
+BEFORE = "SELECT *, lag(event_id % 2) OVER w AS before, lag(ts) OVER w AS since FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)"
+
+
+@query("upsert_stream", f"SELECT event_id AS seq FROM ({BEFORE}) WHERE before IS NULL OR before <> event_id % 2")
+def upsert_stream(spark, sf_dir):
+    return _changes(spark, sf_dir)
+
+
+@query("expiring_upsert_stream", f"""SELECT event_id AS seq FROM ({BEFORE}) WHERE before IS NULL OR before <> event_id % 2 OR
+    epoch_us(CAST(ts AS TIMESTAMP)) - epoch_us(CAST(since AS TIMESTAMP)) > 3600000000""")
+def expiring_upsert_stream(spark, sf_dir):
+    return _changes(spark, sf_dir, ("ts", 3600))
 
 
 @query("fold_events_stream", "SELECT user_id, event_type, max(event_id) AS seq, arg_max(props, event_id) AS payload FROM events GROUP BY ALL")
@@ -62,37 +89,47 @@ def event_log_replay(spark, sf_dir):
     return _collect(spark, _stream(spark, sf_dir, "events").select("event_id", "event_type"))
 
 
-def _build(spark, sf_dir):
-    """All images by the registered point first, then the outlines of the profiles."""
+def _build(spark, sf_dir, verdicts_first=False):
+    """All images by the registered point, then the outlines of the profiles; verdicts, if asked for, before both."""
     root = _folder(spark)
     build = jobs.ProfileBuild(spark, root, schemas.RAW_IMAGES, schemas.CAMPUS, views.buildings(spark, sf_dir))
+    campus = views.campus(spark, sf_dir)
+    build.campus.write(campus.withColumn("ring", F.lit(None).cast(schemas.RING)), "points")
+    if verdicts_first:
+        answers = _stream(spark, sf_dir, "events").selectExpr(*[f"{e} AS {c}" for c, e in ANSWER.items()])
+        given = answers.select(
+            (F.col("event_id") % 25).alias("profile_id"), F.concat(F.lit("img-"), F.col("event_id").cast("string")).alias("id"),
+            F.col("event_id").alias("seq"),
+            verdicts.review_verdict(F.to_json(F.struct("label", "category", "confidence", "highlight"))).alias("verdict"))
+        jobs.run_available(given, build.add_verdicts, f"{root}/from-verdicts")
     documents = _stream(spark, sf_dir, "documents").selectExpr(*[f"{e} AS {c}" for c, e in views.IMAGE.items()])
     arriving = schemas.as_images(documents.withColumn("source_categories", F.array("category_a", "category_b")))
-    campus = views.campus(spark, sf_dir)
-    build.campus.write(campus.withColumn("ring", F.lit(None).cast(schemas.RING)), 0)
-    jobs.run_available(arriving, lambda rows, batch: build.add_images(rows, 1 + batch), f"{root}/from-images")
+    jobs.run_available(arriving, build.add_images, f"{root}/from-images")
     nations = _stream(spark, sf_dir, "nation").select("n_nationkey")
     jobs.run_available(nations, lambda rows, batch: build.add_campus(campus.join(
-        rows.select(F.col("n_nationkey").cast("bigint").alias("profile_id")), "profile_id", "left_semi"), 1000 + batch),
-        f"{root}/from-shapes")
-    return root, build
+        rows.select(F.col("n_nationkey").cast("bigint").alias("profile_id")), "profile_id", "left_semi"), batch), f"{root}/from-shapes")
+    return build
 
 
 @query("late_outline_stream", scored("SELECT id, CAST(confidence AS BIGINT) AS confidence, tier, category FROM photo"))
 def late_outline_stream(spark, sf_dir):
-    _, build = _build(spark, sf_dir)
-    return build.current().select("id", F.col("confidence").cast("bigint").alias("confidence"), "tier", "category")
+    return _build(spark, sf_dir).current().select("id", F.col("confidence").cast("bigint").alias("confidence"), "tier", "category")
 
 
-@query("apply_verdicts_stream")
+def _with_verdicts(sql: str) -> str:
+    """The image view with the fields of the given verdicts in place."""
+    plain = f"img AS ({views.SQL['img']})"
+    return sql.replace(plain, f"""{REVIEWED}, img0 AS ({views.SQL['img']}), img AS (SELECT img0.* REPLACE (v.event_id IS NOT NULL OR vision_checked AS
+        vision_checked, CASE WHEN v.event_id IS NULL THEN vision_label ELSE v.label END AS vision_label, CASE WHEN v.event_id IS NULL THEN vision_weight
+        ELSE v.weight END AS vision_weight, CASE WHEN v.event_id IS NULL THEN vision_veto ELSE v.veto END AS vision_veto, CASE WHEN v.event_id IS NULL
+        THEN vision_category ELSE v.category END AS vision_category, CASE WHEN v.event_id IS NULL THEN vision_source ELSE 'review' END AS vision_source,
+        CASE WHEN v.event_id IS NULL THEN vision_highlight ELSE v.event_id % 3 = 0 AND v.label = 'campus_place' END AS vision_highlight) FROM img0 LEFT JOIN v ON v.event_id = img0.seq)""")
+
+
+@query("apply_verdicts_stream", _with_verdicts(scored("SELECT id, CAST(confidence AS BIGINT) AS confidence, tier, category FROM photo")))
 def apply_verdicts_stream(spark, sf_dir):
-    root, build = _build(spark, sf_dir)
-    answers = _stream(spark, sf_dir, "events").selectExpr(*[f"{e} AS {c}" for c, e in ANSWER.items()])
-    given = answers.select(
-        (F.col("event_id") % 25).alias("profile_id"), F.concat(F.lit("img-"), F.col("event_id").cast("string")).alias("id"),
-        verdicts.review_verdict(F.to_json(F.struct("label", "category", "confidence", "highlight"))).alias("verdict"))
-    jobs.run_available(given, lambda rows, batch: build.add_verdicts(rows, 2000 + batch), f"{root}/from-verdicts")
-    return build.current().select("id", "confidence", "tier", "category")
+    build = _build(spark, sf_dir, verdicts_first=True)
+    return build.current().select("id", F.col("confidence").cast("bigint").alias("confidence"), "tier", "category")
 
 
 @query("duplicates_stream", ORACLES["group_duplicates"])
@@ -102,4 +139,4 @@ def duplicates_stream(spark, sf_dir):
     documents = _stream(spark, sf_dir, "documents").selectExpr(*[f"{views.IMAGE[c]} AS {c}" for c in (
         "profile_id", "seq", "source", "title", "sha1")]).withColumn("sig", F.lit(None).cast("bigint"))
     jobs.run_available(documents, groups.add, f"{root}/checkpoint")
-    return groups.groups.before().select(F.concat(F.lit("img-"), F.col("seq").cast("string")).alias("id"), "group_seq")
+    return groups.groups.rows().select(F.concat(F.lit("img-"), F.col("seq").cast("string")).alias("id"), "group_seq")

@@ -1,28 +1,22 @@
-"""The pipeline as incremental jobs: append-only inputs, keyed state, and batch tables on shared storage.
+"""The pipeline as incremental jobs: append-only inputs and batch tables on shared storage.
 
 A batch table keeps one folder per micro-batch. A batch that runs again after a failure replaces its own folder and reads
-only earlier ones, so every job gives each change exactly once.
+only the others, so every job gives each change exactly once.
 """
 
 from __future__ import annotations
 
-import hashlib
-import json
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
+from pyspark.sql.streaming import StreamingQuery
 
 from placeproof.operators import dedupe, evidence, events, verdicts
+from placeproof.operators.skew import previous_row
 from placeproof.operators.spend import with_cost
 from placeproof.session import cut_lineage
 
-STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-VERDICT_TTL_MS = 7 * 86_400_000
-
 
 def follow(spark: SparkSession, folder: str, schema: str, glob: str = "*.parquet", files_per_batch: int | None = None) -> DataFrame:
     """An append-only log: a new reader sees everything so far and then what arrives, as often as it likes."""
@@ -43,24 +37,26 @@ def run_available(
 
 
 class BatchTable:
-    """Rows of a job by micro-batch, in folders of their own."""
+    """Rows of a job in a folder for each batch. `version` grows with every new batch and says which rows are later; a batch that
+    runs again replaces its own folder and is compared with the others only."""
 
     def __init__(self, spark: SparkSession, path: str, schema: str) -> None:
-        self.spark, self.path, self.schema = spark, path, schema
+        self.spark, self.path, self.schema = spark, path, schema + ", version bigint"
+        spark.createDataFrame([], self.schema).write.mode("ignore").parquet(f"{path}/batch=none")
 
-    def write(self, rows: DataFrame, batch: int) -> None:
-        rows.write.mode("overwrite").parquet(f"{self.path}/batch={batch}")
+    def rows(self, but: str | int | None = None) -> DataFrame:
+        """All rows with their `version` and `batch`, or those of the other batches."""
+        stored = self.spark.read.schema(self.schema + ", batch string").parquet(self.path)
+        return stored if but is None else stored.filter(F.col("batch") != str(but))
 
-    def before(self, batch: int | None = None) -> DataFrame:
-        """Rows of earlier batches with their `batch`; everything without a number."""
-        try:
-            stored = self.spark.read.schema(self.schema + ", batch bigint").parquet(self.path)
-        except AnalysisException:
-            stored = self.spark.createDataFrame([], self.schema + ", batch bigint")
-        return stored if batch is None else stored.filter(F.col("batch") < batch)
+    def write(self, rows: DataFrame, batch: str | int) -> None:
+        version = self.rows(batch).agg(F.coalesce(F.max("version"), F.lit(0))).first()[0] + 1
+        rows.withColumn("version", F.lit(version).cast("bigint")).write.mode("overwrite").parquet(f"{self.path}/batch={batch}")
 
-    def latest(self, keys: list[str], batch: int | None = None) -> DataFrame:
-        return events.keep_last(self.before(batch), keys, "batch").drop("batch")
+    def latest(self, keys: list[str], but: str | int | None = None, order: list[str] | None = None) -> DataFrame:
+        """The last row of each key, by `order` (a number that the input carries) and then by version."""
+        stamped = self.rows(but).withColumn("_at", F.struct(*(order or []), "version"))
+        return events.keep_last(stamped, keys, "_at").drop("_at", "version", "batch")
 
 
 def schema_text(df: DataFrame) -> str:
@@ -70,105 +66,109 @@ def schema_text(df: DataFrame) -> str:
 # ---- changes by key ----
 
 
-class _Changes(StatefulProcessor):
-    """Keeps the last content hash of a key and passes rows that differ from it, in order."""
+class Changes:
+    """Rows whose content differs from the last one of their key; repeats are ignored. State is one row per key, in a table.
 
-    def __init__(self, content: list[str], ttl_ms: int | None) -> None:
-        self.content, self.ttl_ms = content, ttl_ms
+    Rows of a key count in the order of `seq`; one that arrives behind the key's last row is late and changes nothing. With
+    `expires` (a time column and seconds) a key is forgotten after that long, so a later repeat counts as new.
+    """
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.last = handle.getValueState("last", "hash string", ttlDurationMs=self.ttl_ms)
+    def __init__(self, spark: SparkSession, root: str, schema: str, key: str, content: list[str], expires: tuple[str, int] | None = None) -> None:
+        kinds = dict(spark.createDataFrame([], schema).dtypes)
+        self.key, self.content, self.expires = key, content, expires
+        self.changed = BatchTable(spark, f"{root}/changed", schema)
+        self.last = BatchTable(spark, f"{root}/last", f"`{key}` {kinds[key]}, seq bigint, hash bigint, micros bigint")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        batch = pd.concat(list(rows)).sort_values("seq")
-        known = self.last.get()[0] if self.last.exists() else None
-        kept = []
-        for row in batch.itertuples(index=False):
-            content = json.dumps([getattr(row, c) for c in self.content], default=str)
-            hashed = hashlib.sha1(content.encode()).hexdigest()
-            if hashed != known:
-                kept.append(row)
-                known = hashed
-        self.last.update((known,))
-        if kept:
-            yield pd.DataFrame(kept, columns=batch.columns)
+    def add(self, rows: DataFrame, batch: int) -> None:
+        micros = F.unix_micros(self.expires[0]) if self.expires else F.lit(None).cast("bigint")
+        known = self.last.latest([self.key], batch, ["seq"]).select(
+            self.key, F.col("seq").alias("_seq"), F.col("hash").alias("_hash"), F.col("micros").alias("_micros"))
+        stamped = cut_lineage(rows.withColumns({"hash": F.xxhash64(F.to_json(F.struct(*self.content))), "micros": micros}).join(
+            known, self.key, "left").filter(F.col("_seq").isNull() | (F.col("seq") > F.col("_seq"))))
+        linked = previous_row(stamped, [self.key], "seq", {"_before": "hash", "_then": "micros"})
+        before, then = F.coalesce("_before", "_hash"), F.coalesce("_then", "_micros")
+        gone = F.coalesce(F.col("micros") - then > self.expires[1] * 1_000_000, F.lit(False)) if self.expires else F.lit(False)
+        self.changed.write(linked.filter(before.isNull() | (before != F.col("hash")) | gone).select(rows.columns), batch)
+        self.last.write(events.keep_last(stamped.select(self.key, "seq", "hash", "micros"), [self.key], "seq"), batch)
 
-    def close(self) -> None:
-        pass
 
+def fold_stream(stream: DataFrame, keys: list[str]) -> DataFrame:
+    """The last payload per key, updated as events arrive."""
+    return stream.groupBy(*keys).agg(F.max(F.struct("seq", "payload")).alias("last")).select(*keys, "last.seq", "last.payload")
 
-def upsert_stream(stream: DataFrame, key: str, content: list[str], ttl_ms: int | None = None) -> DataFrame:
-    """Rows whose content differs from the last one of their key; repeats are ignored. State is one hash per key.
 
-    With `ttl_ms` a key is forgotten after that long, so a later repeat counts as new.
-    """
-    stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
-    return stream.groupBy(key).transformWithStateInPandas(
-        statefulProcessor=_Changes(content, ttl_ms), outputStructType=stream.schema, outputMode="Append",
-        timeMode="ProcessingTime" if ttl_ms else "None")
+class DailyBudget:
+    """Spend per UTC day: every batch stores its sums, and the day's total is theirs, however late a call arrives."""
 
+    def __init__(self, spark: SparkSession, root: str) -> None:
+        self.spent = BatchTable(spark, root, "day date, user_id bigint, spent bigint")
 
-def fold_stream(stream: DataFrame, keys: list[str]) -> DataFrame:
-    """The last payload per key, updated as events arrive."""
-    return stream.groupBy(*keys).agg(F.max(F.struct("seq", "payload")).alias("last")).select(*keys, "last.seq", "last.payload")
+    def add(self, rows: DataFrame, batch: int, time: str = "ts") -> None:
+        dated = with_cost(rows).withColumn("day", F.to_date(time))
+        self.spent.write(dated.groupBy("day", "user_id").agg(F.sum("cost").cast("bigint").alias("spent")), batch)
 
+    def by_user(self) -> DataFrame:
+        return self.spent.rows().groupBy("day", "user_id").agg(F.sum("spent").alias("spent"))
 
-def daily_budget(stream: DataFrame, time: str = "ts") -> DataFrame:
-    """Spend per UTC day and user in tumbling windows; a day's state is dropped a day after it ends."""
-    timed = with_cost(stream).withWatermark(time, "1 day")
-    return timed.groupBy(F.window(time, "1 day"), "user_id").agg(F.sum("cost").alias("spent")).select(
-        F.to_date("window.start").alias("day"), "user_id", "spent")
+    def total(self) -> DataFrame:
+        return self.spent.rows().groupBy("day").agg(F.sum("spent").alias("spent"), F.count_distinct("user_id").alias("users"))
 
 
 # ---- the profile build ----
 
 
 class ProfileBuild:
-    """Images, outlines and verdicts arrive in any order; photos come out again under their id only when they change."""
+    """Images, outlines and verdicts arrive in any order; photos come out again under their id only when they change.
+
+    Each input has a table of its own, and they meet when photos are published: an image has its version with the largest
+    `seq`, its last verdict, if there is one yet, and its profile's last outline. So repeats change nothing, a verdict may
+    come before its image, and a new version of an image keeps the verdict.
+    """
 
     KEYS = ["profile_id", "id"]
 
     def __init__(self, spark: SparkSession, root: str, images: str, campus: str, buildings: DataFrame | None = None) -> None:
+        verdict = schema_text(spark.range(0).select(verdicts.review_verdict(F.lit("{}")).alias("verdict")))
         self.images = BatchTable(spark, f"{root}/images", images)
         self.campus = BatchTable(spark, f"{root}/campus", campus)
+        self.verdicts = BatchTable(spark, f"{root}/verdicts", f"profile_id bigint, id string, seq bigint, {verdict}")
         probe = evidence.score(
             spark.createDataFrame([], images), spark.createDataFrame([], campus), buildings).drop("title")
+        self.fields = probe.columns
         self.photos = BatchTable(spark, f"{root}/photos", schema_text(probe) + ", removed boolean")
         self.buildings = buildings
 
-    def _publish(self, images: DataFrame, campus: DataFrame, batch: int) -> None:
-        """Score the images and append what differs from the last published version, including removals."""
-        fields = [c for c in self.photos.before().columns if c not in ("batch", "removed")]
-        now = cut_lineage(evidence.score(images, campus, self.buildings).select(fields))
+    def _publish(self, touched: DataFrame, batch: str) -> None:
+        """Score the touched images as all inputs now say and append what differs from the last published version."""
+        images = self.images.latest(self.KEYS, order=["seq"]).join(touched.distinct(), self.KEYS, "left_semi")
+        answers = self.verdicts.latest(self.KEYS, order=["seq"]).select(*self.KEYS, "verdict")
+        told = verdicts.apply_verdict(images.join(answers, self.KEYS, "left")).select(images.columns)
+        now = cut_lineage(evidence.score(told, self.campus.latest(["profile_id"]), self.buildings).select(self.fields))
         gone = images.select(*self.KEYS).join(now, self.KEYS, "left_anti")
-        stamped = now.withColumns({"removed": F.lit(False), "stamp": F.xxhash64(F.to_json(F.struct(*fields)))})
+        stamped = now.withColumns({"removed": F.lit(False), "stamp": F.xxhash64(F.to_json(F.struct(*self.fields)))})
         seen = self.photos.latest(self.KEYS, batch).select(*self.KEYS, F.col("removed").alias("was_removed"), F.xxhash64(
-            F.to_json(F.struct(*fields))).alias("old"))
+            F.to_json(F.struct(*self.fields))).alias("old"))
         changed = stamped.join(seen, self.KEYS, "left").filter(
-            F.col("old").isNull() | F.col("was_removed") | (F.col("old") != F.col("stamp"))).select(*fields, "removed")
+            F.col("old").isNull() | F.col("was_removed") | (F.col("old") != F.col("stamp"))).select(*self.fields, "removed")
         withdrawn = seen.filter(~F.col("was_removed")).join(gone, self.KEYS, "left_semi").select(
-            *[F.col(c) if c in self.KEYS else F.lit(None).alias(c) for c in fields], F.lit(True).alias("removed"))
+            *[F.col(c) if c in self.KEYS else F.lit(None).alias(c) for c in self.fields], F.lit(True).alias("removed"))
         self.photos.write(changed.unionByName(withdrawn), batch)
 
     def add_images(self, rows: DataFrame, batch: int) -> None:
-        """New or changed images: the last version of each in the batch, scored against the outlines known so far."""
-        last = events.keep_last(rows, self.KEYS, "seq")
-        self.images.write(last, batch)
-        self._publish(last, self.campus.latest(["profile_id"], batch), batch)
+        """New or changed images."""
+        self.images.write(events.keep_last(rows, self.KEYS, "seq"), f"images-{batch}")
+        self._publish(rows.select(*self.KEYS), f"images-{batch}")
 
     def add_campus(self, rows: DataFrame, batch: int) -> None:
-        """Late outlines: all images of the touched profiles are scored again."""
-        self.campus.write(rows, batch)
-        touched = self.images.latest(self.KEYS, batch).join(rows.select("profile_id").distinct(), "profile_id", "left_semi")
-        self._publish(touched, rows, batch)
+        """Outlines: all images of the touched profiles are scored again. Of several for a profile in a batch one is taken."""
+        self.campus.write(rows.dropDuplicates(["profile_id"]), f"campus-{batch}")
+        self._publish(self.images.rows().join(rows.select("profile_id"), "profile_id", "left_semi").select(*self.KEYS), f"campus-{batch}")
 
     def add_verdicts(self, rows: DataFrame, batch: int) -> None:
-        """Visual verdicts (profile_id, id, verdict): the images they name are updated and scored again."""
-        latest = self.images.latest(self.KEYS, batch)
-        named = latest.join(rows.select(*self.KEYS, "verdict"), self.KEYS)
-        updated = verdicts.apply_verdict(named).select(latest.columns)
-        self.images.write(updated, batch)
-        self._publish(updated, self.campus.latest(["profile_id"], batch), batch)
+        """Visual verdicts (profile_id, id, verdict and, if known, seq); the last of an image holds, now or when the image comes."""
+        numbered = rows if "seq" in rows.columns else rows.withColumn("seq", F.lit(0).cast("bigint"))
+        self.verdicts.write(events.keep_last(numbered.select(*self.KEYS, "seq", "verdict"), self.KEYS, "seq"), f"verdicts-{batch}")
+        self._publish(rows.select(*self.KEYS), f"verdicts-{batch}")
 
     def current(self) -> DataFrame:
         return self.photos.latest(self.KEYS).filter(~F.col("removed")).drop("removed")
@@ -184,6 +184,6 @@ class DuplicateStream:
         self.groups = BatchTable(spark, f"{root}/groups", "profile_id bigint, seq bigint, group_seq bigint")
 
     def add(self, rows: DataFrame, batch: int) -> None:
-        placed = dedupe.place_into_groups(rows, self.photos.before(batch).drop("batch"))
+        placed = dedupe.place_into_groups(rows, self.photos.rows(batch).drop("batch", "version"))
         self.groups.write(placed.select("profile_id", "seq", "group_seq"), batch)
         self.photos.write(rows, batch)

@@ -1,13 +1,15 @@
 """Sources, resolution, storage and streams end to end on small inputs."""
 
+import datetime
 import json
 
+import pytest
 from helpers import INSIDE, LIBRARY, RING, buildings, campus, images
 from pyspark.sql import functions as F
 
 from placeproof import schemas
 from placeproof.functions.text import name_similarity
-from placeproof.operators import evidence, resolve, spatial
+from placeproof.operators import evidence, resolve, spatial, verdicts
 from placeproof.sources import images as sources
 from placeproof.sources import maps, site, store
 from placeproof.streaming import jobs
@@ -114,33 +116,66 @@ def test_profiles_are_replaced_one_by_one(spark, tmp_path):
 
 def test_changes_over_several_batches(spark, tmp_path):
     schema = "id string, seq bigint, v int"
-    log, out = str(tmp_path / "log"), jobs.BatchTable(spark, str(tmp_path / "out"), schema)
-    for batch in ([("a", 1, 1), ("b", 2, 1), ("a", 3, 1)], [("a", 4, 2), ("b", 5, 1)], [("a", 6, 2), ("a", 7, 1)]):
+    log, changes = str(tmp_path / "log"), jobs.Changes(spark, str(tmp_path), schema, "id", ["v"])
+    for batch in ([("a", 1, 1), ("b", 2, 1), ("a", 3, 1)], [("a", 4, 2), ("b", 5, 1)], [("a", 6, 2), ("a", 7, 1)], [("a", 2, 9)]):
         spark.createDataFrame(batch, schema).coalesce(1).write.mode("append").parquet(log)
-        changes = jobs.upsert_stream(jobs.follow(spark, log, schema), "id", ["v"])
-        jobs.run_available(changes, lambda rows, n: out.write(rows, n), str(tmp_path / "cp"))
-    assert sorted(r["seq"] for r in out.before().collect()) == [1, 2, 4, 7]
+        jobs.run_available(jobs.follow(spark, log, schema), changes.add, str(tmp_path / "cp"))
+    assert sorted(r["seq"] for r in changes.changed.rows().collect()) == [1, 2, 4, 7]
+
+
+def test_a_batch_that_runs_again_changes_nothing(spark, tmp_path):
+    changes = jobs.Changes(spark, str(tmp_path), "id string, seq bigint, v int", "id", ["v"])
+    for number, batch in ((0, [("a", 1, 1)]), (1, [("a", 2, 1), ("a", 3, 2)]), (1, [("a", 2, 1), ("a", 3, 2)])):
+        changes.add(spark.createDataFrame(batch, "id string, seq bigint, v int"), number)
+    assert sorted(r["seq"] for r in changes.changed.rows().collect()) == [1, 3]
+
+
+def test_late_spend_counts_on_its_day(spark, tmp_path):
+    budget = jobs.DailyBudget(spark, str(tmp_path))
+    call = "ts timestamp, user_id bigint, model string, input_tokens bigint, output_tokens bigint, web_searches bigint"
+    day = lambda d: datetime.datetime(2026, 1, d, 12)
+    for number, d in enumerate((9, 1, 9)):
+        budget.add(spark.createDataFrame([(day(d), 1, "small", 1000, 1000, 1)], call), number)
+    spent = {r["day"].day: r["spent"] for r in budget.total().collect()}
+    assert set(spent) == {1, 9} and spent[9] == 2 * spent[1]
+
+
+def _verdict():
+    return F.struct(F.lit("not_campus_place").alias("label"), F.lit(-20).alias("weight"), F.lit(True).alias("veto"), F.lit(None).cast(
+        "string").alias("category"), F.lit(False).alias("highlight"), F.lit("review").alias("source"))
 
 
 def test_late_outline_and_verdict_change_a_photo_once(spark, tmp_path):
     build = jobs.ProfileBuild(spark, str(tmp_path), schemas.RAW_IMAGES, schemas.CAMPUS, buildings(spark))
     rows = images(spark, [{**INSIDE, "vision_checked": False}, {"title": "File:logo.png"}])
-    build.campus.write(campus(spark, ring=None), 0)
+    build.campus.write(campus(spark, ring=None), "points")
     build.add_images(rows, 1)
     assert [r["confidence"] for r in build.current().collect()] == [60]
     build.add_images(rows, 2)
     build.add_campus(campus(spark), 3)
-    verdict = F.struct(F.lit("not_campus_place").alias("label"), F.lit(-20).alias("weight"), F.lit(True).alias("veto"), F.lit(None).cast(
-        "string").alias("category"), F.lit(False).alias("highlight"), F.lit("review").alias("source"))
-    build.add_verdicts(rows.limit(1).select("profile_id", "id", verdict.alias("verdict")), 4)
+    build.add_verdicts(rows.limit(1).select("profile_id", "id", _verdict().alias("verdict")), 4)
     build.add_images(images(spark, [{**INSIDE, "title": "File:poster.jpg"}]), 5)
-    history = {r["batch"]: (r["confidence"], r["removed"]) for r in build.photos.before().collect()}
-    assert history == {1: (60, False), 3: (68, False), 4: (48, False), 5: (None, True)}
+    history = {r["batch"]: (r["confidence"], r["removed"]) for r in build.photos.rows().collect()}
+    assert history == {"images-1": (60, False), "campus-3": (68, False), "verdicts-4": (48, False), "images-5": (None, True)}
     assert build.current().count() == 0
 
 
+@pytest.mark.parametrize("order", ["icv", "vci", "civ", "ivvic"])
+def test_inputs_in_any_order_give_the_same_photos(spark, tmp_path, order):
+    build = jobs.ProfileBuild(spark, str(tmp_path), schemas.RAW_IMAGES, schemas.CAMPUS, buildings(spark))
+    rows = images(spark, [{**INSIDE, "vision_checked": False}, {"title": "File:Korea University gate.jpg"}])
+    twice = rows.limit(1).select("profile_id", "id", _verdict().alias("verdict"))
+    add = {"i": lambda n: build.add_images(rows, n), "c": lambda n: build.add_campus(campus(spark).union(campus(spark)), n),
+           "v": lambda n: build.add_verdicts(twice.union(twice), n)}
+    for n, kind in enumerate(order):
+        add[kind](n)
+    want = evidence.score(verdicts.apply_verdict(rows.join(twice, ["profile_id", "id"], "left")).select(rows.columns), campus(spark), buildings(spark))
+    key = lambda df: sorted(tuple(r) for r in df.select("id", "confidence", "tier").collect())
+    assert key(build.current()) == key(want)
+
+
 def test_duplicates_keep_their_groups_as_photos_arrive(spark, tmp_path):
     stream = jobs.DuplicateStream(spark, str(tmp_path))
     for n, batch in enumerate([[(1, 0, "a", "", "x", None), (1, 1, "a", "", "y", None)], [(1, 2, "a", "", "y", None), (2, 3, "a", "", "x", None)]]):
         stream.add(spark.createDataFrame(batch, jobs.DuplicateStream.PHOTO), n)
-    assert {r["seq"]: r["group_seq"] for r in stream.groups.before().collect()} == {0: 0, 1: 1, 2: 1, 3: 3}
+    assert {r["seq"]: r["group_seq"] for r in stream.groups.rows().collect()} == {0: 0, 1: 1, 2: 1, 3: 3}
