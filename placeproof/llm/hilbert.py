@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from placeproof.llm.common import stored
 
-BITS, SHARDS, GROUP_ROWS = 5, 16, 1 << 16
+BITS, SHARDS, GROUP_ROWS = 5, 16, 1 << 12
 
 
 def curve_index(axes: np.ndarray, bits: int) -> np.ndarray:
