@@ -12,6 +12,9 @@ with one anchor form a run. Texts are split into blocks (hash of the id), and th
    distance to the anchor, classes of equal strings; all but the first of a class go;
 4. blocks apply the answers to their texts.
 
+An anchor with very many different surroundings isn't gathered: the strings of its runs go one by one, by a digest of each, and
+every block sends only its first of equal ones.
+
 Hashes only say which runs to compare; runs that are equal as a whole are told by 128 bits of two hashes.
 """
 
@@ -29,7 +32,8 @@ from pyspark.sql import types as T
 from placeproof.llm.common import as_bytes
 
 LENGTH, GRAM, BLOCK_BYTES = 100, 32, 1 << 20
-ONCE, AGAIN, MIXED = 0, 1, 2
+CROWD = 1024
+ONCE, AGAIN, MIXED, SPLIT = 0, 1, 2, 3
 A, B, C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xBF58476D1CE4E5B9))
 
 
@@ -63,6 +67,7 @@ class Runs:
         self.begin = np.cumsum(sizes) - sizes
         self.end = self.begin + sizes
         self.data = np.frombuffer(b"".join(texts), dtype=np.uint8)
+        self.length, self.gram = length, gram
         self.start = self.last = self.anchor = self.doc = np.zeros(0, dtype=np.int64)
         self.hash = self.whole = np.zeros(0, dtype=np.uint64)
         long = np.flatnonzero(sizes >= length)
@@ -71,6 +76,7 @@ class Runs:
             return
         span = length - gram + 1
         h, doubled = gram_hashes(self.data, gram)
+        self.doubled = doubled
         least = sliding_min(h, span)
         fresh = np.ones(len(least), dtype=bool)
         fresh[1:] = (least[1:] != least[:-1]) | (h[: len(least) - 1] == least[:-1])
@@ -94,6 +100,17 @@ class Runs:
         _, self.first = np.unique(_mixed(self.hash * C + self.whole), return_index=True)
         self.first.sort()
 
+    def strings(self, runs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """All strings of some runs: run, where it starts, 128 bits of hashes as two columns, and whether it is the block's first."""
+        n = self.last[runs] - self.start[runs] + 1
+        run = np.repeat(runs, n)
+        start = np.repeat(self.start[runs] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        digest = np.column_stack([self.doubled[start], self.doubled[start + self.length - 2 * self.gram]])
+        order = np.lexsort((start, digest[:, 1], digest[:, 0]))
+        first = np.zeros(len(start), dtype=bool)
+        first[order] = np.r_[True, (digest[order][1:] != digest[order][:-1]).any(axis=1)]
+        return run, start, digest, first
+
     def bucket(self, buckets: int) -> np.ndarray:
         """Of the runs in `first`."""
         return ((_mixed(self.hash[self.first] * A) >> np.uint64(33)) % np.uint64(buckets)).astype(np.int64)
@@ -121,7 +138,7 @@ def _send(buckets: int, key: tuple, table: pa.Table) -> pa.Table:
     return pa.table({"k": pa.array(found, pa.int64()), "b": pa.array([key[0].as_py()] * len(found), pa.int64()), "hash": pa.array(out[0], pa.binary()), "whole": pa.array(out[1], pa.binary()), "ord": pa.array(out[2], pa.binary())})
 
 
-def _answer(key: tuple, table: pa.Table) -> pa.Table:
+def _answer(crowd: int, key: tuple, table: pa.Table) -> pa.Table:
     joined = [b"".join(table[c].to_pylist()) for c in ("hash", "whole", "ord")]
     h, whole = (np.frombuffer(x, dtype=np.uint64) for x in joined[:2])
     order = np.frombuffer(joined[2], dtype=np.int64)
@@ -135,7 +152,7 @@ def _answer(key: tuple, table: pa.Table) -> pa.Table:
         anchor = np.r_[True, h[some][1:] != h[some][:-1]]
         kind = anchor | np.r_[True, whole[some][1:] != whole[some][:-1]]
         kinds = np.add.reduceat(kind, np.flatnonzero(anchor), dtype=np.int64)[np.cumsum(anchor) - 1]
-        status[some] = np.where(~kind, AGAIN, np.where(kinds > 1, MIXED, ONCE))
+        status[some] = np.where(~kind, AGAIN, np.where(kinds > crowd, SPLIT, np.where(kinds > 1, MIXED, ONCE)))
     ends = np.cumsum([len(x) // 8 for x in table["hash"].to_pylist()])
     return pa.table({"b": table["b"], "k": table["k"], "kind": pa.array([0] * len(ends), pa.int32()), "x": pa.array([s.tobytes() for s in np.split(status, ends[:-1])], pa.binary()), "y": pa.array([b""] * len(ends), pa.binary())})
 
@@ -152,13 +169,24 @@ def _statuses(runs: Runs, buckets: int, answers: pa.Table) -> np.ndarray:
 def _surroundings(buckets: int, key: tuple, table: pa.Table, answers: pa.Table) -> pa.Table:
     rows, texts = _in_order(table)
     runs = Runs(texts)
-    at = np.flatnonzero(_statuses(runs, buckets, answers) == MIXED)
-    order = np.array(table["o"].to_pylist(), dtype=np.int64)[rows][runs.doc[at]] if len(at) else np.zeros(0, dtype=np.int64)
+    status = _statuses(runs, buckets, answers)
+    order = np.array(table["o"].to_pylist(), dtype=np.int64)[rows]
+    at = np.flatnonzero(status == MIXED)
     data = runs.data.tobytes()
+    columns = [
+        [runs.hash[at].view(np.int64), at, order[runs.doc[at]], runs.anchor[at] - runs.start[at]]]
+    sent = [data[s:e] for s, e in zip(runs.start[at].tolist(), (runs.last[at] + LENGTH).tolist())]
+    crowded = np.flatnonzero(status == SPLIT)
+    if len(crowded):
+        run, start, digest, first = runs.strings(crowded)
+        run, start, digest = run[first], start[first], np.ascontiguousarray(digest[first])
+        columns.append([_mixed(digest[:, 0] * C + digest[:, 1]).view(np.int64), run, order[runs.doc[run]], start - runs.anchor[run] - 1])
+        raw = digest.tobytes()
+        sent += [raw[16 * i:16 * i + 16] for i in range(len(run))]
+    anchor, run, ranks, lead = (np.concatenate(x) for x in zip(*columns))
     return pa.table({
-        "anchor": pa.array(runs.hash[at].view(np.int64)), "b": pa.array([key[0].as_py()] * len(at), pa.int64()), "run": pa.array(at, pa.int64()),
-        "ord": pa.array(order, pa.int64()), "lead": pa.array(runs.anchor[at] - runs.start[at], pa.int32()),
-        "bytes": pa.array([data[s:e] for s, e in zip(runs.start[at].tolist(), (runs.last[at] + LENGTH).tolist())], pa.binary())})
+        "anchor": pa.array(anchor), "b": pa.array([key[0].as_py()] * len(run), pa.int64()), "run": pa.array(run, pa.int64()),
+        "ord": pa.array(ranks, pa.int64()), "lead": pa.array(lead, pa.int32()), "bytes": pa.array(sent, pa.binary())})
 
 
 def shallow_order(words: np.ndarray, small: int = 4096) -> list[np.ndarray]:
@@ -272,7 +300,17 @@ def _compare(batches):
     block, run, order, lead = (table[c].to_numpy() for c in ("b", "run", "ord", "lead"))
     rank = np.empty(len(run), dtype=np.int64)
     rank[np.lexsort((run, block, order))] = np.arange(len(run))
-    gone = np.packbits(repeated_strings(table["anchor"].to_numpy().view(np.uint64), lead, table["bytes"].to_pylist(), rank), axis=1)
+    whole, single = np.flatnonzero(lead >= 0), np.flatnonzero(lead < 0)
+    gone = np.zeros((len(run), LENGTH - GRAM + 1), dtype=bool)
+    if len(whole):
+        part = table.take(pa.array(whole))
+        gone[whole] = repeated_strings(part["anchor"].to_numpy().view(np.uint64), lead[whole], part["bytes"].to_pylist(), rank[whole])
+    if len(single):
+        digest = np.frombuffer(b"".join(table["bytes"].take(pa.array(single)).to_pylist()), dtype=np.uint64).reshape(-1, 2)
+        by = np.lexsort((rank[single], digest[:, 1], digest[:, 0]))
+        again = single[by][np.r_[False, (digest[by][1:] == digest[by][:-1]).all(axis=1)]]
+        gone[again, -1 - lead[again]] = True
+    gone = np.packbits(gone, axis=1)
     some = np.flatnonzero(gone.any(axis=1))
     some = some[np.argsort(block[some], kind="stable")]
     blocks, begin = np.unique(block[some], return_index=True)
@@ -284,8 +322,13 @@ def _compare(batches):
 
 def _removed(runs: Runs, buckets: int, answers: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     """Begin and end of the removed stretches in the block's bytes; they may overlap and follow no order."""
-    again = np.flatnonzero(_statuses(runs, buckets, answers) == AGAIN)
+    status = _statuses(runs, buckets, answers)
+    again, crowded = np.flatnonzero(status == AGAIN), np.flatnonzero(status == SPLIT)
     begin, end = [runs.start[again]], [runs.last[again] + LENGTH]
+    if len(crowded):
+        _, start, _, first = runs.strings(crowded)
+        begin.append(start[~first])
+        end.append(start[~first] + LENGTH)
     for x, y, kind in zip(answers["x"].to_pylist(), answers["y"].to_pylist(), answers["kind"].to_pylist()):
         if kind == 1:
             at = np.frombuffer(x, dtype=np.int64)
@@ -330,7 +373,7 @@ def _cut(buckets: int, carried: int, with_text: bool, schema: pa.Schema, key: tu
 
 def remove_repeats(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None, with_text: bool = False,
-    block_bytes: int = BLOCK_BYTES,
+    block_bytes: int = BLOCK_BYTES, crowd: int = CROWD,
 ) -> DataFrame:
     """The id, n_bytes, n_removed, n_spans, kept_sha256, spans and, if asked for, kept_text.
 
@@ -344,7 +387,7 @@ def remove_repeats(
     text, own = F.coalesce(F.col(text_col).cast("string"), F.lit("")), F.col(id_col).cast("long")
     total = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
     blocks = max(1, -(-total // block_bytes))
-    buckets = max(1, blocks // 8)
+    buckets = max(blocks // 8, min(blocks, 64))
     order = F.coalesce(own, F.lit(1 << 62) + F.shiftrightunsigned(F.xxhash64(text), 2))
     rows = docs.select(*[F.col(c).alias(f"c{i}") for i, c in enumerate(carry)], text.alias("t"), order.alias("o"), F.pmod(F.xxhash64(order), F.lit(blocks)).alias("b"))
     types = [T.StructField(f"_{i}", docs.schema[c].dataType) for i, c in enumerate(carry)]
@@ -354,7 +397,7 @@ def remove_repeats(
         T.StructField("spans", spans), *([T.StructField("kept_text", T.StringType())] if with_text else [])])
     by_block = rows.groupBy("b")
     sent = by_block.applyInArrow(_keyed(_send, buckets), "k long, b long, hash binary, whole binary, ord binary")
-    answers = sent.groupBy("k").applyInArrow(_answer, "b long, k long, kind int, x binary, y binary")
+    answers = sent.groupBy("k").applyInArrow(_keyed(_answer, crowd), "b long, k long, kind int, x binary, y binary")
     mixed = by_block.cogroup(answers.groupBy("b")).applyInArrow(
         _cokeyed(_surroundings, buckets), "anchor long, b long, run long, ord long, lead int, bytes binary")
     compared = mixed.repartition("anchor").mapInArrow(_compare, "b long, k long, kind int, x binary, y binary")

@@ -105,10 +105,10 @@ def plain_repeats(rows, length=100):
     return sorted(out)
 
 
-@pytest.mark.parametrize("block_bytes", [700, 1 << 20])
-def test_suffix_dedup_on_odd_rows(spark, block_bytes):
+@pytest.mark.parametrize("block_bytes, crowd", [(700, 1024), (1 << 20, 1024), (700, 1), (3000, 2)])
+def test_suffix_dedup_on_odd_rows(spark, block_bytes, crowd):
     rows = [r for r in odd_rows() if r[0] is not None]
-    got = suffix_dedup.remove_repeats(spark.createDataFrame(rows, SCHEMA), block_bytes=block_bytes).collect()
+    got = suffix_dedup.remove_repeats(spark.createDataFrame(rows, SCHEMA), block_bytes=block_bytes, crowd=crowd).collect()
     assert sorted(tuple(r[:5]) for r in got) == plain_repeats([(r[0], (r[1] or "").encode()) for r in rows])
     assert all(sum(s.end - s.begin for s in r.spans) == r.n_removed and len(r.spans) == r.n_spans for r in got)
 
@@ -122,12 +122,13 @@ def test_suffix_dedup_keeps_columns_and_null_ids(spark):
     assert suffix_dedup.remove_repeats(spark.createDataFrame([], SCHEMA)).collect() == []
 
 
-def test_suffix_dedup_of_a_shared_passage_in_many_surroundings(spark):
+@pytest.mark.parametrize("crowd", [1024, 20])
+def test_suffix_dedup_of_a_shared_passage_in_many_surroundings(spark, crowd):
     rng = random.Random(9)
     noise = lambda n: "".join(rng.choice("abcdefghij ") for _ in range(n))
     passage = noise(180)
     rows = [(i, noise(rng.randint(0, 90)) + passage[rng.randint(0, 30):] + noise(rng.randint(0, 90))) for i in range(120)]
-    got = suffix_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), block_bytes=2000).collect()
+    got = suffix_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), block_bytes=2000, crowd=crowd).collect()
     assert sorted(tuple(r[:5]) for r in got) == plain_repeats([(i, t.encode()) for i, t in rows])
 
 
