@@ -5,7 +5,7 @@ round every node introduces its neighbours, those that list it included, to each
 best. A node whose whole list passes the threshold is saturated, and its list doubles. Only pairs that can lie on a path of
 two true links are worth keeping on the way: such a pair is at most twice the threshold's angle apart.
 
-Where a list is still saturated at the largest size, the node is in a crowd. Its links are counted without listing them: by
+Where a list is still saturated at the largest size, the node is in a crowd and introduces no more. Its links are counted without listing them: by
 angles to the crowd's centre where these alone decide, and block by block where they don't. The recall of what was found is
 audited against brute force for a bounded sample of nodes; while it is too low, more hyperplanes and rounds follow.
 """
@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from placeproof.llm.common import stored
 from placeproof.llm.components import components
 
-THRESHOLD, LIST, LARGEST, TREES, BLOCK, GROUP, ROUNDS, SAMPLE, RECALL = 0.93, 8, 64, 6, 512, 96, 8, 64, 0.95
+THRESHOLD, LIST, LARGEST, TREES, BLOCK, GROUP, ROUNDS, SAMPLE, RECALL = 0.93, 12, 24, 4, 512, 64, 3, 64, 0.95
 
 
 def nodes_of(rows: DataFrame, id_col: str, vector_col: str, label_col: str) -> DataFrame:
@@ -118,13 +118,14 @@ def _shorten(edges: DataFrame, room: DataFrame | None, size: int) -> DataFrame:
 def _refined(nodes: DataFrame, start: DataFrame, floor: float, threshold: float, rounds: int) -> DataFrame:
     graph, room, seen = stored(_shorten(start, None, LIST), "nn-graph"), None, -1
     for _ in range(rounds):
+        full = graph.groupBy("u").agg(F.count("*").alias("n"), F.min("sim").alias("least"))
+        crowded = full.where((F.col("n") >= LARGEST) & (F.col("least") >= threshold)).select(F.col("u").alias("host"))
         guests = _both_ways(graph).select(F.col("u").alias("host"), F.col("v").alias("id")).unionByName(
-            graph.select(F.col("u").alias("host"), F.col("u").alias("id"))).distinct()
+            graph.select(F.col("u").alias("host"), F.col("u").alias("id"))).distinct().join(crowded, "host", "left_anti")
         sizes = guests.groupBy("host").agg(F.ceil(F.count("*") / GROUP).cast("int").alias("parts"))
         seated = guests.join(sizes, "host").withColumn("part", F.pmod(F.xxhash64("host", "id"), F.col("parts")).cast("int"))
         met = seated.join(nodes.select("id", "unit"), "id").select("host", "part", "id", "unit").repartition("host", "part").mapInArrow(
             _introduce(floor), "u long, v long, sim double")
-        full = graph.groupBy("u").agg(F.count("*").alias("n"), F.min("sim").alias("least"))
         room = full.select("u", F.when((F.col("least") >= threshold) & (F.col("n") >= LIST), F.least(F.lit(LARGEST), F.greatest(2 * F.col("n"), F.lit(LIST)))).otherwise(
             F.greatest(F.col("n"), F.lit(LIST))).cast("int").alias("room"))
         graph = stored(_shorten(graph.select("u", "v", "sim").unionByName(_both_ways(met)), room, LIST), "nn-graph")
