@@ -3,8 +3,9 @@
 Document frequencies, the number of rows and their mean length are taken over the whole table, so a score doesn't depend on the
 shard. Each shard gets its documents as bags of words, then all queries with the weights of their words, in one sorted
 stream: the index is built once, and queries pass through it batch by batch. Words of few documents are added up from their
-postings. Words of many have dense rows, whose maxima over blocks of documents bound what they can add: blocks are scored in
-falling order of their bound, until no bound reaches the k-th score.
+postings. Words of many have dense rows, whose maxima over blocks of documents bound what they can add to a document there:
+blocks are scored in falling order of their bound, until no bound reaches the k-th score. Texts of one language and like length
+are neighbours, which keeps the bounds low.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from pyspark.sql import functions as F
 
 from placeproof.llm.common import as_bytes, stored
 
-K1, B, TOP, SHARD_DOCS, BLOCK, FREQUENT, KEPT_WORDS = 1.2, 0.75, 10, 1 << 14, 64, 16, 1 << 20
+K1, B, TOP, SHARD_DOCS, BLOCK, FREQUENT, FIRST, KEPT_WORDS = 1.2, 0.75, 10, 1 << 13, 8, 16, 8, 1 << 16
 WORD = re.compile(r"\w+")
 
 
@@ -44,7 +45,7 @@ class Words:
 
 def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     words = Words()
-    for batch in batches:
+    for batch in (b.slice(i, 512) for b in batches for i in range(0, b.num_rows, 512)):
         found = [words.bag(t) for t in as_bytes(batch.column("text"))]
         yield pa.RecordBatch.from_arrays([
             batch.column("id"), pa.array([int(c.sum()) for _, c in found], pa.int64()), pa.array([t.tobytes() for t, _ in found], pa.binary()),
@@ -53,33 +54,55 @@ def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """In how many of the task's rows each word occurs, and as word null: rows and words."""
-    words, rows, size = Words(), 0, 0
+    rows, size, held = 0, 0, 0
     waiting: list[np.ndarray] = []
-    held = 0
 
     def summed() -> pa.RecordBatch:
         terms, n = np.unique(np.concatenate(waiting), return_counts=True)
         return pa.RecordBatch.from_arrays([pa.array(terms), pa.array(n.astype(np.int64)), pa.array(np.zeros(len(n), dtype=np.int64))], ["term", "n", "words"])
 
     for batch in batches:
-        for text in as_bytes(batch.column("text")):
-            terms, counts = words.bag(text)
-            rows, size, held = rows + 1, size + int(counts.sum()), held + len(terms)
-            waiting.append(terms)
-            if held > 1 << 23:
-                yield summed()
-                waiting, held = [], 0
+        waiting.append(np.frombuffer(b"".join(batch.column("terms").to_pylist()), dtype=np.int64))
+        rows, size, held = rows + batch.num_rows, size + int(np.sum(batch.column("size").to_numpy())), held + len(waiting[-1])
+        if held > 1 << 21:
+            yield summed()
+            waiting, held = [], 0
     if waiting:
         yield summed()
     yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([rows], pa.int64()), pa.array([size], pa.int64())], ["term", "n", "words"])
 
 
+def _alike_together(sizes: np.ndarray, bags: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """An order in which texts of one language and of like length are neighbours, so that blocks have low bounds: by the common
+    word that a text uses most, then by length; a sample of the shard's texts says which words are common."""
+    n = len(bags)
+    if not n:
+        return np.zeros(0, dtype=np.int64)
+    some = bags[:: max(1, n // 512)]
+    words, often = np.unique(np.concatenate([t for t, _ in some]), return_counts=True)
+    words = words[often > len(some) // FREQUENT]
+    if not len(words):
+        return np.argsort(sizes, kind="stable")
+    doc = np.repeat(np.arange(n, dtype=np.int32), [len(t) for t, _ in bags])
+    terms = np.concatenate([t for t, _ in bags])
+    at = np.searchsorted(words, terms).clip(max=len(words) - 1).astype(np.int32)
+    common = np.flatnonzero(words[at] == terms)
+    count = np.concatenate([c for _, c in bags])[common]
+    by = np.lexsort((at[common], -count, doc[common]))
+    owner = doc[common][by]
+    first = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]]) if len(owner) else np.zeros(0, dtype=np.int64)
+    leading = np.full(n, -1, dtype=np.int64)
+    leading[owner[first]] = at[common][by][first]
+    return np.lexsort((sizes, leading))
+
+
 class Index:
     """One shard: postings by word, dense rows and their block maxima for frequent words."""
 
     def __init__(self, ids: np.ndarray, sizes: np.ndarray, bags: list[tuple[np.ndarray, np.ndarray]], mean: float):
-        order = np.argsort(ids, kind="stable")
-        self.ids, n = ids[order], len(ids)
+        n = len(ids)
+        order = _alike_together(sizes, bags)
+        self.ids = ids[order]
         lengths = np.array([len(bags[i][0]) for i in order], dtype=np.int64)
         term = np.concatenate([bags[i][0] for i in order]) if n else np.zeros(0, dtype=np.int64)
         count = np.concatenate([bags[i][1] for i in order]).astype(np.float64) if n else np.zeros(0)
@@ -92,13 +115,15 @@ class Index:
         self.terms = term[self.begin]
         self.end = np.r_[self.begin[1:], len(term)].astype(np.int64)
         self.blocks = -(-n // BLOCK)
-        often = np.flatnonzero(self.end - self.begin > max(BLOCK, n // FREQUENT))
+        often = np.flatnonzero(self.end - self.begin > max(64, n // FREQUENT))
         self.row = np.full(len(self.terms), -1, dtype=np.int64)
         self.row[often] = np.arange(len(often))
         self.dense = np.zeros((len(often), self.blocks * BLOCK))
         for r, t in enumerate(often):
             self.dense[r, self.doc[self.begin[t]:self.end[t]]] = self.impact[self.begin[t]:self.end[t]]
-        self.most = self.dense.reshape(len(often), self.blocks, BLOCK).max(axis=2)
+        self.dense = self.dense.reshape(len(often), self.blocks, BLOCK)
+        self.most = self.dense.max(axis=2)
+        self.padded = np.concatenate([self.ids, np.zeros(self.blocks * BLOCK - n, dtype=np.int64)])
 
     def top(self, query: int, terms: np.ndarray, weights: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids and scores of the k best rows but the query itself, ties by id; rows that share no word don't count."""
@@ -114,31 +139,38 @@ class Index:
         spot = np.repeat(begin - (np.cumsum(size) - size), size) + np.arange(size.sum())
         score = np.bincount(self.doc[spot], weights=self.impact[spot] * np.repeat(weights[rare], size), minlength=self.blocks * BLOCK)
         heavy = weights[~rare]
-        bound = score.reshape(-1, BLOCK).max(axis=1) + heavy @ self.most[often]
-        order = np.argsort(-bound, kind="stable")
-        best_ids, best = np.zeros(0, dtype=np.int64), np.zeros(0)
-        step, i = 8, 0
-        while i < len(order) and (len(best) < k or bound[order[i]] >= best[-1] - 1e-9):
-            part = order[i:i + step]
-            docs = (part[:, None] * BLOCK + np.arange(BLOCK)).ravel()
-            docs = docs[docs < len(self.ids)]
-            docs = docs[self.ids[docs] != query]
-            value = score[docs] + (heavy @ self.dense[np.ix_(often, docs)] if len(often) else 0)
-            good = value > 0
-            ids, value = np.r_[best_ids, self.ids[docs[good]]], np.r_[best, value[good]]
+        score = score.reshape(-1, BLOCK)
+        bound = score.max(axis=1) + heavy @ self.most[often]
+        best_ids, best, least, step = np.zeros(0, dtype=np.int64), np.zeros(0), 0.0, FIRST
+        while True:
+            rest = np.flatnonzero(bound > least)
+            if not len(rest):
+                return best_ids, best
+            part = rest if len(rest) <= 2 * step else rest[np.argpartition(-bound[rest], step - 1)[:step]]
+            bound[part] = -1.0
+            value = score[part].ravel()
+            if len(often):
+                value = value + heavy @ self.dense[np.ix_(often, part)].reshape(len(often), -1)
+            doc = (part[:, None] * BLOCK + np.arange(BLOCK)).ravel()
+            good = np.flatnonzero(value > least)
+            good = good[self.padded[doc[good]] != query] if len(good) else good
+            ids, value = np.r_[best_ids, self.padded[doc[good]]], np.r_[best, value[good]]
+            if len(value) > 4 * k:
+                high = value >= np.partition(value, -k)[-k]
+                ids, value = ids[high], value[high]
             keep = np.lexsort((ids, -value))[:k]
-            best_ids, best = ids[keep], value[keep]
-            i, step = i + step, min(64, 2 * step)
-        return best_ids, best
+            best_ids, best, step = ids[keep], value[keep], 8 * step
+            least = best[-1] - 1e-9 if len(best) == k else 0.0
 
 
 def _search(mean: float, k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, index, ids, sizes, bags = None, None, [], [], []
-        for batch in batches:
+        for batch in (b.slice(i, 256) for b in batches for i in range(0, b.num_rows, 256)):
             out: tuple[list, list, list] = [], [], []
             for s, query, i, size, terms, extra in zip(*(batch.column(c).to_pylist() for c in ("shard", "query", "id", "size", "terms", "extra"))):
                 if s != shard:
+                    del index
                     shard, index, ids, sizes, bags = s, None, [], [], []
                 if not query:
                     ids.append(i), sizes.append(size), bags.append((np.frombuffer(terms, dtype=np.int64), np.frombuffer(extra, dtype=np.int32)))
@@ -161,12 +193,13 @@ def top_k(docs: DataFrame, queries: Column, id_col: str = "doc_id", text_col: st
     are never found; rows with a null id take no part. Rows that repeat an id are hits of their own.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), F.coalesce(queries, F.lit(False)).alias("asks")).where("id IS NOT NULL")
-    counts = stored(rows.select("text").mapInArrow(_frequencies, "term long, n long, words long").groupBy("term").agg(F.sum("n").alias("n"), F.sum("words").alias("words")), "bm25-terms")
+    bags = stored(rows.select("id", "text").mapInArrow(_bags, "id long, size long, terms binary, counts binary"), "bm25-bags")
+    counts = stored(bags.select("size", "terms").mapInArrow(_frequencies, "term long, n long, words long").groupBy("term").agg(
+        F.sum("n").alias("n"), F.sum("words").alias("words")), "bm25-terms")
     told = counts.where("term IS NULL").first()
     total, words = (told["n"], told["words"]) if told else (0, 0)
     shards = max(1, -(-total // shard_docs))
-    bag = "id long, size long, terms binary, counts binary"
-    asked = stored(rows.where("asks").select("id", "text").mapInArrow(_bags, bag), "bm25-queries")
+    asked = bags.join(rows.where("asks").select(F.col("id").alias("asker")).distinct(), F.col("id") == F.col("asker"), "left_semi").select("id", "terms")
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -183,10 +216,10 @@ def top_k(docs: DataFrame, queries: Column, id_col: str = "doc_id", text_col: st
     weighted = asked.select("id", "terms").dropDuplicates(["id", "terms"]).mapInArrow(spread, "id long, term long").distinct().join(
         counts.where("term IS NOT NULL"), "term").select("id", "term", weight.alias("weight"))
     ready = weighted.groupBy("id").applyInArrow(weigh, "id long, terms binary, extra binary")
-    bags = rows.select("id", "text").mapInArrow(_bags, bag).select(
+    dealt = bags.select(
         F.pmod(F.xxhash64("id", F.lit(11)), F.lit(shards)).cast("int").alias("shard"), F.lit(0).alias("query"), "id", "size", "terms", F.col("counts").alias("extra"))
     copies = ready.select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.lit(1).alias("query"), "id", F.lit(0).cast("long").alias("size"), "terms", "extra")
-    hits = bags.unionByName(copies).repartition("shard").sortWithinPartitions("shard", "query").mapInArrow(
+    hits = dealt.unionByName(copies).repartition("shard").sortWithinPartitions("shard", "query").mapInArrow(
         _search(words / max(1, total), k), "query_id long, doc_id long, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id"))
     return hits.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "doc_id", "score")
