@@ -5,8 +5,9 @@ round every node introduces its neighbours, those that list it included, to each
 best. A node whose whole list passes the threshold is saturated, and its list doubles. Only pairs that can lie on a path of
 two true links are worth keeping on the way: such a pair is at most twice the threshold's angle apart.
 
-Where a list is still saturated at the largest size, the node is in a crowd and introduces no more. Its links are counted without listing them: by
-angles to the crowd's centre where these alone decide, and block by block where they don't. The recall of what was found is
+Where a list is still saturated at the largest size, the node is in a crowd and introduces no more. All nodes of the label meet its crowds (the
+components that hold such a node), and the links with them are counted without listing them: by angles to the crowd's centre where
+these alone decide, and block by block where they don't. What links with a crowd joins its component. The recall of the counts is
 audited against brute force for a bounded sample of nodes; while it is too low, more hyperplanes and rounds follow.
 """
 
@@ -17,13 +18,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from placeproof.llm.common import stored
 from placeproof.llm.components import components
 
 THRESHOLD, LIST, LARGEST, TREES, BLOCK, GROUP, ROUNDS, SAMPLE, RECALL = 0.93, 12, 24, 4, 512, 64, 3, 64, 0.95
+CENTRES = 4096
 
 
 def nodes_of(rows: DataFrame, id_col: str, vector_col: str, label_col: str) -> DataFrame:
@@ -136,36 +138,91 @@ def _refined(nodes: DataFrame, start: DataFrame, floor: float, threshold: float,
     return graph
 
 
-def _crowd_counts(members: DataFrame, threshold: float, dims: int) -> DataFrame:
-    """(id, others): how many others of its crowd each member links with, exactly; members: (class, id, unit, copies)."""
-    limit = math.acos(threshold)
-    centre = members.groupBy("class").agg(F.count("*").alias("size"), F.sum("copies").alias("all"), F.array(*[F.avg(F.col("unit")[i]) for i in range(dims)]).alias("mean"))
-    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    angled = members.join(centre, "class").withColumn("angle", F.acos(F.least(F.lit(1.0), dot(F.col("unit"), F.col("mean")) / F.sqrt(dot(F.col("mean"), F.col("mean"))))))
-    widest = angled.groupBy("class").agg(F.max("angle").alias("widest"))
-    known = stored(angled.drop("mean").join(widest, "class").withColumn("sure", F.col("angle") + F.col("widest") < limit - 1e-6), "nn-crowd")
-    sure = known.where("sure").select("id", (F.col("all") - F.col("copies")).alias("others"))
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    seat = lambda c: F.pmod(F.xxhash64(F.col(c)), blocks).cast("int")
-    unsure = known.where("NOT sure").select("class", "id", "unit", seat("id").alias("i"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("j"), F.lit(True).alias("asks"), "copies")
-    asked = known.where("NOT sure").select("class", seat("id").alias("i")).distinct()
-    others = known.select("class", "id", "unit", seat("id").alias("j"), "copies").join(asked, "class").select("class", "id", "unit", "i", "j", F.lit(False).alias("asks"), "copies")
+def _parts(n: Column, size: int) -> Column:
+    return F.ceil(n / size).cast("int")
+
 
+def _meet_centres(limit: float):
+    """Which crowds a node may link with: by its angle to the centre and the crowd's widest angle; sure if it links with all."""
+    def meet(key: tuple, table: pa.Table) -> pa.Table:
+        is_ball, ids, unit, widest = table["ball"].to_numpy(), table["id"].to_numpy(), _matrix(table["unit"]), table["widest"].to_numpy()
+        angle = np.arccos(np.clip(unit[~is_ball] @ unit[is_ball].T, -1, 1))
+        x, k = np.nonzero(angle <= limit + widest[is_ball] + 1e-6)
+        return pa.table({"label": pa.array([key[0].as_py()] * len(x), pa.string()), "class": ids[is_ball][k], "id": ids[~is_ball][x], "sure": angle[x, k] + widest[is_ball][k] < limit - 1e-6})
+    return meet
+
+
+def _count_in_blocks(threshold: float):
+    """Links between a block that asks and a block of a crowd; askers from outside any crowd count for the members too."""
     def count(key: tuple, table: pa.Table) -> pa.Table:
-        asks, ids, unit, copies = table["asks"].to_numpy(), table["id"].to_numpy(), _matrix(table["unit"]), table["copies"].to_numpy()
-        found = ((unit[asks] @ unit[~asks].T >= threshold) & (ids[asks][:, None] != ids[~asks])) @ copies[~asks]
-        return pa.table({"id": ids[asks], "others": found.astype(np.int64)})
-    counted = unsure.unionByName(others).groupBy("class", "i", "j").applyInArrow(count, "id long, others long")
-    return sure.unionByName(counted.groupBy("id").agg(F.sum("others").alias("others")))
+        asks, ids, unit = table["asks"].to_numpy(), table["id"].to_numpy(), _matrix(table["unit"])
+        copies, outside = table["copies"].to_numpy(), table["outside"].to_numpy()
+        near = (unit[asks] @ unit[~asks].T >= threshold) & (ids[asks][:, None] != ids[~asks])
+        here, there = near @ copies[~asks], (copies[asks] * outside[asks]) @ near
+        some, met = here > 0, there > 0
+        return pa.table({"class": np.full(some.sum() + met.sum(), key[1].as_py()), "id": np.r_[ids[asks][some], ids[~asks][met]],
+                         "others": np.r_[here[some], there[met]].astype(np.int64), "asks": np.r_[np.ones(some.sum(), bool), np.zeros(met.sum(), bool)]})
+    return count
+
 
+def _crowd_counts(nodes: DataFrame, crowds: DataFrame, threshold: float, dims: int) -> tuple[DataFrame, DataFrame]:
+    """Every link that has an end in a crowd, counted exactly: (id, others), and which crowds a node links with: (id, class).
 
-def _recall(nodes: DataFrame, links: DataFrame, threshold: float, sample: int) -> float:
-    """Found by true links of at most `sample` nodes, by brute force over all nodes; nodes with many links are no sample of this."""
+    All nodes of a label meet its crowds; crowds: (class, node).
+    """
+    limit = math.acos(threshold)
+    told = nodes.select("label", "id", "unit", "copies").join(crowds.select(F.col("node").alias("id"), F.col("class").alias("home")), "id", "left")
+    told = stored(told.withColumn("outside", F.col("home").isNull()), "nn-crowd")
+    members = told.where("NOT outside").withColumn("class", F.col("home"))
+    centre = members.groupBy("label", "class").agg(F.count("*").alias("size"), F.sum("copies").alias("all"), F.array(*[F.avg(F.col("unit")[i]) for i in range(dims)]).alias("mean"))
+    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+    norm = F.sqrt(dot(F.col("mean"), F.col("mean")))
+    centre = centre.withColumn("norm", norm).withColumn("mean", F.when(F.col("norm") > 1e-9, F.transform("mean", lambda x: x / F.col("norm"))).otherwise(F.col("mean")))
+    reach = F.when(F.col("norm") > 1e-9, F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), dot(F.col("unit"), F.col("mean")))))).otherwise(F.lit(math.pi))
+    widest = members.join(centre, ["label", "class"]).groupBy("label", "class").agg(F.max(reach).alias("widest"))
+    balls = stored(centre.join(widest, ["label", "class"]).select("label", "class", "size", "all", "mean", "widest"), "nn-balls")
+    seat = lambda c, n: F.pmod(F.xxhash64(F.col(c)), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    grid = balls.groupBy("label").agg(_parts(F.count("*"), CENTRES).alias("n_balls")).join(nodes.groupBy("label").agg(_parts(F.count("*"), CENTRES).alias("n_nodes")), "label")
+    coming = told.join(grid, "label").select("label", seat("id", "n_nodes").alias("i"), every("n_balls").alias("j"), F.lit(False).alias("ball"), "id", "unit", F.lit(0.0).alias("widest"))
+    waiting = balls.join(grid, "label").select("label", every("n_nodes").alias("i"), seat("class", "n_balls").alias("j"), F.lit(True).alias("ball"), F.col("class").alias("id"), F.col("mean").alias("unit"), "widest")
+    met = coming.unionByName(waiting).groupBy("label", "i", "j").applyInArrow(_meet_centres(limit), "label string, class long, id long, sure boolean")
+    met = stored(met.join(told.select("label", "id", "copies", "home", "outside"), ["label", "id"]), "nn-met")
+
+    sure = met.where("sure").join(balls.select("label", "class", "all"), ["label", "class"])
+    counts = [sure.select("id", (F.col("all") - F.when(F.col("home") == F.col("class"), F.col("copies")).otherwise(0)).alias("others"))]
+    guests = sure.where("outside").groupBy("label", "class").agg(F.sum("copies").alias("others"))
+    counts.append(members.join(guests, ["label", "class"]).select("id", "others"))
+
+    asking = met.where("NOT sure").groupBy("label", "class").agg(_parts(F.count("*"), BLOCK).alias("n_i"))
+    sides = asking.join(balls.select("label", "class", _parts(F.col("size"), BLOCK).alias("n_j")), ["label", "class"])
+    columns = ["label", "class", "i", "j", "asks", "id", "unit", "copies", "outside"]
+    asks = met.where("NOT sure").join(sides, ["label", "class"]).join(told.select("label", "id", "unit"), ["label", "id"]).select(
+        "label", "class", seat("id", "n_i").alias("i"), every("n_j").alias("j"), F.lit(True).alias("asks"), "id", "unit", "copies", "outside")
+    asked = members.join(sides, ["label", "class"]).select("label", "class", every("n_i").alias("i"), seat("id", "n_j").alias("j"), F.lit(False).alias("asks"), "id", "unit", "copies", "outside")
+    counted = stored(asks.select(columns).unionByName(asked.select(columns)).groupBy("label", "class", "i", "j").applyInArrow(
+        _count_in_blocks(threshold), "class long, id long, others long, asks boolean"), "nn-counted")
+    counts.append(counted.select("id", "others"))
+    total = counts[0].unionByName(counts[1]).unionByName(counts[2]).groupBy("id").agg(F.sum("others").alias("others"))
+    return total, sure.select("id", "class").unionByName(counted.where("asks").select("id", "class")).distinct()
+
+
+def _merged(classes: DataFrame, crowd_links: DataFrame) -> DataFrame:
+    """(node, component) after the classes of nodes that link with a crowd have joined it."""
+    own = crowd_links.join(classes, F.col("id") == F.col("node"), "left").select("id", F.coalesce("component", "id").alias("from"), "class")
+    joined = components(own.where(F.col("from") != F.col("class")).select("from", "class").distinct(), "from", "class").select(F.col("node").alias("old"), F.col("component").alias("new"))
+    all_nodes = classes.select("node", "component").unionByName(own.select(F.col("id").alias("node"), F.col("from").alias("component"))).distinct()
+    return all_nodes.join(joined, F.col("component") == F.col("old"), "left").select("node", F.coalesce("new", "component").alias("component"))
+
+
+def _recall(nodes: DataFrame, counts: DataFrame, crowds: DataFrame, threshold: float, sample: int) -> float:
+    """Counted by true links of at most `sample` nodes, by brute force over all nodes: the lower of those in crowds and the others."""
     asked = nodes.orderBy(F.xxhash64("id", F.lit(3)), "id").limit(sample).select(F.col("id").alias("q"), F.col("label").alias("q_label"), F.col("unit").alias("q_unit"))
     cos = F.aggregate(F.zip_with("unit", "q_unit", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    true = nodes.join(F.broadcast(asked), (F.col("label") == F.col("q_label")) & (F.col("id") != F.col("q"))).where(cos >= threshold).select(F.col("q").alias("u"), F.col("id").alias("v"))
-    there, found = true.join(links.select("u", "v", F.lit(1).alias("hit")), ["u", "v"], "left").agg(F.count("*"), F.sum("hit")).first()
-    return 1.0 if not there else (found or 0) / there
+    true = nodes.join(F.broadcast(asked), (F.col("label") == F.col("q_label")) & (F.col("id") != F.col("q"))).where(cos >= threshold).groupBy(F.col("q").alias("id")).agg(F.sum("copies").alias("true"))
+    rows = true.join(counts, "id", "left").join(crowds.select(F.col("node").alias("id"), F.lit(True).alias("crowd")), "id", "left").groupBy("crowd").agg(
+        F.sum("true").alias("true"), F.sum(F.least("true", F.coalesce("others", F.lit(0)))).alias("found")).collect()
+    return min((r.found / r.true for r in rows), default=1.0)
 
 
 def near_vectors(
@@ -190,7 +247,8 @@ def near_vectors(
     floor = max(-1.0, math.cos(min(math.pi, 2 * math.acos(threshold))) - 0.02)
     largest = nodes.groupBy("label").count().agg(F.max("count")).first()[0]
     bits = max(0, min(40, math.ceil(math.log2(max(1, largest / (BLOCK / 4))))))
-    start, links = None, None
+    weight = nodes.select(F.col("id").alias("v"), "copies")
+    start = None
     for attempt in range(tries):
         dealt = nodes.select("id", "label", "unit").mapInArrow(
             _first_lists(dims, bits, range(attempt * trees, (attempt + 1) * trees), BLOCK), "id long, label string, unit array<double>, tree int, side long")
@@ -202,14 +260,14 @@ def near_vectors(
         links = stored(_both_ways(graph.where(F.col("sim") >= threshold)).select("u", "v").distinct(), "nn-links")
         crowded = graph.groupBy("u").agg(F.count("*").alias("n"), F.min("sim").alias("least")).where((F.col("n") >= LARGEST) & (F.col("least") >= threshold)).select("u")
         classes = stored(components(links, "u", "v"), "nn-classes")
-        crowds = classes.join(classes.join(crowded, F.col("node") == F.col("u")).select("component").distinct(), "component")
-        if _recall(nodes.join(crowds, F.col("id") == F.col("node"), "left_anti"), links, threshold, SAMPLE) >= RECALL:
+        crowds = stored(classes.join(classes.join(crowded, F.col("node") == F.col("u")).select("component").distinct(), "component").select(F.col("component").alias("class"), "node"), "nn-crowds")
+        plain = links.join(crowds, F.col("u") == F.col("node"), "left_anti").join(weight, "v").groupBy(F.col("u").alias("id")).agg(F.sum("copies").alias("others"))
+        exact, crowd_links = _crowd_counts(nodes, crowds, threshold, dims)
+        counted = stored(plain.unionByName(exact).groupBy("id").agg(F.sum("others").alias("others")), "nn-counts")
+        if _recall(nodes, counted, crowds, threshold, SAMPLE) >= RECALL:
             break
         start = graph.select("u", "v", "sim")
-    weight = nodes.select(F.col("id").alias("v"), "copies")
-    plain = links.join(crowds, F.col("u") == F.col("node"), "left_anti").join(weight, "v").groupBy(F.col("u").alias("id")).agg(F.sum("copies").alias("others"))
-    members = crowds.select(F.col("component").alias("class"), F.col("node").alias("id")).join(nodes.select("id", "unit", "copies"), "id")
-    counted = plain.unionByName(_crowd_counts(members, threshold, dims).select("id", "others"))
+    classes = stored(_merged(classes, crowd_links), "nn-classes")
     result = nodes.join(counted, "id", "left").join(classes, F.col("id") == F.col("node"), "left").select(
         "label", "vec", (F.coalesce("others", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "id").alias("component_id"))
     linked = named.select("id", "label", "vec").join(result, ["label", "vec"]).select("id", "n_links", "component_id")

@@ -53,6 +53,22 @@ def test_a_crowd_is_counted_exactly(spark):
     assert (found <= true).all() and found.sum() >= 0.98 * true.sum()
 
 
+def test_crowds_that_touch_are_one_component(spark):
+    rng = np.random.default_rng(5)
+    a, b, c = np.linalg.qr(rng.normal(size=(24, 3)))[0].T
+    turned = lambda angle: np.cos(angle) * a + np.sin(angle) * b
+    vectors = [turned(t) + rng.normal(0, 0.015, 24) for t in (0, 0.29) for _ in range(40)]
+    vectors += [turned(-0.32), turned(0.64), c] + [rng.normal(0, 1, 24) for _ in range(60)]
+    rows = [(i, v.tolist(), 1) for i, v in enumerate(vectors)] + [(200, vectors[0].tolist(), 1), (201, vectors[80].tolist(), 1), (202, vectors[0].tolist(), 2)]
+    got = {r.vec_id: r for r in nndescent.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
+    unit = np.array([v for _, v, _ in rows])
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    label = np.array([k for _, _, k in rows])
+    true = ((unit @ unit.T >= 0.93) & (label[:, None] == label)).sum(axis=1) - 1
+    assert [got[i].n_links for i, _, _ in rows] == true.tolist()
+    assert true[:80].min() > 60 and {got[i].component_id for i in range(82)} == {0}
+
+
 def brute(docs, query, k):
     bags = [(d, Counter(re.findall(r"\w+", (t or "").lower()))) for d, t in docs if d is not None]
     mean = sum(sum(b.values()) for _, b in bags) / len(bags)
