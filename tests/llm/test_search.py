@@ -6,6 +6,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from placeproof.llm import nndescent, wand
@@ -69,6 +70,31 @@ def test_crowds_that_touch_are_one_component(spark):
     assert true[:80].min() > 60 and {got[i].component_id for i in range(82)} == {0}
 
 
+def lonely_pairs(n, pairs):
+    """Vectors without neighbours but one each for the first `pairs`, at a cosine of 0.94."""
+    rng = np.random.default_rng(11)
+    unit = rng.normal(size=(n, 48))
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    side = rng.normal(size=(pairs, 48))
+    side -= (side * unit[:pairs]).sum(axis=1, keepdims=True) * unit[:pairs]
+    side /= np.linalg.norm(side, axis=1, keepdims=True)
+    return np.vstack([unit, 0.94 * unit[:pairs] + np.sqrt(1 - 0.94**2) * side])
+
+
+def test_trees_keep_the_recall_of_blocks_at_every_size():
+    for bits in range(25):
+        meet = (1 - math.acos(0.93) / math.pi) ** bits
+        assert 1 - (1 - meet) ** nndescent.trees_for(bits, 0.93) >= 0.95
+
+
+def test_pairs_without_other_neighbours_are_found(spark):
+    vectors = lonely_pairs(9000, 300)
+    rows = spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(vectors)], "vec_id long, embedding array<double>, label int")
+    assert nndescent.near_vectors(rows).where("n_links = 1").count() >= 0.95 * 600
+    with pytest.raises(RuntimeError):
+        nndescent.near_vectors(rows, trees=1, rounds=1, tries=1)
+
+
 def brute(docs, query, k):
     bags = [(d, Counter(re.findall(r"\w+", (t or "").lower()))) for d, t in docs if d is not None]
     mean = sum(sum(b.values()) for _, b in bags) / len(bags)
