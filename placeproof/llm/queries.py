@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from placeproof.llm import hilbert, langid, mixing, nndescent, packing, simhash, suffix_dedup, toxicity, wand, warc
+from placeproof.llm import hilbert, langid, mixing, nndescent, packing, simhash, simplex, suffix_dedup, toxicity, wand, warc
 from placeproof.llm.common import table
 
 QUERIES = {}
@@ -84,3 +84,8 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op7_exact_top_k")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wand.top_k(table(spark, sf_dir, "documents"), F.col("doc_id") % 100 == 0)
+
+
+@query("op11_simplex_clustering", simplex.oracle())
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simplex.cluster(table(spark, sf_dir, "embeddings"))
