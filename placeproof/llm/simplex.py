@@ -4,6 +4,9 @@ The pivots are base points of a simplex. A vector's distances to them, worked ou
 that base: coordinates inside the pivots' space and an altitude above it. For two apexes the distance with altitudes on one side
 is a lower bound of the real distance, the one with altitudes on opposite sides an upper bound. A centroid whose lower bound is
 above the least upper bound can't be nearest; the others are compared by exact integer distances.
+
+The first round's pivots are the starts themselves. Those of all later rounds are the centroids after the first round: centroids
+stay near that base, so their altitudes are small and the two bounds close to each other.
 """
 
 from __future__ import annotations
@@ -41,7 +44,7 @@ def squared(a: list[int], b: list[int]) -> int:
 
 @dataclass(frozen=True)
 class Base:
-    """The pivots and the triangular map from distances to coordinates; no pivots: no bounds."""
+    """The pivots and the triangular map from distances to coordinates. Without pivots (no narrow point) there are no bounds."""
 
     pivots: np.ndarray
     gram: np.ndarray
@@ -220,18 +223,16 @@ def _moved(rows: DataFrame, base: Base, centers: list[list[int]]) -> list[list[i
                                 one[axis] = digit
                                 add(j, limb, one)
         keys = sorted(sums)
-        columns = np.array([sums[k] for k in keys], dtype=np.int64).reshape(len(keys), DIMS)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([j for j, _ in keys], pa.int32()), pa.array([limb for _, limb in keys], pa.int32()), pa.array([counts[j] * (limb == 0) for j, limb in keys], pa.int64()),
-             *[pa.array(columns[:, i]) for i in range(DIMS)]], ["cluster", "limb", "n", *[f"s{i}" for i in range(DIMS)]])
-    partial = rows.mapInArrow(run, "cluster int, limb int, n long, " + ", ".join(f"s{i} long" for i in range(DIMS)))
-    total = partial.groupBy("cluster", "limb").agg(F.sum("n").alias("n"), *[F.sum(F.col(f"s{i}").cast("decimal(20,0)")).alias(f"s{i}") for i in range(DIMS)]).collect()
-    out = [list(c) for c in centers]
-    for j in {r["cluster"] for r in total}:
-        mine = [r for r in total if r["cluster"] == j]
-        n = sum(r["n"] for r in mine)
-        out[j] = [sum(int(r[f"s{i}"]) << (LIMB * r["limb"]) for r in mine) // n for i in range(DIMS)]
-    return out
+        amounts = np.array([sums[k] for k in keys], dtype=np.int64).reshape(len(keys), DIMS)
+        each = [np.repeat(np.array(c, dtype=np.int64), DIMS) for c in ([j for j, _ in keys], [limb for _, limb in keys], [counts[j] * (limb == 0) for j, limb in keys])]
+        yield pa.RecordBatch.from_arrays([*map(pa.array, each), pa.array(np.tile(np.arange(DIMS), len(keys))), pa.array(amounts.ravel())], ["cluster", "limb", "n", "axis", "amount"])
+    partial = rows.mapInArrow(run, "cluster long, limb long, n long, axis long, amount long")
+    total = partial.groupBy("cluster", "limb", "axis").agg(F.sum("n").alias("n"), F.sum(F.col("amount").cast("decimal(20,0)")).alias("amount")).collect()
+    counts, sums = {}, {}
+    for r in total:
+        counts[r["cluster"]] = max(counts.get(r["cluster"], 0), r["n"])
+        sums[r["cluster"], r["axis"]] = sums.get((r["cluster"], r["axis"]), 0) + (int(r["amount"]) << (LIMB * r["limb"]))
+    return [[sums[j, i] // counts[j] for i in range(DIMS)] if j in counts else c for j, c in enumerate(centers)]
 
 
 def cluster(rows: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", k: int = CLUSTERS, rounds: int = ROUNDS, seed: str = SEED) -> DataFrame:
@@ -250,8 +251,11 @@ def cluster(rows: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding",
         return spark.createDataFrame([], f"{schema}, cluster_inertia long, inertia long, centroid_sha256 string")
     centers = [integers(r["x"]) for r in starts]
     base = Base.of(centers)
+    if rounds:
+        centers = _moved(_projected(kept, base), base, centers)
+        base = Base.of(centers)
     cached = stored(_projected(kept, base), "simplex")
-    for _ in range(rounds):
+    for _ in range(rounds - 1):
         centers = _moved(cached, base, centers)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
