@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from placeproof.llm import hilbert, langid, mixing, nndescent, packing, simhash, simplex, suffix_dedup, toxicity, wand, warc
+from placeproof.llm import hilbert, langid, mixing, nndescent, packing, repair, simhash, simplex, suffix_dedup, toxicity, wand, warc
 from placeproof.llm.common import table
 
 QUERIES = {}
@@ -89,3 +89,8 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op11_simplex_clustering", simplex.oracle())
 def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simplex.cluster(table(spark, sf_dir, "embeddings"))
+
+
+@query("op12_structure_repair", repair.oracle())
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.audited(table(spark, sf_dir, "conversations"))
