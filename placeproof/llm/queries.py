@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from placeproof.llm import hilbert, langid, mixing, nndescent, packing, repair, simhash, simplex, suffix_dedup, toxicity, wand, warc
+from placeproof.llm import hilbert, langid, mixing, nndescent, packing, quality, repair, simhash, simplex, suffix_dedup, toxicity, wand, warc
 from placeproof.llm.common import table
 
 QUERIES = {}
@@ -94,3 +94,9 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op12_structure_repair", repair.oracle())
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair.audited(table(spark, sf_dir, "conversations"))
+
+
+@query("op13_quality")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality.score(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
