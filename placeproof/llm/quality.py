@@ -2,7 +2,8 @@
 
 Random indexing: every word has a fixed sparse index vector of a few +1 and -1; a word's vector is the sum of the index vectors
 of all words that stand near it anywhere in the corpus. The sums run over whole texts of all documents, as counts in the
-tasks and one small row a bucket of words after them; no label takes part. A document is the mean and the spread of its words' vectors.
+tasks and one small row a bucket of words after them; no label takes part. A document is the mean and the spread of its words' vectors,
+and how alike words next to each other and next but one are.
 """
 
 from __future__ import annotations
@@ -22,6 +23,7 @@ from placeproof.llm.common import as_bytes
 BUCKETS, DIM, NONZERO, NEAR = 1 << 15, 32, 4, 2
 SAMPLE, EPOCHS, BATCH, HIDDEN, RATE, DECAY, SEED = 6000, 60, 64, 32, 0.01, 1e-4, 11
 FOLDS, HELD_OUT, CUT = 5, 0, 0.3
+FEATURES = 2 * DIM + 1 + NEAR
 KEPT_WORDS, SLICE = 400_000, 1 << 18
 WORD = re.compile(rb"[A-Za-z\x80-\xff]+|[0-9]+|[^\sA-Za-z0-9\x80-\xff]+")
 """Words, numbers and runs of signs of UTF-8 bytes, capital letters kept: shouting is other words."""
@@ -113,18 +115,22 @@ def word_vectors(docs: DataFrame, text_col: str = "text") -> np.ndarray:
 
 
 def pooled(texts: list[bytes], vectors: np.ndarray, words: Words) -> np.ndarray:
-    """Mean and spread of the word vectors of whole texts, and whether there is a word; a long text is summed in slices."""
-    out = np.zeros((len(texts), 2 * DIM + 1))
+    """Mean and spread of the word vectors of whole texts, whether there is a word, and the mean cosine of words one and two places
+    apart. A long text is summed in slices."""
+    out = np.zeros((len(texts), FEATURES))
     for i, text in enumerate(texts):
         ids = words.of(text)
         if len(ids):
-            total, square = np.zeros(DIM), np.zeros(DIM)
+            total, square, alike = np.zeros(DIM), np.zeros(DIM), np.zeros(NEAR)
             for begin in range(0, len(ids), SLICE):
                 part = vectors[ids[begin:begin + SLICE]]
                 total += part.sum(axis=0, dtype=np.float64)
                 square += np.einsum("ij,ij->j", part, part, dtype=np.float64)
+                for step in range(1, NEAR + 1):
+                    before = vectors[ids[max(0, begin - step):begin + len(part) - step]]
+                    alike[step - 1] += np.einsum("ij,ij->", part[len(part) - len(before):], before, dtype=np.float64)
             mean = total / len(ids)
-            out[i] = np.r_[mean, np.sqrt(np.maximum(0, square / len(ids) - mean**2)), 1]
+            out[i] = np.r_[mean, np.sqrt(np.maximum(0, square / len(ids) - mean**2)), 1, alike / np.maximum(1, len(ids) - np.arange(1, NEAR + 1))]
     return out
 
 
@@ -195,8 +201,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str =
     taught = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("string").alias("_text")).join(F.broadcast(few), "_id").select(
         "_id", "_label", "_text").mapInArrow(run, "id long, label int, features array<double>")
     got = [r for label in (0, 1) for r in taught.where(F.col("label") == label).orderBy(F.xxhash64("id", F.lit(SEED)), "id", "features").limit(wanted[label]).collect()] if sum(wanted.values()) else []
-    x, y = np.array([r["features"] for r in got]).reshape(len(got), 2 * DIM + 1), np.array([r["label"] for r in got], dtype=np.float64)
-    center, scale = (x.mean(axis=0), np.maximum(x.std(axis=0), 1e-3)) if len(got) else (np.zeros(2 * DIM + 1), np.ones(2 * DIM + 1))
+    x, y = np.array([r["features"] for r in got]).reshape(len(got), FEATURES), np.array([r["label"] for r in got], dtype=np.float64)
+    center, scale = (x.mean(axis=0), np.maximum(x.std(axis=0), 1e-3)) if len(got) else (np.zeros(FEATURES), np.ones(FEATURES))
     if len(set(y.tolist())) < 2:
         share = float(np.clip(y.mean(), 0.001, 0.999)) if len(got) else 0.5
         return Model(vectors, center, scale, np.zeros((len(center), 1)), np.zeros(1), np.zeros(1), float(np.log(share / (1 - share))), 1.0)
