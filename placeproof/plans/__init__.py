@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["scoring", "texts", "places", "resolution", "logs", "payloads", "copies", "streams"]
+MODULES = ["scoring", "texts", "places", "resolution", "logs", "payloads", "copies", "streams", "phrases"]
 
 
 def load() -> None:
