@@ -191,43 +191,49 @@ def apply_caps(confidence: Column, veto: Column, checked: Column) -> Column:
 
 
 def is_highlight() -> Column:
-    shown = F.col("vision_highlight") | rules.matches("_own", rules.SHOWCASE)
+    shown = F.col("vision_highlight") | F.col("showcase")
     return (F.col("category") == "campus") & (F.col("tier") != "unconfirmed") & shown
 
 
+def text_marks(images: DataFrame, campus: DataFrame) -> DataFrame:
+    """What the texts of images say, as narrow columns in place of the texts; rows that are no photo of a place are gone."""
+    names = campus.select("profile_id", F.col("names").alias("own_names"), text.prepare_names(F.col("names")).alias("own_prepared"), "official_domains")
+    read = with_texts(images).filter(~not_a_place()).join(names, "profile_id", "left").withColumn("_norm", text.normalize_text(own_text()))
+    marked = read.withColumns({
+        "people": people_or_event(), "specimen": specimen(), "food": food_closeup(), "institution": other_institution(F.col("own_names")),
+        "mention": text.mentioned_name(own_text(), F.col("own_prepared"), F.col("_norm")), "official": official_domain(F.col("official_domains")),
+        "text_category": text_category(), "showcase": rules.matches("_own", rules.SHOWCASE)})
+    return marked.withColumn("text_tags", text_tags()).drop(
+        "description", "source_categories", "own_names", "own_prepared", "official_domains", "_own", "_all", "_title", "_desc", "_norm")
+
+
 def score(
     images: DataFrame, campus: DataFrame, buildings: DataFrame | None = None, lang: str = "en"
 ) -> DataFrame:
     """Image rows to photo rows. Rows that are no photo of a place are removed before any other work.
 
-    `campus` has profile_id, names[], lat, lng, ring and official_domains[]. Every expression stays in the JVM.
+    `campus` has profile_id, names[], lat, lng, ring and official_domains[]. Every expression stays in the JVM. Texts are read
+    once, where they lie: a profile's names come to them (Spark broadcasts them if they are small enough), and what goes on to
+    the joins with outlines and buildings are flags and short fields.
     """
-    kept = with_texts(images).filter(~not_a_place())
-    context = spatial.with_outline(campus).select(
-        "profile_id", F.col("lat").alias("c_lat"), F.col("lng").alias("c_lng"), "edges", "ring_center",
-        F.col("names").alias("own_names"), text.prepare_names(F.col("names")).alias("own_prepared"), "official_domains")
-    joined = kept.join(context, "profile_id", "left")
+    marked = text_marks(images, campus)
+    context = spatial.with_outline(campus).select("profile_id", F.col("lat").alias("c_lat"), F.col("lng").alias("c_lng"), "edges", "ring_center")
+    joined = marked.join(context, "profile_id", "left")
     if buildings is None:
         joined = joined.withColumn("building", F.lit(None).cast(
             "struct<ord:bigint,building_id:string,name:string,type:string,inside_campus:boolean>"))
     else:
         hits = spatial.building_at(images.select("profile_id", "seq", "lat", "lng"), buildings)
         joined = joined.join(hits, ["profile_id", "seq"], "left")
-    joined = joined.withColumn("_norm", text.normalize_text(own_text()))
     flagged = joined.withColumns({
         "geo": spatial.position(F.col("lat"), F.col("lng"), F.col("c_lat"), F.col("c_lng"), F.col("edges"),
                                 F.col("ring_center")),
-        "people": people_or_event(), "specimen": specimen(), "food": food_closeup(),
-        "institution": other_institution(F.col("own_names")),
-        "mention": text.mentioned_name(own_text(), F.col("own_prepared"), F.col("_norm")),
-        "official": official_domain(F.col("official_domains")),
-        "text_category": text_category(),
         "shown_date_source": dates.date_source(
             F.col("date_taken"), F.col("date_uploaded"), F.col("date_source"), F.col("date_hint_year")),
     })
     linked = F.coalesce(F.col("matched_category") != "", F.lit(False)) | F.col("mention").isNotNull() | F.col(
         "official").isNotNull()
-    flagged = flagged.withColumns({"text_tags": text_tags(), "linked": linked}).withColumn(
+    flagged = flagged.withColumn("linked", linked).withColumn(
         "off_campus", (F.col("geo.on_campus") == F.lit(False)) | (
             F.col("geo.on_campus").isNull() & F.col("lat").isNotNull() & ~F.col("linked"))).withColumn(
         "off_campus", F.coalesce("off_campus", F.lit(False)))

@@ -51,6 +51,13 @@ def test_folding_equals_python(spark):
     assert {r["s"]: r["g"] for r in got} == {s: text.fold(s) for s in samples}
 
 
+def test_folding_of_every_character_and_of_marks_in_any_order(spark):
+    assigned = [chr(c) for c in [*range(0x80, 0xD800), *range(0xE000, 0x110000)] if unicodedata.category(chr(c)) not in ("Cn", "Co")]
+    samples = [f"x{c}y" for c in assigned] + [f"{base}{a}{b}" for base in "aeouAσα" for a in "\u0301\u0323\u031b\u0345\u0308" for b in "\u0301\u0327\u0340\u0306"]
+    got = spark.createDataFrame([(s,) for s in samples], "s string").repartition(8).select("s", text.fold_text(F.col("s")).alias("g")).collect()
+    assert [(r["s"], r["g"]) for r in got if r["g"] != text.fold(r["s"])] == []
+
+
 def test_small_texts(spark):
     got = one(spark, text.title_stem(F.lit("File:Campus_view (cropped).jpg")), text.title_stem(F.lit("IMG_1234.JPG")),
               text.clean_html(F.lit("<b>A &amp; B</b>&nbsp;<i>c</i>")), text.initials(F.lit("Nazarbayev University")),

@@ -143,6 +143,24 @@ def test_no_python_and_no_nested_loop_on_the_scoring_path(spark):
     assert "Python" not in plan and "NestedLoop" not in plan and "Cartesian" not in plan
 
 
+def test_no_text_goes_through_an_exchange(spark):
+    """Above the step that reads the texts, rows carry flags: no exchange but a broadcast has a description or a category list below it."""
+    plan = evidence.score(images(spark, [INSIDE]), campus(spark), buildings(spark))._jdf.queryExecution().optimizedPlan()
+
+    def wide(node):
+        names = {a.split("#")[0] for a in node.output().mkString("|").split("|")}
+        return bool(names & {"description", "source_categories", "_own", "_all", "_norm"})
+
+    def joins(node):
+        found = [node] if node.nodeName() == "Join" else []
+        for i in range(node.children().size()):
+            found += joins(node.children().apply(i))
+        return found
+    found = joins(plan)
+    texts = [j for j in found if wide(j.left())]
+    assert len(found) >= 3 and len(texts) <= 1
+
+
 def test_a_decomposed_name_is_the_same_name(spark):
     rows = [{"title": unicodedata.normalize(form, "File:고려대학교 정문.jpg")} for form in ("NFC", "NFD")]
     one, two = evidence.score(images(spark, rows), campus(spark)).select("confidence").collect()
