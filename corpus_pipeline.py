@@ -22,10 +22,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: the one with the smallest id. Documents without an id stay."""
-    heads = simhash.near_duplicates(docs).where("doc_id = component_id").select(F.col("doc_id").alias("_head")).distinct()
-    named = docs.where("doc_id IS NOT NULL")
-    return named.join(heads, named["doc_id"] == heads["_head"], "left_semi").unionByName(docs.where("doc_id IS NULL"))
+    """One row of each group of texts that share 0.8 or more of their five-word shingles: the one with the smallest id."""
+    return simhash.one_of_each(docs)
 
 
 def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -4,6 +4,10 @@ Two fingerprints that differ in d bits have segment counts at Manhattan distance
 the grid of count vectors, all cells within the allowed distance of its own (one half of that ball: each pair of cells once),
 and only fingerprints that meet are compared exactly. A crowded cell isn't compared pairwise: fingerprints within two bits
 share a value when each is spread to itself and its one-bit neighbours, which takes linear work.
+
+Two bits out of 64 are a similarity of about 0.99. For a lower one (`similar_texts`) a text has further fingerprints, each of a
+few of its shingles, drawn by least hash under a seed of its own: texts of similarity s have the same draw of four with
+probability s ** 4. What meets is compared exactly, shingle by shingle.
 """
 
 from __future__ import annotations
@@ -22,6 +26,8 @@ from placeproof.llm.components import components
 
 WORDS, SEED, SEGMENTS, BITS = 3, 42, 8, 64
 CROWDED = 1024
+LIKE_WORDS, LIKE, DRAWS, DRAWN = 5, 0.8, 8, 4
+SALTS = 8
 PAIRS_AT_ONCE = 1 << 21
 
 
@@ -171,3 +177,106 @@ def near_duplicates(
     named = classes.join(least, "class").select("fp", "component_id")
     return marks.join(named, "fp").select(
         "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def shingle_hashes(text: bytes, words: int, seed: int = SEED) -> np.ndarray:
+    """Distinct hashes of a text's shingles in order; one for a text of fewer words, none without words."""
+    parts = text.lower().split()
+    if not parts:
+        return np.zeros(0, dtype=np.uint64)
+    shingles = map(b" ".join, zip(*(parts[i:] for i in range(words)))) if len(parts) >= words else [b" ".join(parts)]
+    digest = xxhash.xxh64_intdigest
+    return np.unique(np.fromiter((digest(s, seed) for s in shingles), dtype=np.uint64))
+
+
+def drawn_fingerprints(hashes: np.ndarray, draws: int = DRAWS, drawn: int = DRAWN) -> list[int]:
+    """One fingerprint a draw: of the `drawn` shingles with the least mixed hash, all if there are fewer."""
+    out = []
+    for i in range(draws):
+        mixed = (hashes ^ (hashes >> np.uint64(29))) * np.uint64((0x9E3779B97F4A7C15 * (2 * i + 3)) & (2**64 - 1))
+        few = hashes[np.argpartition(mixed ^ (mixed >> np.uint64(32)), drawn - 1)[:drawn]] if len(hashes) > drawn else hashes
+        ones = np.unpackbits(few.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        out.append(int(np.packbits(2 * ones > len(few), bitorder="little").view("<u8")[0]))
+    return out
+
+
+def _met(texts: DataFrame, words: int, draws: int, drawn: int, distance: int) -> DataFrame:
+    """(class, node): texts with a common fingerprint of a draw, or with near fingerprints of the whole text."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            nodes, kinds, fps = [], [], []
+            for node, text in zip(batch.column(0).to_pylist(), as_bytes(batch.column(1))):
+                hashes = shingle_hashes(text, words)
+                if len(hashes):
+                    found = [fingerprint(text, words), *drawn_fingerprints(hashes, draws, drawn)]
+                    nodes += [node] * len(found)
+                    kinds += range(len(found))
+                    fps += found
+            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.string()), pa.array(kinds, pa.int32()), pa.array(np.array(fps, dtype=np.uint64).view(np.int64))], ["node", "kind", "fp"])
+    marks = stored(texts.select("node", "text").mapInArrow(run, "node string, kind int, fp long").distinct(), "similar-marks")
+    whole = marks.where("kind = 0").select("fp").distinct()
+    linked = components(near_links(whole, distance), "a", "b").select(F.col("node").alias("f"), F.col("component").alias("c"))
+    named = marks.where("kind = 0").join(linked, F.col("fp") == F.col("f"), "left").select("node", "kind", F.coalesce("c", "fp").alias("fp"))
+    every = named.unionByName(marks.where("kind > 0"))
+    shared = every.groupBy("kind", "fp").agg(F.count("*").alias("n")).where("n > 1").select(F.col("kind").alias("k"), F.col("fp").alias("f"))
+    return stored(every.join(shared, (F.col("kind") == F.col("k")) & (F.col("fp") == F.col("f"))).select(F.struct("kind", "fp").alias("class"), "node"), "similar-classes")
+
+
+def _compared(pairs: DataFrame, bodies: DataFrame, words: int, similarity: float) -> DataFrame:
+    """(lead, node, alike) of pairs of texts, by all their shingles. A lead of many is dealt over several tasks."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, known = None, None
+        for batch in batches:
+            alike = []
+            for lead, one, other in zip(batch.column(0).to_pylist(), as_bytes(batch.column(2)), as_bytes(batch.column(3))):
+                if lead != last:
+                    last, known = lead, shingle_hashes(one, words)
+                mine = shingle_hashes(other, words)
+                both = len(np.intersect1d(known, mine, assume_unique=True))
+                alike.append(both >= similarity * (len(known) + len(mine) - both))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(alike, pa.bool_())], ["lead", "node", "alike"])
+    leads = pairs.select(F.col("lead").alias("node")).distinct().join(bodies, "node").select(
+        F.col("node").alias("lead"), F.col("text").alias("one"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    others = pairs.join(bodies, "node").withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int"))
+    return others.join(leads, ["lead", "salt"]).select("lead", "node", "one", F.col("text").alias("other")).mapInArrow(run, "lead string, node string, alike boolean")
+
+
+def similar_links(texts: DataFrame, words: int = LIKE_WORDS, similarity: float = LIKE, draws: int = DRAWS, drawn: int = DRAWN, distance: int = 2) -> DataFrame:
+    """(lead, node): links between different texts (node, text) whose shingle sets have at least this similarity.
+
+    In each class of texts that met, the least one leads: it is compared with all others, and what is like it has found its place.
+    The least of the rest leads next, again against the whole class, until every text leads or is like a leader. So work is
+    leaders times members, never all pairs, and no text stays without a leader it is like, if there is one in its class.
+    """
+    members = _met(texts, words, draws, drawn, distance)
+    bodies = stored(texts.join(members.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"]).select("node", "text"), "similar-texts")
+    waiting, done = members, None
+    while True:
+        leads = waiting.groupBy("class").agg(F.min("node").alias("lead"), F.count("*").alias("n"))
+        if done is None:
+            leads = leads.where("n > 1")
+        asked = stored(members.join(leads.select("class", "lead"), "class").where("node <> lead").select("class", "lead", "node"), "similar-asked")
+        if asked.isEmpty():
+            break
+        pairs = asked.select("lead", "node").distinct()
+        fresh = pairs if done is None else pairs.join(done, ["lead", "node"], "left_anti")
+        found = stored(_compared(fresh, bodies, words, similarity), "similar-compared")
+        done = found if done is None else stored(done.unionByName(found), "similar-done")
+        settled = asked.join(done.where("alike"), ["lead", "node"]).select("class", "node")
+        settled = settled.unionByName(leads.select("class", F.col("lead").alias("node"))).distinct()
+        waiting = stored(waiting.join(settled, ["class", "node"], "left_anti"), "similar-waiting")
+    return done.where("alike").select("lead", "node") if done is not None else bodies.select(F.col("node").alias("lead"), "node").limit(0)
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
+    """The rows of `docs`, one of each group of similar texts: that with the smallest id, then the least text digest.
+
+    Groups are texts linked by `similar_links`, in chains. Equal texts are one text, and so are null and empty; texts without words
+    are only like themselves. Rows without an id stay only if their group has no other; of rows equal in id and text one
+    stays. No rows give no rows, and other columns, also with clashing names, go through as they are.
+    """
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).cast("long").alias("id"), text.alias("text"), F.left(F.sha2(text, 256), F.lit(32)).alias("node"))
+    linked = components(similar_links(rows.select("node", "text"), **how), "lead", "node").select(F.col("node").alias("member"), "component")
+    grouped = rows.drop("text").join(linked, F.col("node") == F.col("member"), "left").withColumn("group", F.coalesce("component", "node"))
+    return grouped.groupBy("group").agg(F.min_by("row", F.struct(F.col("id").isNull(), F.col("id"), F.col("node"))).alias("row")).select("row.*")

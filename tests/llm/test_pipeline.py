@@ -1,5 +1,7 @@
 """The pipeline's stages: what they keep, on whole tables and on odd rows."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -30,10 +32,56 @@ def test_clean_documents_pass_language_id(passed):
     assert after.count() >= 0.99 * before.count() and after.exceptAll(before).count() == 0
 
 
+def shingles(text):
+    parts = (text or "").encode().lower().split()
+    return {b" ".join(parts[i:i + 5]) for i in range(len(parts) - 4)} or ({b" ".join(parts)} if parts else set())
+
+
+def like(a, b):
+    return a == b or bool(a and b) and len(a & b) >= 0.8 * len(a | b)
+
+
 def test_one_document_of_each_group_stays(passed):
+    """Every document that went is like one of a smaller id, over links; of the pairs that are like, nine in ten lost one."""
     _, before, after = passed[1]
-    heads = {r.component_id for r in simhash.near_duplicates(before).collect()}
-    assert sorted(r.doc_id for r in after.select("doc_id").collect()) == sorted(heads)
+    texts = {r.doc_id: shingles(r.text) for r in before.collect()}
+    kept = {r.doc_id for r in after.select("doc_id").collect()}
+    ids = sorted(texts)
+    near = {i: [j for j in ids if j != i and like(texts[i], texts[j])] for i in ids}
+    assert all(near[i] for i in ids if i not in kept)
+    left = [(i, j) for i in kept for j in near[i] if i < j and j in kept]
+    pairs = sum(len(v) for v in near.values()) // 2
+    assert pairs > 20 and len(left) <= 0.1 * pairs
+
+
+@pytest.mark.parametrize("similarity", [0.8, 0.9, 0.95])
+def test_planted_copies_are_caught(spark, similarity):
+    rng, rows, wanted = random.Random(int(100 * similarity)), [], 0
+    for i in range(120):
+        words = [f"w{rng.randrange(3000)}" for _ in range(rng.randint(60, 400))]
+        copy, own = list(words), shingles(" ".join(words))
+        while True:
+            trial = list(copy)
+            trial[rng.randrange(len(trial))] = f"x{rng.randrange(10**6)}"
+            if len(own & shingles(" ".join(trial))) < similarity * len(own | shingles(" ".join(trial))):
+                break
+            copy = trial
+        rows += [(2 * i, " ".join(words), "n"), (2 * i + 1, " ".join(copy), "n")]
+    kept = {r.doc_id for r in simhash.one_of_each(spark.createDataFrame(rows, "doc_id long, text string, node string")).collect()}
+    assert all(2 * i in kept for i in range(120))
+    assert sum(2 * i + 1 not in kept for i in range(120)) >= 108
+
+
+def test_a_crowd_of_copies_and_a_common_passage(spark):
+    """Hundreds of near copies of one text leave one; texts that only share a passage all stay; ids may be null or repeat."""
+    rng = random.Random(5)
+    base = [f"b{i}" for i in range(120)]
+    crowd = [" ".join(base[:k] + [f"z{k}"] + base[k + 1:]) for k in range(5, 115)] * 3
+    passage = " ".join(f"p{i}" for i in range(60))
+    alone = [f"{passage} " + " ".join(f"q{rng.randrange(10**6)}" for _ in range(60)) for _ in range(80)]
+    rows = [(i, t) for i, t in enumerate(crowd)] + [(1000 + i, t) for i, t in enumerate(alone)] + [(None, crowd[0]), (None, "only this"), (None, "only this"), (7, "one text"), (7, "another text")]
+    kept = sorted(((r.doc_id, r.text) for r in simhash.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=str)
+    assert kept == sorted([(0, crowd[0]), *((1000 + i, t) for i, t in enumerate(alone)), (None, "only this"), (7, "one text"), (7, "another text")], key=str)
 
 
 def test_repeats_are_gone(passed):
