@@ -17,6 +17,7 @@ SHAPE = Shape(shortest=1, longest=4, buckets=1 << 16, dim=16)
 SAMPLE, EPOCHS, RATE, SEED = 3000, 4, 0.3, 5
 FOLDS, HELD_OUT = 4, 2
 LOST = 0.002
+LANGUAGES, WINDOW = 200, 20_000
 UNKNOWN = "und"
 
 
@@ -42,15 +43,27 @@ def has_letter(text: str) -> bool:
 def fit(docs: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Language | None:
     """Learn from at most `sample` texts of known language that aren't held out; a fifth of them only sets temperature and limits.
 
-    The sample is picked by a hash of the id at a rate taken from the count of all such rows. The limits are the values under
-    which `LOST` of the calibration texts would fall, so clean text is almost never rejected. None if there is nothing to learn.
+    Every language gets an equal share of the sample, and what a rare one can't fill goes to the others; beyond the `LANGUAGES` most
+    frequent values none is a class. Texts are picked by a hash of the id at rates taken from the counts of all such rows, and of a
+    text over `WINDOW` characters a window at a place picked by hash is learned from. The limits are the values under which
+    `LOST` of the calibration texts would fall, so clean text is almost never rejected. None if there is nothing to learn.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("string").alias("_text"), F.col(lang_col).cast("string").alias("_lang")).where(
         F.col("_lang").isNotNull() & F.col("_text").isNotNull() & (fold("_id") != HELD_OUT))
-    total = rows.count()
+    counts = rows.groupBy("_lang").count().orderBy(F.desc("count"), "_lang").limit(LANGUAGES).collect()
+    quota, left = {}, sample
+    for i, r in enumerate(reversed(counts)):
+        quota[r["_lang"]] = min(r["count"], max(1, left // (len(counts) - i)))
+        left = max(0, left - quota[r["_lang"]])
+    rates = docs.sparkSession.createDataFrame([(r["_lang"], min(1.0, 1.3 * quota[r["_lang"]] / r["count"])) for r in counts], "_lang string, _rate double")
     ticket = F.pmod(F.xxhash64("_id", F.lit(SEED)), F.lit(1 << 20)) / (1 << 20)
-    got = rows.where(ticket < min(1.0, 1.2 * sample / max(1, total))).orderBy(F.xxhash64("_id", F.lit(SEED)), "_id", "_text").limit(sample).select("_text", "_lang").toLocalIterator()
-    pairs = [(t, lang) for t, lang in got if has_letter(t)]
+    begin = F.pmod(F.xxhash64("_id", F.lit(SEED + 1)), F.greatest(F.lit(1), F.length("_text") - WINDOW + 1)).cast("int") + 1
+    drawn = rows.join(F.broadcast(rates), "_lang").where(ticket < F.col("_rate")).orderBy(F.xxhash64("_id", F.lit(SEED)), "_id", "_text").limit(2 * sample)
+    pairs, got = [], dict.fromkeys(quota, 0)
+    for text, lang in drawn.select(F.substring("_text", begin, F.lit(WINDOW)), "_lang").toLocalIterator():
+        if got[lang] < quota[lang] and has_letter(text):
+            got[lang] += 1
+            pairs.append((text, lang))
     if not pairs:
         return None
     labels = sorted({lang for _, lang in pairs})

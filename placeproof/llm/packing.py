@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from placeproof.llm.common import stored
+
 LENGTHS, OVERHEAD, GROUP_PIECES, LOOK_AHEAD = (512, 1024, 2048, 4096, 8192), 16, 1 << 12, 12
 
 
@@ -102,16 +104,18 @@ def pack(
     """(doc_id, piece, begin, n_tokens, bin_id, bin_offset, bin_length): every token of every row in exactly one bin.
 
     Rows longer than the largest length are cut into pieces of it and a rest. Rows without tokens give one piece without a
-    bin (null id and offset, length 0). Repeated rows and null ids are packed like any others. Bins never cross groups.
+    bin (null id and offset, length 0). Repeated rows and null ids are packed like any others. Bins never cross groups, which are
+    counted from pieces and dealt by row and piece, so that neither one long text nor one repeated id fills a group.
     """
     lengths = tuple(sorted(lengths))
     longest = lengths[-1]
-    counted = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(tokens, F.lit(0)).cast("long").alias("all"))
-    rows = docs.count()
-    pieces = counted.select("doc_id", "all", F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), F.expr(f"(all - 1) div {longest}").cast("int")))).alias("piece")).select(
-        "doc_id", "piece", (F.col("piece").cast("long") * longest).alias("begin"), F.least(F.lit(longest), F.col("all") - F.col("piece").cast("long") * longest).alias("n_tokens"))
-    groups = max(1, -(-rows // group_pieces))
-    dealt = pieces.withColumn("group", F.when(F.col("n_tokens") > 0, F.pmod(F.xxhash64("doc_id", "piece", "n_tokens"), F.lit(groups))).otherwise(F.lit(-1) - F.pmod(F.xxhash64("doc_id"), F.lit(groups))))
+    counted = stored(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(tokens, F.lit(0)).cast("long").alias("all"), F.monotonically_increasing_id().alias("row")), "packing")
+    total = counted.agg(F.sum(F.expr(f"greatest(1, (all + {longest - 1}) div {longest})"))).first()[0] or 0
+    pieces = counted.select("doc_id", "all", "row", F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), F.expr(f"(all - 1) div {longest}").cast("int")))).alias("piece")).select(
+        "doc_id", "piece", (F.col("piece").cast("long") * longest).alias("begin"), F.least(F.lit(longest), F.col("all") - F.col("piece").cast("long") * longest).alias("n_tokens"), "row")
+    groups = max(1, -(-total // group_pieces))
+    number = F.pmod(F.xxhash64("row", "piece"), F.lit(groups))
+    dealt = pieces.select("doc_id", "piece", "begin", "n_tokens", F.when(F.col("n_tokens") > 0, number).otherwise(F.lit(-1) - number).alias("group"))
     work = partial(_maybe_pack, lengths, overhead)
     return dealt.groupBy("group").applyInArrow(
         lambda key, table: work(key, table), "doc_id long, piece int, begin long, n_tokens long, bin_id long, bin_offset long, bin_length long")

@@ -153,3 +153,12 @@ def test_small_payloads_are_all_responses(spark):
     df = spark.createDataFrame([(1, "a", "xx"), (2, "a", "xx"), (3, "a", "long one"), (4, "a", "long one")], "page_id long, url string, html string")
     assert {r.page_id: r.record_type for r in warc.archived(df, least_bytes=3).collect()} == {1: "response", 2: "response", 3: "revisit", 4: "response"}
     assert warc.archived(df.limit(0)).collect() == []
+
+
+def test_groups_are_bounded_by_pieces(spark):
+    """Neither long texts nor one id that holds all rows fill a group."""
+    long = spark.createDataFrame([(i, 400 * packing.LENGTHS[-1]) for i in range(50)], "doc_id long, n long")
+    same = spark.createDataFrame([(None, 7)] * 20000, "doc_id long, n long")
+    for rows in (long, same):
+        got = packing.pack(rows, F.col("n"), group_pieces=100).groupBy((F.col("bin_id").bitwiseAND(F.lit(-1 << 32))).alias("g")).count().collect()
+        assert max(r["count"] for r in got) < 200 and sum(r["count"] for r in got) == 20000

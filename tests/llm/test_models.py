@@ -32,6 +32,15 @@ def test_language_of_odd_rows(spark, docs):
     assert got[(None, "the and of")].held_out is False
 
 
+def test_a_rare_language_is_a_class(spark, docs):
+    """Four texts of a language among ten thousand are enough to be told from the others."""
+    rare = spark.createDataFrame([(4 * i + 10**7 + (2 if i > 3 else 0), "один русский текст про дом и сад " * (i + 1), "ru") for i in range(8)], "doc_id long, text string, lang string")
+    every = docs.select("doc_id", "text", "lang").unionByName(rare)
+    known = langid.fit(every, sample=400)
+    assert known.model.labels == ["de", "en", "es", "fr", "ru"]
+    assert {r.lang_pred for r in langid.identify(rare, known).collect()} == {"ru"}
+
+
 def test_language_without_teachers(spark):
     rows = spark.createDataFrame([(1, "some text", None), (2, None, "en")], "doc_id long, text string, lang string")
     assert [(r.lang_pred, r.score) for r in langid.identify(rows, langid.fit(rows)).collect()] == [("und", 0.0)] * 2
