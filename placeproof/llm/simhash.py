@@ -18,7 +18,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from placeproof.llm.common import as_bytes, stored
@@ -27,22 +27,32 @@ from placeproof.llm.components import components
 WORDS, SEED, SEGMENTS, BITS = 3, 42, 8, 64
 CROWDED = 1024
 LIKE_WORDS, LIKE, DRAWS, DRAWN = 5, 0.8, 8, 4
-SALTS = 8
+SALTS, ONE_LEAD_ROUNDS, LEADS_AT_ONCE = 8, 2, 128
 PAIRS_AT_ONCE = 1 << 21
 
 
-def fingerprint(text: bytes, words: int = WORDS, seed: int = SEED) -> int:
-    """64 bits: each is 1 where over half of the shingles' hashes have it; 0 for a text without words."""
+def shingle_hashes(text: bytes, words: int, seed: int = SEED) -> np.ndarray:
+    """Hashes of a text's shingles, repeats included; one for a text of fewer words, none without words."""
     parts = text.lower().split()  # of bytes: A-Z only, and white space is 0x20 and 0x09 to 0x0D
     if not parts:
-        return 0
+        return np.zeros(0, dtype="<u8")
     shingles = map(b" ".join, zip(*(parts[i:] for i in range(words)))) if len(parts) >= words else [b" ".join(parts)]
     digest = xxhash.xxh64_intdigest
-    hashes = np.array([digest(s, seed) for s in shingles], dtype="<u8")
+    return np.array([digest(s, seed) for s in shingles], dtype="<u8")
+
+
+def majority(hashes: np.ndarray) -> int:
+    """64 bits: each is 1 where over half of the hashes have it; 0 without hashes."""
+    if not len(hashes):
+        return 0
     ones = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")[0])
 
 
+def fingerprint(text: bytes, words: int = WORDS, seed: int = SEED) -> int:
+    return majority(shingle_hashes(text, words, seed))
+
+
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, seed: int = SEED) -> DataFrame:
     """(doc_id, fp) for every row; fp is the fingerprint as a signed long. A null text counts as empty."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -179,24 +189,13 @@ def near_duplicates(
         "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def shingle_hashes(text: bytes, words: int, seed: int = SEED) -> np.ndarray:
-    """Distinct hashes of a text's shingles in order; one for a text of fewer words, none without words."""
-    parts = text.lower().split()
-    if not parts:
-        return np.zeros(0, dtype=np.uint64)
-    shingles = map(b" ".join, zip(*(parts[i:] for i in range(words)))) if len(parts) >= words else [b" ".join(parts)]
-    digest = xxhash.xxh64_intdigest
-    return np.unique(np.fromiter((digest(s, seed) for s in shingles), dtype=np.uint64))
-
-
 def drawn_fingerprints(hashes: np.ndarray, draws: int = DRAWS, drawn: int = DRAWN) -> list[int]:
-    """One fingerprint a draw: of the `drawn` shingles with the least mixed hash, all if there are fewer."""
+    """One fingerprint a draw, from distinct hashes: of the `drawn` shingles with the least mixed hash, all if there are fewer."""
     out = []
     for i in range(draws):
         mixed = (hashes ^ (hashes >> np.uint64(29))) * np.uint64((0x9E3779B97F4A7C15 * (2 * i + 3)) & (2**64 - 1))
         few = hashes[np.argpartition(mixed ^ (mixed >> np.uint64(32)), drawn - 1)[:drawn]] if len(hashes) > drawn else hashes
-        ones = np.unpackbits(few.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-        out.append(int(np.packbits(2 * ones > len(few), bitorder="little").view("<u8")[0]))
+        out.append(majority(few))
     return out
 
 
@@ -208,7 +207,7 @@ def _met(texts: DataFrame, words: int, draws: int, drawn: int, distance: int) ->
             for node, text in zip(batch.column(0).to_pylist(), as_bytes(batch.column(1))):
                 hashes = shingle_hashes(text, words)
                 if len(hashes):
-                    found = [fingerprint(text, words), *drawn_fingerprints(hashes, draws, drawn)]
+                    found = [majority(hashes), *drawn_fingerprints(np.unique(hashes), draws, drawn)]
                     nodes += [node] * len(found)
                     kinds += range(len(found))
                     fps += found
@@ -230,8 +229,8 @@ def _compared(pairs: DataFrame, bodies: DataFrame, words: int, similarity: float
             alike = []
             for lead, one, other in zip(batch.column(0).to_pylist(), as_bytes(batch.column(2)), as_bytes(batch.column(3))):
                 if lead != last:
-                    last, known = lead, shingle_hashes(one, words)
-                mine = shingle_hashes(other, words)
+                    last, known = lead, np.unique(shingle_hashes(one, words))
+                mine = np.unique(shingle_hashes(other, words))
                 both = len(np.intersect1d(known, mine, assume_unique=True))
                 alike.append(both >= similarity * (len(known) + len(mine) - both))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(alike, pa.bool_())], ["lead", "node", "alike"])
@@ -245,24 +244,26 @@ def similar_links(texts: DataFrame, words: int = LIKE_WORDS, similarity: float =
     """(lead, node): links between different texts (node, text) whose shingle sets have at least this similarity.
 
     In each class of texts that met, the least one leads: it is compared with all others, and what is like it has found its place.
-    The least of the rest leads next, again against the whole class, until every text leads or is like a leader. So work is
-    leaders times members, never all pairs, and no text stays without a leader it is like, if there is one in its class.
+    The least of the rest leads next, again against the whole class, until every text leads or is like a leader; after two rounds
+    `LEADS_AT_ONCE` of the rest lead together. So work is leaders times members, never all pairs of a crowd of copies, and no
+    text stays without a leader it is like, if there is one in its class.
     """
     members = _met(texts, words, draws, drawn, distance)
     bodies = stored(texts.join(members.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"]).select("node", "text"), "similar-texts")
-    waiting, done = members, None
+    waiting, done, rounds = members, None, 0
     while True:
-        leads = waiting.groupBy("class").agg(F.min("node").alias("lead"), F.count("*").alias("n"))
-        if done is None:
-            leads = leads.where("n > 1")
-        asked = stored(members.join(leads.select("class", "lead"), "class").where("node <> lead").select("class", "lead", "node"), "similar-asked")
+        rounds += 1
+        place = F.row_number().over(Window.partitionBy("class").orderBy("node"))
+        leads = waiting.withColumn("place", place).where(F.col("place") <= (1 if rounds <= ONE_LEAD_ROUNDS else LEADS_AT_ONCE)).select("class", F.col("node").alias("lead"))
+        pair = [F.least("lead", "node").alias("lead"), F.greatest("lead", "node").alias("node")]
+        asked = stored(members.join(leads, "class").where("node <> lead").select("class", F.col("node").alias("member"), *pair), "similar-asked")
         if asked.isEmpty():
             break
         pairs = asked.select("lead", "node").distinct()
         fresh = pairs if done is None else pairs.join(done, ["lead", "node"], "left_anti")
         found = stored(_compared(fresh, bodies, words, similarity), "similar-compared")
         done = found if done is None else stored(done.unionByName(found), "similar-done")
-        settled = asked.join(done.where("alike"), ["lead", "node"]).select("class", "node")
+        settled = asked.join(done.where("alike"), ["lead", "node"]).select("class", F.col("member").alias("node"))
         settled = settled.unionByName(leads.select("class", F.col("lead").alias("node"))).distinct()
         waiting = stored(waiting.join(settled, ["class", "node"], "left_anti"), "similar-waiting")
     return done.where("alike").select("lead", "node") if done is not None else bodies.select(F.col("node").alias("lead"), "node").limit(0)
