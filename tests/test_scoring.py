@@ -6,6 +6,7 @@ import pytest
 from helpers import IN_LIBRARY, INSIDE, NAMES, RING, STREET, buildings, campus, images
 
 from placeproof.operators import evidence, ranking, verdicts
+from placeproof.session import cut_lineage
 from pyspark.sql import functions as F
 
 CATEGORY = {"matched_category": "Korea University"}
@@ -202,6 +203,6 @@ def test_review_verdicts_lift_and_veto(spark):
 
 def test_review_candidates_share_slots_between_sources(spark):
     rows = [{**STREET, "source": s} for s in ["web_search"] * 6 + ["mapillary"] * 6] + [{"title": "Central Asia"}]
-    photos = evidence.score(images(spark, rows), campus(spark))
+    photos = cut_lineage(evidence.score(images(spark, rows), campus(spark)))
     picked = ranking.round_robin(ranking.review_candidates(photos), "source", [-F.col("confidence")], 4).collect()
     assert sorted(r["source"] for r in picked) == ["mapillary"] * 2 + ["web_search"] * 2
