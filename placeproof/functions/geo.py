@@ -32,15 +32,72 @@ def edges_of(ring: Column) -> Column:
     return F.element_at(F.transform(F.array(ring), of), 1)
 
 
-def contains(edges: Column, x: Column, y: Column) -> Column:
-    """Strictly inside by ray casting; a point on the boundary is outside."""
-    crossed = F.filter(edges, lambda e: ((e["y1"] > y) != (e["y2"] > y)) & (
-        x < (e["x2"] - e["x1"]) * (y - e["y1"]) / (e["y2"] - e["y1"]) + e["x1"]))
-    touched = F.exists(edges, lambda e: (
+def _crossed_odd(edges: Column, x: Column, y: Column) -> Column:
+    return F.size(F.filter(edges, lambda e: ((e["y1"] > y) != (e["y2"] > y)) & (
+        x < (e["x2"] - e["x1"]) * (y - e["y1"]) / (e["y2"] - e["y1"]) + e["x1"]))) % 2 == 1
+
+
+def _touched(edges: Column, x: Column, y: Column) -> Column:
+    return F.exists(edges, lambda e: (
         ((e["x2"] - e["x1"]) * (y - e["y1"]) == (e["y2"] - e["y1"]) * (x - e["x1"]))
         & x.between(F.least(e["x1"], e["x2"]), F.greatest(e["x1"], e["x2"]))
         & y.between(F.least(e["y1"], e["y2"]), F.greatest(e["y1"], e["y2"]))))
-    return (F.size(crossed) % 2 == 1) & ~touched
+
+
+def contains(edges: Column, x: Column, y: Column) -> Column:
+    """Strictly inside by ray casting; a point on the boundary is outside. Edges of several disjoint rings are one shape."""
+    return _crossed_odd(edges, x, y) & ~_touched(edges, x, y)
+
+
+def covers(edges: Column, x: Column, y: Column) -> Column:
+    """Inside or on the boundary."""
+    return _crossed_odd(edges, x, y) | _touched(edges, x, y)
+
+
+def _side(a: Column, b: Column, e: Column) -> Column:
+    """Side of the line through edge `e` on which (a, b) lies: 1, 0 or -1."""
+    return F.signum((e["x2"] - e["x1"]) * (b - e["y1"]) - (e["y2"] - e["y1"]) * (a - e["x1"]))
+
+
+def _meet(e: Column, f: Column) -> Column:
+    """Do two edges share any point?"""
+    near = ((F.least(e["x1"], e["x2"]) <= F.greatest(f["x1"], f["x2"])) & (F.least(f["x1"], f["x2"]) <= F.greatest(e["x1"], e["x2"]))
+            & (F.least(e["y1"], e["y2"]) <= F.greatest(f["y1"], f["y2"])) & (F.least(f["y1"], f["y2"]) <= F.greatest(e["y1"], e["y2"])))
+    return near & (_side(f["x1"], f["y1"], e) * _side(f["x2"], f["y2"], e) <= 0) & (
+        _side(e["x1"], e["y1"], f) * _side(e["x2"], e["y2"], f) <= 0)
+
+
+def is_simple(edges: Column) -> Column:
+    """Does a ring neither cross nor touch itself, nor turn back on itself? Compares all edges of one ring: a way has few thousand."""
+    def turns_back(e: Column, f: Column) -> Column:
+        return (_side(f["x2"], f["y2"], e) == 0) & (
+            (e["x2"] - e["x1"]) * (f["x2"] - f["x1"]) + (e["y2"] - e["y1"]) * (f["y2"] - f["y1"]) < 0)
+
+    def of(ring: Column) -> Column:
+        last = F.size(ring) - 1
+        bad = F.filter(ring, lambda e, i: turns_back(e, F.coalesce(F.get(ring, i + 1), F.get(ring, F.lit(0)))) | F.exists(
+            F.slice(ring, i + 3, F.greatest(last - 1 - i - F.when(i == 0, 1).otherwise(0), F.lit(0))), lambda f: _meet(e, f)))
+        return (last >= 2) & (F.size(bad) == 0)
+
+    moving = F.filter(edges, lambda e: (e["x1"] != e["x2"]) | (e["y1"] != e["y2"]))
+    return F.element_at(F.transform(F.array(moving), of), 1)
+
+
+def interior_point(edges: Column) -> Column:
+    """struct<x, y>: middle of the widest stretch inside the ring on a level line that meets no corner, near half its height."""
+    def on_line(y: Column) -> Column:
+        crossings = F.array_sort(F.transform(F.filter(edges, lambda e: (e["y1"] > y) != (e["y2"] > y)), lambda e: (
+            e["x1"] + (e["x2"] - e["x1"]) * (y - e["y1"]) / (e["y2"] - e["y1"]))))
+        widest = F.element_at(F.transform(F.array(crossings), lambda c: F.array_max(F.transform(
+            F.filter(c, lambda _, i: i % 2 == 0), lambda left, i: F.struct(
+                (F.get(c, 2 * i + 1) - left).alias("width"), (-i).alias("first"), ((left + F.get(c, 2 * i + 1)) / 2).alias("x"))))), 1)
+        return F.struct(widest["x"].alias("x"), y.alias("y"))
+
+    def level(ys: Column) -> Column:
+        half = (F.array_min(ys) + F.array_max(ys)) / 2
+        return (F.array_max(F.filter(ys, lambda v: v <= half)) + F.array_min(F.filter(ys, lambda v: v > half))) / 2
+
+    return F.element_at(F.transform(F.transform(F.array(F.transform(edges, lambda e: e["y1"])), level), on_line), 1)
 
 
 def nearest_on(edges: Column, x: Column, y: Column) -> Column:

@@ -22,9 +22,16 @@ NAME_MATCH = 0.8
 CELL_DEG, WIDE_CELL_DEG = 0.001, 0.05
 
 
-def with_outline(campus: DataFrame) -> DataFrame:
-    """Adds the edge list and the outline's own centre, once per campus."""
-    edges = F.when(F.size("ring") >= 4, geo.edges_of(F.col("ring")))
+def _shape_edges(df: DataFrame) -> Column:
+    """Edges of all `parts` where the table has them, else of `ring`."""
+    if "parts" not in df.columns:
+        return geo.edges_of(F.col("ring"))
+    return F.when(F.size("parts") > 0, F.flatten(F.transform("parts", geo.edges_of))).otherwise(geo.edges_of(F.col("ring")))
+
+
+def with_outline(campus: DataFrame, whole: bool = False) -> DataFrame:
+    """Adds the edge list and the outline's own centre, once per campus; `whole` takes all parts instead of the largest."""
+    edges = F.when(F.size("ring") >= 4, _shape_edges(campus) if whole else geo.edges_of(F.col("ring")))
     return campus.withColumn("edges", edges).withColumn("ring_center", geo.centroid(F.col("edges")))
 
 
@@ -63,9 +70,12 @@ def position(lat: Column, lng: Column, c_lat: Column, c_lng: Column, edges: Colu
     )
 
 
-def locate_on_campus(images: DataFrame, campus: DataFrame) -> DataFrame:
-    """Images with `geo`: where the photo point lies and what that is worth."""
-    shape = with_outline(campus).select(
+def locate_on_campus(images: DataFrame, campus: DataFrame, whole: bool = False) -> DataFrame:
+    """Images with `geo`: where the photo point lies and what that is worth.
+
+    Of a campus of several parts the largest counts, as in the studied scoring; with `whole` all `parts` do.
+    """
+    shape = with_outline(campus, whole).select(
         "profile_id", F.col("lat").alias("c_lat"), F.col("lng").alias("c_lng"), "edges", "ring_center")
     return images.join(shape, "profile_id", "left").withColumn("geo", position(
         F.col("lat"), F.col("lng"), F.col("c_lat"), F.col("c_lng"), F.col("edges"), F.col("ring_center"))).drop(
@@ -116,10 +126,10 @@ def building_photos(buildings: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def buildings_near_campus(buildings: DataFrame, campus: DataFrame, within_m: float = NEARBY_BUILDING_M) -> DataFrame:
-    """Buildings whose centre is inside the outline or close to it. The centre is the ring's centroid."""
-    shape = with_outline(campus).select("profile_id", F.col("edges").alias("c_edges"))
+    """Buildings with an interior point inside the outline (any of its `parts`, if given) or close to it."""
+    shape = with_outline(campus, whole=True).select("profile_id", F.col("edges").alias("c_edges"))
     centered = buildings.dropDuplicates(["profile_id", "building_id"]).join(shape, "profile_id", "left").withColumn(
-        "_c", geo.centroid(geo.edges_of(F.col("ring"))))
+        "_c", geo.interior_point(geo.edges_of(F.col("ring"))))
     x, y = F.col("_c.x"), F.col("_c.y")
     inside = F.coalesce(geo.contains(F.col("c_edges"), x, y), F.lit(False))
     limit = within_m / geo.KM_PER_DEGREE / 1000
@@ -159,15 +169,16 @@ def ring_metrics(shapes: DataFrame) -> DataFrame:
 def pick_campus(elements: DataFrame, universities: DataFrame, similarity) -> DataFrame:
     """The best mapped outline per profile: tagged with its id, else containing its point (by name first), larger first.
 
-    `elements` carry profile_id, element_id, amenity, site, entity_id, names[] and ring; `similarity(a, b)` compares
-    two name columns. Only elements that contain the point but lack the tag are compared by name.
+    `elements` carry profile_id, element_id, amenity, site, entity_id, names[] and ring, and may carry `parts`, which then hold the
+    point and give the area; `similarity(a, b)` compares two name columns. Only elements that contain the point but lack the
+    tag are compared by name.
     """
     placed = elements.filter(
         F.col("amenity").isin("university", "college") | (F.col("site") == "university")).filter(
         F.size("ring") >= 4).join(universities.select(
             "profile_id", F.col("entity_id").alias("u_entity"), F.col("names").alias("u_names"),
             F.col("lat").alias("u_lat"), F.col("lng").alias("u_lng")), "profile_id").withColumn(
-        "_e", geo.edges_of(F.col("ring"))).withColumns({
+        "_e", _shape_edges(elements)).withColumns({
             "tagged": F.coalesce(F.col("entity_id") == F.col("u_entity"), F.lit(False)),
             "holds": F.coalesce(geo.contains(F.col("_e"), F.col("u_lng"), F.col("u_lat")), F.lit(False)),
             "area": geo.planar_area(F.col("_e"))}).filter(F.col("area") > 0).drop("_e")

@@ -177,6 +177,58 @@ def normalize_buildings(spark, sf_dir):
     return rows.select("building_id", "name", "type", "height_m", "levels", F.round(F.col("ring")[0]["x"], 6).alias("first_x"))
 
 
+def _line(*corners: tuple[str, str]) -> str:
+    return "array(" + ", ".join(f"named_struct('lon', {x}, 'lat', {y})" for x, y in corners) + ")"
+
+
+def _member(role: str, line: str, when: str = "true") -> str:
+    return f"CASE WHEN {when} THEN named_struct('type', 'way', 'role', '{role}', 'geometry', {line}) END"
+
+
+def _box_line(x: str, y: str, size: str) -> str:
+    return _line((x, y), (f"{x} + {size}", y), (f"{x} + {size}", f"{y} + {size}"), (x, f"{y} + {size}"), (x, y))
+
+
+# A box drawn by three open ways, one of them missing in every fourth; a closed second part, a hole, a loose end.
+X0, WIDE, HIGH = "p_size * 1e-2", "p_size * 1e-2 + 1e-3 * (1 + p_partkey % 3)", "1e0 + 1e-3"
+RELATION = "named_struct('type', 'relation', 'id', p_partkey, 'tags', map('amenity', 'university', 'name', p_name), 'members', array(" + ", ".join([
+    _member("outer", _line((X0, "1e0"), (WIDE, "1e0"), (WIDE, HIGH))), _member("inner", _box_line(f"{X0} + 2e-4", "1e0 + 2e-4", "1e-4"), "p_partkey % 5 = 0"),
+    _member("outer", _line((X0, "1e0"), (X0, HIGH)), "p_partkey % 4 <> 0"), _member("perimeter", _line((X0, HIGH), (WIDE, HIGH))),
+    _member("", _box_line(f"{X0} + 5e-3", "1e0", "2e-3"), "p_partkey % 3 = 0"), _member("outer", _line((X0, "1e0"), (X0, "5e-1")), "p_partkey % 2 = 0")]) + "))"
+
+
+@query("join_outlines", """SELECT p_partkey AS element_id, CAST((p_partkey % 4 <> 0) AS INT) + CAST((p_partkey % 3 = 0) AS INT) AS parts, round(CASE
+    WHEN p_partkey % 4 <> 0 THEN 1e0 + p_partkey % 3 ELSE 0 END + CASE WHEN p_partkey % 3 = 0 THEN 4e0 ELSE 0 END, 3) AS area, round(p_size * 1e-2 +
+    CASE WHEN p_partkey % 3 = 0 THEN 5e-3 ELSE 0 END, 6) AS largest_w, p_partkey % 4 <> 0 AS holds_first, p_partkey % 3 = 0 AS holds_second
+    FROM part WHERE p_partkey % 4 <> 0 OR p_partkey % 3 = 0""")
+def join_outlines(spark, sf_dir):
+    payloads = views.table(spark, sf_dir, "part").selectExpr(
+        "p_partkey % 25 AS profile_id", "p_partkey AS seq", f"to_json({RELATION}) AS payload", "p_size * 1e-2 AS x0")
+    rows = maps.campus_elements(maps.read_elements(payloads)).withColumn("edges", F.flatten(F.transform("parts", geo.edges_of)))
+    at = payloads.select(F.col("seq").alias("element_id"), "x0")
+    return rows.join(at, "element_id").select(
+        "element_id", F.size("parts").alias("parts"), F.round(geo.planar_area(F.col("edges")) * 1e6, 3).alias("area"),
+        F.round(geo.bbox_of(F.col("ring"))["w"], 6).alias("largest_w"),
+        geo.contains(F.col("edges"), F.col("x0") + 2.5e-4, F.lit(1.00025)).alias("holds_first"),
+        geo.contains(F.col("edges"), F.col("x0") + 6e-3, F.lit(1.001)).alias("holds_second"))
+
+
+THICK = "1e-4 * (1 + p_partkey % 3)"
+ELL = _line((X0, "1e0"), (f"{X0} + 3 * {THICK}", "1e0"), (f"{X0} + 3 * {THICK}", f"1e0 + {THICK}"), (f"{X0} + {THICK}", f"1e0 + {THICK}"),
+            (f"{X0} + {THICK}", f"1e0 + 3 * {THICK}"), (X0, f"1e0 + 3 * {THICK}"), (X0, "1e0"))
+CROSSED = _line((X0, "1e0"), (f"{X0} + 1e-4", "1e0 + 1e-4"), (f"{X0} + 1e-4", "1e0"), (X0, "1e0 + 1e-4"), (X0, "1e0"))
+
+
+@query("interior_points", """SELECT 'way-' || p_partkey AS building_id, round(p_size * 1e-2 + 5e-5 * (1 + p_partkey % 3), 6) AS x,
+    round(1e0 + 2e-4 * (1 + p_partkey % 3), 6) AS y FROM part WHERE p_partkey % 7 <> 0""")
+def interior_points(spark, sf_dir):
+    payloads = views.table(spark, sf_dir, "part").selectExpr("p_partkey % 25 AS profile_id", "p_partkey AS seq", f"""to_json(named_struct('type', 'way',
+        'id', p_partkey, 'tags', map('building', 'yes'), 'geometry', CASE WHEN p_partkey % 7 = 0 THEN {CROSSED} ELSE {ELL} END)) AS payload""")
+    point = geo.interior_point(geo.edges_of(F.col("ring")))
+    return maps.normalize_buildings(maps.read_elements(payloads)).select(
+        "building_id", F.round(point["x"], 6).alias("x"), F.round(point["y"], 6).alias("y"))
+
+
 BINDING = """named_struct('item', named_struct('value', 'http://e/Q' || s_suppkey % 40), 'itemLabel', named_struct('value', 'Hall ' || s_suppkey %
     40 || ' ' || s_suppkey % 3), 'coord', named_struct('value', 'Point(' || (127 + s_suppkey % 4) || '.5 ' || '37.25)'), 'image',
     named_struct('value', 'http://c/My_file_' || s_suppkey % 2 || '.jpg'), 'commons', CASE WHEN s_suppkey % 5 = 0 THEN named_struct('value', 'Cat '

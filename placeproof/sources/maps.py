@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from placeproof.functions import geo, rules
+from placeproof.functions import geo, rings, rules
 
 # Fixed values.
 BUILDING_AMENITIES = ["library", "restaurant", "cafe", "canteen", "food_court"]
@@ -22,22 +22,33 @@ members array<struct<type:string,role:string,geometry:{_POINTS}>>"""
 BINDING = ",".join(f"{k} struct<value:string>" for k in ("item", "itemLabel", "coord", "image", "commons", "instance", "direct"))
 
 
+def _points(geometry: Column) -> Column:
+    return F.transform(geometry, lambda p: F.struct(p["lon"].alias("x"), p["lat"].alias("y")))
+
+
 def _ring(points: Column) -> Column:
     """Ring of a closed way of at least four points, else null."""
-    ring = F.transform(points, lambda p: F.struct(p["lon"].alias("x"), p["lat"].alias("y")))
+    ring = _points(points)
     closed = (F.size(ring) >= 4) & (F.get(ring, F.lit(0)) == F.get(ring, F.size(ring) - 1))
     return F.when(closed, ring)
 
 
 def read_elements(payloads: DataFrame) -> DataFrame:
-    """Elements (profile_id, seq, payload) with tags and `parts`: the rings they draw."""
+    """Elements (profile_id, seq, payload) with tags and `parts`: the rings they draw.
+
+    A closed way is one ring. The outer ways of a relation are joined at their ends into as many rings as they enclose; its
+    inner ways are not cut out. Elements without any ring are left out.
+    """
     element = payloads.select("profile_id", "seq", F.from_json("payload", ELEMENT).alias("e"))
     outers = F.filter("e.members", lambda m: (m["type"] == "way") & F.coalesce(m["role"], F.lit("")).isin(OUTER_ROLES))
-    parts = F.when(F.col("e.type") == "way", F.array(_ring(F.col("e.geometry")))).otherwise(
-        F.transform(outers, lambda m: _ring(m["geometry"])))
-    return element.select(
-        "profile_id", "seq", F.col("e.type").alias("kind"), F.col("e.id").alias("element"), F.col("e.tags").alias("tags"),
-        F.array_compact(parts).alias("parts")).filter(F.size("parts") > 0)
+    ways = F.filter(F.transform(outers, lambda m: _points(m["geometry"])), lambda w: F.size(w) >= 2)
+    joined = rings.join_ways(element, F.when(F.col("e.type") == "relation", ways), "joined")
+    parts = F.when(F.col("e.type") == "way", F.array_compact(F.array(_ring(F.col("e.geometry"))))).otherwise(F.col("joined"))
+    drawn = joined.select(
+        "profile_id", "seq", F.col("e.type").alias("kind"), F.col("e.id").alias("element"), F.col("e.tags").alias("tags"), parts.alias("p"))
+    # Generated rather than filtered, so that the optimizer doesn't compute the rings once to test and once to return them.
+    return drawn.select(
+        "profile_id", "seq", "kind", "element", "tags", F.explode(F.when(F.size("p") > 0, F.array("p"))).alias("parts"))
 
 
 def number(value: Column) -> Column:
@@ -46,13 +57,14 @@ def number(value: Column) -> Column:
 
 
 def normalize_buildings(elements: DataFrame) -> DataFrame:
-    """Building rows of map ways, in element order; the outline is rounded to six decimals."""
+    """Building rows of map ways, in element order; the outline is rounded to six decimals. A way that crosses itself is none."""
     tags = F.col("tags")
     wanted = (
         F.map_contains_key(tags, "building")
         | F.coalesce(F.element_at(tags, F.lit("amenity")).isin(BUILDING_AMENITIES), F.lit(False))
         | F.coalesce(F.element_at(tags, F.lit("leisure")).isin(BUILDING_LEISURE), F.lit(False)))
-    return elements.filter((F.col("kind") == "way") & wanted).select(
+    simple = geo.is_simple(geo.edges_of(F.get("parts", F.lit(0))))
+    return elements.filter((F.col("kind") == "way") & wanted).filter(simple).select(
         "profile_id", F.col("seq").alias("ord"), F.concat(F.lit("way-"), F.col("element")).alias("building_id"),
         F.coalesce(F.element_at(tags, F.lit("name")), F.lit("")).alias("name"), rules.building_type(tags).alias("type"),
         geo.round_ring(F.get("parts", F.lit(0))).alias("ring"),
@@ -61,13 +73,14 @@ def normalize_buildings(elements: DataFrame) -> DataFrame:
 
 
 def campus_elements(elements: DataFrame) -> DataFrame:
-    """Outline candidates for `pick_campus`: the largest part stands for an element of several."""
+    """Outline candidates for `pick_campus`: all `parts`, and as `ring` the largest; a way that crosses itself is none."""
     tags = F.col("tags")
     names = F.map_values(F.map_filter(tags, lambda k, v: (k == "name") | k.startswith("name:")))
-    return elements.select(
+    simple = (F.col("kind") != "way") | geo.is_simple(geo.edges_of(F.get("parts", F.lit(0))))
+    return elements.filter(simple).select(
         "profile_id", F.col("element").alias("element_id"), F.element_at(tags, F.lit("amenity")).alias("amenity"),
         F.element_at(tags, F.lit("site")).alias("site"), F.element_at(tags, F.lit("wikidata")).alias("entity_id"),
-        names.alias("names"), geo.outer_ring(F.col("parts")).alias("ring"))
+        names.alias("names"), "parts", geo.outer_ring(F.col("parts")).alias("ring"))
 
 
 def _last_part(value: Column) -> Column:
