@@ -7,7 +7,8 @@ share a value when each is spread to itself and its one-bit neighbours, which ta
 
 Two bits out of 64 are a similarity of about 0.99. For a lower one (`similar_texts`) a text has further fingerprints, each of a
 few of its shingles, drawn by least hash under a seed of its own: texts of similarity s have the same draw of four with
-probability s ** 4. What meets is compared exactly, shingle by shingle.
+probability s ** 4. Of what meets, pairs whose numbers of shingles or bitmaps of shingle hashes already exclude the similarity
+are left out, which loses none; the rest is compared exactly, shingle by shingle.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from placeproof.llm.common import as_bytes, stored
@@ -29,6 +30,7 @@ CROWDED = 1024
 LIKE_WORDS, LIKE, DRAWS, DRAWN = 5, 0.8, 8, 4
 SALTS, ONE_LEAD_ROUNDS, LEADS_AT_ONCE = 8, 2, 128
 PAIRS_AT_ONCE = 1 << 21
+BITMAP_LONGS = 8
 
 
 def shingle_hashes(text: bytes, words: int, seed: int = SEED) -> np.ndarray:
@@ -221,47 +223,78 @@ def _met(texts: DataFrame, words: int, draws: int, drawn: int, distance: int) ->
     return stored(every.join(shared, (F.col("kind") == F.col("k")) & (F.col("fp") == F.col("f"))).select(F.struct("kind", "fp").alias("class"), "node"), "similar-classes")
 
 
-def _compared(pairs: DataFrame, bodies: DataFrame, words: int, similarity: float) -> DataFrame:
+def _shingle_sets(texts: DataFrame, words: int) -> DataFrame:
+    """(node, n, bits, hashes) of texts: how many different shingles, a bitmap of where their hashes fall, the sorted hashes themselves."""
+    shift = np.uint64(64 - (64 * BITMAP_LONGS - 1).bit_length())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [np.unique(shingle_hashes(t, words)) for t in as_bytes(batch.column(1))]
+            marked = np.zeros((len(sets), 64 * BITMAP_LONGS), dtype=np.uint8)
+            for i, hashes in enumerate(sets):
+                marked[i, hashes >> shift] = 1
+            bits = np.packbits(marked, axis=1, bitorder="little").view("<i8")
+            yield pa.RecordBatch.from_arrays([
+                batch.column(0), pa.array([len(h) for h in sets], pa.int32()),
+                pa.ListArray.from_arrays(np.arange(len(sets) + 1, dtype=np.int32) * BITMAP_LONGS, pa.array(bits.reshape(-1))),
+                pa.array([h.tobytes() for h in sets], pa.binary())], ["node", "n", "bits", "hashes"])
+    return texts.select("node", "text").mapInArrow(run, "node string, n int, bits array<long>, hashes binary")
+
+
+def _may_be_alike(similarity: float) -> Column:
+    """Can (n, bits) and (lead_n, lead_bits) be this similar? A bit that only one has is a shingle that the other lacks."""
+    def room(count: str, one: str, other: str) -> Column:
+        lacking = sum((F.bit_count(F.get(one, F.lit(i)).bitwiseAND(F.bitwise_not(F.get(other, F.lit(i))))) for i in range(BITMAP_LONGS)), F.lit(0))
+        return F.col(count) - lacking >= least
+    # Common shingles needed, a hair less so that rounding excludes nothing.
+    least = (similarity / (1 + similarity) - 1e-9) * (F.col("n") + F.col("lead_n"))
+    return (F.least("n", "lead_n") >= least) & room("n", "bits", "lead_bits") & room("lead_n", "lead_bits", "bits")
+
+
+def _compared(pairs: DataFrame, bodies: DataFrame, similarity: float) -> DataFrame:
     """(lead, node, alike) of pairs of texts, by all their shingles. A lead of many is dealt over several tasks."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, known = None, None
         for batch in batches:
             alike = []
-            for lead, one, other in zip(batch.column(0).to_pylist(), as_bytes(batch.column(2)), as_bytes(batch.column(3))):
-                if lead != last:
-                    last, known = lead, np.unique(shingle_hashes(one, words))
-                mine = np.unique(shingle_hashes(other, words))
+            for one, other in zip(batch.column(2), batch.column(3)):
+                known, mine = np.frombuffer(one.as_buffer(), dtype="<u8"), np.frombuffer(other.as_buffer(), dtype="<u8")
                 both = len(np.intersect1d(known, mine, assume_unique=True))
                 alike.append(both >= similarity * (len(known) + len(mine) - both))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(alike, pa.bool_())], ["lead", "node", "alike"])
-    leads = pairs.select(F.col("lead").alias("node")).distinct().join(bodies, "node").select(
-        F.col("node").alias("lead"), F.col("text").alias("one"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    others = pairs.join(bodies, "node").withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int"))
-    return others.join(leads, ["lead", "salt"]).select("lead", "node", "one", F.col("text").alias("other")).mapInArrow(run, "lead string, node string, alike boolean")
+    sets = bodies.select("node", "hashes")
+    leads = pairs.select(F.col("lead").alias("node")).distinct().join(sets, "node").select(
+        F.col("node").alias("lead"), F.col("hashes").alias("one"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    others = pairs.join(sets, "node").withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int"))
+    return others.join(leads, ["lead", "salt"]).select("lead", "node", "one", F.col("hashes").alias("other")).mapInArrow(run, "lead string, node string, alike boolean")
 
 
 def similar_links(texts: DataFrame, words: int = LIKE_WORDS, similarity: float = LIKE, draws: int = DRAWS, drawn: int = DRAWN, distance: int = 2) -> DataFrame:
     """(lead, node): links between different texts (node, text) whose shingle sets have at least this similarity.
 
-    In each class of texts that met, the least one leads: it is compared with all others, and what is like it has found its place.
+    In each class of texts that met, the least one leads: it is held against all others, and what is like it has found its place.
     The least of the rest leads next, again against the whole class, until every text leads or is like a leader; after two rounds
     `LEADS_AT_ONCE` of the rest lead together. So work is leaders times members, never all pairs of a crowd of copies, and no
-    text stays without a leader it is like, if there is one in its class.
+    text stays without a leader it is like, if there is one in its class. Only pairs that sizes and bitmaps allow leave the
+    join of leaders and members.
     """
-    members = _met(texts, words, draws, drawn, distance)
-    bodies = stored(texts.join(members.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"]).select("node", "text"), "similar-texts")
+    met = _met(texts, words, draws, drawn, distance)
+    wanted = texts.join(met.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"])
+    bodies = stored(_shingle_sets(wanted, words), "similar-texts")
+    salt = F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int").alias("salt")
+    members = stored(met.join(bodies.select("node", "n", "bits"), "node").select("class", salt, "node", "n", "bits"), "similar-members")
     waiting, done, rounds = members, None, 0
-    while True:
+    while not waiting.isEmpty():
         rounds += 1
         place = F.row_number().over(Window.partitionBy("class").orderBy("node"))
-        leads = waiting.withColumn("place", place).where(F.col("place") <= (1 if rounds <= ONE_LEAD_ROUNDS else LEADS_AT_ONCE)).select("class", F.col("node").alias("lead"))
+        leads = waiting.withColumn("place", place).where(F.col("place") <= (1 if rounds <= ONE_LEAD_ROUNDS else LEADS_AT_ONCE)).select(
+            "class", F.col("node").alias("lead"), F.col("n").alias("lead_n"), F.col("bits").alias("lead_bits"))
+        everywhere = leads.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
         pair = [F.least("lead", "node").alias("lead"), F.greatest("lead", "node").alias("node")]
-        asked = stored(members.join(leads, "class").where("node <> lead").select("class", F.col("node").alias("member"), *pair), "similar-asked")
-        if asked.isEmpty():
-            break
+        asked = stored(members.join(everywhere, ["class", "salt"]).where("node <> lead").where(_may_be_alike(similarity)).select(
+            "class", F.col("node").alias("member"), *pair), "similar-asked")
         pairs = asked.select("lead", "node").distinct()
         fresh = pairs if done is None else pairs.join(done, ["lead", "node"], "left_anti")
-        found = stored(_compared(fresh, bodies, words, similarity), "similar-compared")
+        found = stored(_compared(fresh, bodies, similarity), "similar-compared")
         done = found if done is None else stored(done.unionByName(found), "similar-done")
         settled = asked.join(done.where("alike"), ["lead", "node"]).select("class", F.col("member").alias("node"))
         settled = settled.unionByName(leads.select("class", F.col("lead").alias("node"))).distinct()

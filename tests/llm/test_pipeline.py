@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -114,3 +115,21 @@ def test_stages_on_odd_rows(spark):
             if name != "best_fit_packing":
                 assert out.columns == odd.columns
             out.count()
+
+
+def test_sizes_and_bitmaps_exclude_no_similar_text(spark):
+    rng, rows, sets = np.random.default_rng(11), [], {}  # texts of one base, more and more changed
+    for i in range(60):
+        base = [f"w{n}" for n in rng.integers(0, 500, int(rng.choice([6, 20, 90, 2000])))]
+        for j in range(8):
+            words = base[: max(1, len(base) - int(rng.integers(0, 1 + len(base) // 4)))]
+            changed = [f"x{n}" if rng.random() < 0.01 * j else w for n, w in enumerate(words)]
+            rows.append((f"{i:02}-{j}", " ".join(changed)))
+            sets[rows[-1][0]] = {tuple(changed[k:k + 5]) for k in range(max(1, len(changed) - 4))}
+    marks = simhash._shingle_sets(spark.createDataFrame(rows, "node string, text string"), 5).drop("hashes")
+    leads = marks.select(F.col("node").alias("lead"), F.col("n").alias("lead_n"), F.col("bits").alias("lead_bits"))
+    pairs = marks.join(leads, F.left("node", F.lit(2)) == F.left("lead", F.lit(2)))
+    found = pairs.select("node", "lead", simhash._may_be_alike(0.8).alias("may")).collect()
+    alike = {(r.node, r.lead): len(sets[r.node] & sets[r.lead]) >= 0.8 * len(sets[r.node] | sets[r.lead]) for r in found}
+    assert 300 < sum(alike.values()) < len(found) and all(r.may for r in found if alike[r.node, r.lead])
+    assert not all(r.may for r in found)
