@@ -201,6 +201,11 @@ def drawn_fingerprints(hashes: np.ndarray, draws: int = DRAWS, drawn: int = DRAW
     return out
 
 
+def _merged(left: DataFrame, right: DataFrame, on, how: str = "inner") -> DataFrame:
+    """A join by shuffle: sides that grow with the input and are joined once a round don't pass through the driver as broadcasts."""
+    return left.join(right.hint("merge"), on, how)
+
+
 def _met(texts: DataFrame, words: int, draws: int, drawn: int, distance: int) -> DataFrame:
     """(class, node): texts with a common fingerprint of a draw, or with near fingerprints of the whole text."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -217,10 +222,10 @@ def _met(texts: DataFrame, words: int, draws: int, drawn: int, distance: int) ->
     marks = stored(texts.select("node", "text").mapInArrow(run, "node string, kind int, fp long").distinct(), "similar-marks")
     whole = marks.where("kind = 0").select("fp").distinct()
     linked = components(near_links(whole, distance), "a", "b").select(F.col("node").alias("f"), F.col("component").alias("c"))
-    named = marks.where("kind = 0").join(linked, F.col("fp") == F.col("f"), "left").select("node", "kind", F.coalesce("c", "fp").alias("fp"))
+    named = _merged(marks.where("kind = 0"), linked, F.col("fp") == F.col("f"), "left").select("node", "kind", F.coalesce("c", "fp").alias("fp"))
     every = named.unionByName(marks.where("kind > 0"))
     shared = every.groupBy("kind", "fp").agg(F.count("*").alias("n")).where("n > 1").select(F.col("kind").alias("k"), F.col("fp").alias("f"))
-    return stored(every.join(shared, (F.col("kind") == F.col("k")) & (F.col("fp") == F.col("f"))).select(F.struct("kind", "fp").alias("class"), "node"), "similar-classes")
+    return stored(_merged(every, shared, (F.col("kind") == F.col("k")) & (F.col("fp") == F.col("f"))).select(F.struct("kind", "fp").alias("class"), "node"), "similar-classes")
 
 
 def _shingle_sets(texts: DataFrame, words: int) -> DataFrame:
@@ -262,10 +267,10 @@ def _compared(pairs: DataFrame, bodies: DataFrame, similarity: float) -> DataFra
                 alike.append(both >= similarity * (len(known) + len(mine) - both))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(alike, pa.bool_())], ["lead", "node", "alike"])
     sets = bodies.select("node", "hashes")
-    leads = pairs.select(F.col("lead").alias("node")).distinct().join(sets, "node").select(
+    leads = _merged(pairs.select(F.col("lead").alias("node")).distinct(), sets, "node").select(
         F.col("node").alias("lead"), F.col("hashes").alias("one"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    others = pairs.join(sets, "node").withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int"))
-    return others.join(leads, ["lead", "salt"]).select("lead", "node", "one", F.col("hashes").alias("other")).mapInArrow(run, "lead string, node string, alike boolean")
+    others = _merged(pairs, sets, "node").withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int"))
+    return _merged(others, leads, ["lead", "salt"]).select("lead", "node", "one", F.col("hashes").alias("other")).mapInArrow(run, "lead string, node string, alike boolean")
 
 
 def similar_links(texts: DataFrame, words: int = LIKE_WORDS, similarity: float = LIKE, draws: int = DRAWS, drawn: int = DRAWN, distance: int = 2) -> DataFrame:
@@ -281,7 +286,7 @@ def similar_links(texts: DataFrame, words: int = LIKE_WORDS, similarity: float =
     wanted = texts.join(met.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"])
     bodies = stored(_shingle_sets(wanted, words), "similar-texts")
     salt = F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int").alias("salt")
-    members = stored(met.join(bodies.select("node", "n", "bits"), "node").select("class", salt, "node", "n", "bits"), "similar-members")
+    members = stored(_merged(met, bodies.select("node", "n", "bits"), "node").select("class", salt, "node", "n", "bits"), "similar-members")
     waiting, done, rounds = members, None, 0
     while not waiting.isEmpty():
         rounds += 1
@@ -290,15 +295,15 @@ def similar_links(texts: DataFrame, words: int = LIKE_WORDS, similarity: float =
             "class", F.col("node").alias("lead"), F.col("n").alias("lead_n"), F.col("bits").alias("lead_bits"))
         everywhere = leads.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
         pair = [F.least("lead", "node").alias("lead"), F.greatest("lead", "node").alias("node")]
-        asked = stored(members.join(everywhere, ["class", "salt"]).where("node <> lead").where(_may_be_alike(similarity)).select(
+        asked = stored(_merged(members, everywhere, ["class", "salt"]).where("node <> lead").where(_may_be_alike(similarity)).select(
             "class", F.col("node").alias("member"), *pair), "similar-asked")
         pairs = asked.select("lead", "node").distinct()
-        fresh = pairs if done is None else pairs.join(done, ["lead", "node"], "left_anti")
+        fresh = pairs if done is None else _merged(pairs, done, ["lead", "node"], "left_anti")
         found = stored(_compared(fresh, bodies, similarity), "similar-compared")
         done = found if done is None else stored(done.unionByName(found), "similar-done")
-        settled = asked.join(done.where("alike"), ["lead", "node"]).select("class", F.col("member").alias("node"))
+        settled = _merged(asked, done.where("alike"), ["lead", "node"]).select("class", F.col("member").alias("node"))
         settled = settled.unionByName(leads.select("class", F.col("lead").alias("node"))).distinct()
-        waiting = stored(waiting.join(settled, ["class", "node"], "left_anti"), "similar-waiting")
+        waiting = stored(_merged(waiting, settled, ["class", "node"], "left_anti"), "similar-waiting")
     return done.where("alike").select("lead", "node") if done is not None else bodies.select(F.col("node").alias("lead"), "node").limit(0)
 
 
