@@ -84,20 +84,24 @@ def train(
     seen_vectors = np.full(shape.buckets, 1e-6, dtype=np.float32)
     seen_weights = np.full_like(weights, 1e-3)
     seen_bias = np.full_like(bias, 1e-3)
-    cache: dict[str, np.ndarray] = {}
-    bags = []
+    numbers: dict[str, int] = {}  # of the different words; a text is kept as the numbers of its words
+    grams, counts, bags = [np.zeros(0, dtype=np.int32)], [np.zeros(0, dtype=np.int64)], []
     for text in texts:
         parts = words_of(text)
-        fresh = sorted({w for w in parts if w not in cache})
+        fresh = sorted({w for w in parts if w not in numbers})
         if fresh:
             ids, begins = shape.grams(fresh)
-            cache.update(zip(fresh, (g[g >= 0] for g in (part.ravel() for part in np.split(ids, begins[1:])))))
-        grams = [cache[w] for w in parts]
-        bags.append((np.concatenate(grams), np.array([len(g) for g in grams], dtype=np.int32)) if grams else (np.zeros(0, dtype=np.int32),) * 2)
-    del cache
+            grams.append(ids[ids >= 0])
+            counts.append(np.add.reduceat((ids >= 0).sum(axis=1), begins))
+            numbers.update(zip(fresh, range(len(numbers), len(numbers) + len(fresh))))
+        bags.append(np.array([numbers[w] for w in parts], dtype=np.int32))
+    del numbers
+    all_grams, all_sizes = np.concatenate(grams), np.concatenate(counts)
+    first = np.cumsum(all_sizes) - all_sizes
     for epoch in range(epochs):
         for i in rng.permutation(len(bags)):
-            ids, sizes = bags[i]
+            sizes = all_sizes[bags[i]]
+            ids = all_grams[np.repeat(first[bags[i]] - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())]
             spread = len(sizes)
             if window and epoch >= warm_up and spread:
                 amounts = np.add.reduceat(vectors[ids] @ (weights[:, 1] - weights[:, 0]), np.cumsum(sizes) - sizes) / sizes
