@@ -30,7 +30,7 @@ CROWDED = 1024
 LIKE_WORDS, LIKE, DRAWS, DRAWN = 5, 0.8, 8, 4
 SALTS, ONE_LEAD_ROUNDS, LEADS_AT_ONCE = 8, 2, 128
 PAIRS_AT_ONCE = 1 << 21
-BITMAP_LONGS = 8
+BITMAP_LONGS = 16
 
 
 def shingle_hashes(text: bytes, words: int, seed: int = SEED) -> np.ndarray:
@@ -207,7 +207,7 @@ def _merged(left: DataFrame, right: DataFrame, on, how: str = "inner") -> DataFr
 
 
 def _met(texts: DataFrame, words: int, draws: int, drawn: int, distance: int) -> DataFrame:
-    """(class, node): texts with a common fingerprint of a draw, or with near fingerprints of the whole text."""
+    """(class, node, size): texts with a common fingerprint of a draw, or with near fingerprints of the whole text, by class and its size."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             nodes, kinds, fps = [], [], []
@@ -224,8 +224,8 @@ def _met(texts: DataFrame, words: int, draws: int, drawn: int, distance: int) ->
     linked = components(near_links(whole, distance), "a", "b").select(F.col("node").alias("f"), F.col("component").alias("c"))
     named = _merged(marks.where("kind = 0"), linked, F.col("fp") == F.col("f"), "left").select("node", "kind", F.coalesce("c", "fp").alias("fp"))
     every = named.unionByName(marks.where("kind > 0"))
-    shared = every.groupBy("kind", "fp").agg(F.count("*").alias("n")).where("n > 1").select(F.col("kind").alias("k"), F.col("fp").alias("f"))
-    return stored(_merged(every, shared, (F.col("kind") == F.col("k")) & (F.col("fp") == F.col("f"))).select(F.struct("kind", "fp").alias("class"), "node"), "similar-classes")
+    shared = every.groupBy("kind", "fp").agg(F.count("*").alias("n")).where("n > 1").select(F.col("kind").alias("k"), F.col("fp").alias("f"), F.col("n").alias("size"))
+    return stored(_merged(every, shared, (F.col("kind") == F.col("k")) & (F.col("fp") == F.col("f"))).select(F.struct("kind", "fp").alias("class"), "node", "size"), "similar-classes")
 
 
 def _shingle_sets(texts: DataFrame, words: int) -> DataFrame:
@@ -276,21 +276,23 @@ def _compared(pairs: DataFrame, bodies: DataFrame, similarity: float) -> DataFra
 def similar_links(texts: DataFrame, words: int = LIKE_WORDS, similarity: float = LIKE, draws: int = DRAWS, drawn: int = DRAWN, distance: int = 2) -> DataFrame:
     """(lead, node): links between different texts (node, text) whose shingle sets have at least this similarity.
 
-    In each class of texts that met, the least one leads: it is held against all others, and what is like it has found its place.
-    The least of the rest leads next, again against the whole class, until every text leads or is like a leader; after two rounds
-    `LEADS_AT_ONCE` of the rest lead together. So work is leaders times members, never all pairs of a crowd of copies, and no
-    text stays without a leader it is like, if there is one in its class. Only pairs that sizes and bitmaps allow leave the
-    join of leaders and members.
+    In each class of texts that met, the one that meets most texts over all its classes leads (the least of equals): it lies nearest to
+    the middle of a crowd. It is held against all others, and what is like it has found its place. The first of the rest
+    leads next, again against the whole class, until every text leads or is like a leader; after two rounds `LEADS_AT_ONCE` of the
+    rest lead together. So work is leaders times members, never all pairs of a crowd of copies, and no text stays without a leader
+    it is like, if there is one in its class. Only pairs that sizes and bitmaps allow leave the join of leaders and members.
     """
     met = _met(texts, words, draws, drawn, distance)
     wanted = texts.join(met.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"])
     bodies = stored(_shingle_sets(wanted, words), "similar-texts")
     salt = F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int").alias("salt")
-    members = stored(_merged(met, bodies.select("node", "n", "bits"), "node").select("class", salt, "node", "n", "bits"), "similar-members")
+    meets = met.groupBy("node").agg(F.sum("size").alias("meets"))
+    sized = _merged(bodies.select("node", "n", "bits"), meets, "node")
+    members = stored(_merged(met.select("class", "node"), sized, "node").select("class", salt, "node", "n", "bits", "meets"), "similar-members")
     waiting, done, rounds = members, None, 0
     while not waiting.isEmpty():
         rounds += 1
-        place = F.row_number().over(Window.partitionBy("class").orderBy("node"))
+        place = F.row_number().over(Window.partitionBy("class").orderBy(F.desc("meets"), "node"))
         leads = waiting.withColumn("place", place).where(F.col("place") <= (1 if rounds <= ONE_LEAD_ROUNDS else LEADS_AT_ONCE)).select(
             "class", F.col("node").alias("lead"), F.col("n").alias("lead_n"), F.col("bits").alias("lead_bits"))
         everywhere = leads.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
