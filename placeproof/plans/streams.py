@@ -61,7 +61,7 @@ def _changes(spark, sf_dir, expires=None):
     root = _folder(spark)
     changes = jobs.Changes(spark, root, jobs.schema_text(log), "user_id", ["content"], expires)
     jobs.run_available(log, changes.add, f"{root}/checkpoint")
-    return changes.changed.rows().select("seq")
+    return changes.current().select("seq")
 
 
 BEFORE = "SELECT *, lag(event_id % 2) OVER w AS before, lag(ts) OVER w AS since FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)"

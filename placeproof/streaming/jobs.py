@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -17,6 +17,8 @@ from placeproof.operators.skew import previous_row
 from placeproof.operators.spend import with_cost
 from placeproof.session import cut_lineage
 
+CHANGE_BLOCK_ROWS = 1 << 16
+
 
 def follow(spark: SparkSession, folder: str, schema: str, glob: str = "*.parquet", files_per_batch: int | None = None) -> DataFrame:
     """An append-only log: a new reader sees everything so far and then what arrives, as often as it likes."""
@@ -67,29 +69,55 @@ def schema_text(df: DataFrame) -> str:
 
 
 class Changes:
-    """Rows whose content differs from the last one of their key; repeats are ignored. State is one row per key, in a table.
+    """Rows whose content differs from that of the row before them in the order of `seq`; repeats are ignored.
+
+    Rows may come in any order and batch: one that comes late is judged in its place, and what follows it once more, so `current`
+    is always what one batch over all rows so far gives. With `expires` (a time column and seconds) a key is forgotten after
+    that long, so a later repeat counts as new. A key and number that came before is a repeated delivery and changes nothing.
 
-    Rows of a key count in the order of `seq`; one that arrives behind the key's last row is late and changes nothing. With
-    `expires` (a time column and seconds) a key is forgotten after that long, so a later repeat counts as new.
+    Rows are kept in blocks of `seq`. A batch reads the blocks it touches, the stored blocks next to them, and a table of which
+    blocks a key has; a hot key costs as many blocks as its new rows fall into, and its blocks are judged in different tasks.
     """
 
-    def __init__(self, spark: SparkSession, root: str, schema: str, key: str, content: list[str], expires: tuple[str, int] | None = None) -> None:
-        kinds = dict(spark.createDataFrame([], schema).dtypes)
-        self.key, self.content, self.expires = key, content, expires
-        self.changed = BatchTable(spark, f"{root}/changed", schema)
-        self.last = BatchTable(spark, f"{root}/last", f"`{key}` {kinds[key]}, seq bigint, hash bigint, micros bigint")
+    def __init__(
+        self, spark: SparkSession, root: str, schema: str, key: str, content: list[str], expires: tuple[str, int] | None = None,
+        block_rows: int = CHANGE_BLOCK_ROWS,
+    ) -> None:
+        empty = spark.createDataFrame([], schema)
+        self.key, self.content, self.expires, self.block_rows, self.fields = key, content, expires, block_rows, empty.columns
+        self.seen = BatchTable(spark, f"{root}/seen", f"{schema}, _hash bigint, _micros bigint, _change boolean")
+        self.blocks = BatchTable(spark, f"{root}/blocks", f"`{key}` {dict(empty.dtypes)[key]}, _block bigint")
+
+    def _reached(self, touched: DataFrame, batch: int) -> DataFrame:
+        """(key, _block, _judged): the touched blocks and the block after each are judged; the one before is only read."""
+        known = self.blocks.rows(batch).select(self.key, "_block").join(touched.select(self.key).distinct(), self.key, "left_semi")
+        every = known.withColumn("_new", F.lit(False)).unionByName(touched.withColumn("_new", F.lit(True))).groupBy(
+            self.key, "_block").agg(F.max("_new").alias("_new"))
+        order = Window.partitionBy(self.key).orderBy("_block")
+        return every.withColumns({
+            "_judged": F.col("_new") | F.lag("_new", 1, False).over(order), "_read": F.lead("_new", 1, False).over(order)}).filter(
+            "_judged OR _read").select(self.key, "_block", "_judged")
 
     def add(self, rows: DataFrame, batch: int) -> None:
+        place, block = [self.key, "seq"], F.floor(F.col("seq") / F.lit(self.block_rows)).cast("bigint")
         micros = F.unix_micros(self.expires[0]) if self.expires else F.lit(None).cast("bigint")
-        known = self.last.latest([self.key], batch, ["seq"]).select(
-            self.key, F.col("seq").alias("_seq"), F.col("hash").alias("_hash"), F.col("micros").alias("_micros"))
-        stamped = cut_lineage(rows.withColumns({"hash": F.xxhash64(F.to_json(F.struct(*self.content))), "micros": micros}).join(
-            known, self.key, "left").filter(F.col("_seq").isNull() | (F.col("seq") > F.col("_seq"))))
-        linked = previous_row(stamped, [self.key], "seq", {"_before": "hash", "_then": "micros"})
-        before, then = F.coalesce("_before", "_hash"), F.coalesce("_then", "_micros")
-        gone = F.coalesce(F.col("micros") - then > self.expires[1] * 1_000_000, F.lit(False)) if self.expires else F.lit(False)
-        self.changed.write(linked.filter(before.isNull() | (before != F.col("hash")) | gone).select(rows.columns), batch)
-        self.last.write(events.keep_last(stamped.select(self.key, "seq", "hash", "micros"), [self.key], "seq"), batch)
+        fresh = cut_lineage(rows.select(*self.fields).dropDuplicates(place).withColumns({
+            "_hash": F.xxhash64(F.to_json(F.struct(*self.content))), "_micros": micros, "_change": F.lit(None).cast("boolean"),
+            "_block": block}))
+        touched = fresh.select(self.key, "_block").distinct()
+        stored = self.seen.rows(batch).withColumn("_block", block).join(self._reached(touched, batch), [self.key, "_block"])
+        known = cut_lineage(events.keep_last(stored, place, "version").drop("version", "batch"))
+        pool = cut_lineage(known.unionByName(fresh.withColumn("_judged", F.lit(True)).join(known, place, "left_anti")))
+        linked = previous_row(pool, [self.key], "seq", {"_before": "_hash", "_then": "_micros"}, self.block_rows)
+        gone = F.coalesce(F.col("_micros") - F.col("_then") > self.expires[1] * 1_000_000, F.lit(False)) if self.expires else F.lit(False)
+        now = F.col("_before").isNull() | (F.col("_before") != F.col("_hash")) | gone
+        judged = linked.filter("_judged").withColumn("_now", now).filter("_change IS NULL OR _change <> _now")
+        self.seen.write(judged.select(*self.fields, "_hash", "_micros", F.col("_now").alias("_change")), batch)
+        self.blocks.write(touched, batch)
+
+    def current(self) -> DataFrame:
+        """The changes as of now."""
+        return events.keep_last(self.seen.rows(), [self.key, "seq"], "version").filter("_change").select(*self.fields)
 
 
 def fold_stream(stream: DataFrame, keys: list[str]) -> DataFrame:

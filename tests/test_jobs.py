@@ -2,6 +2,7 @@
 
 import datetime
 import json
+import random
 
 import pytest
 from helpers import INSIDE, LIBRARY, RING, buildings, campus, images
@@ -120,14 +121,35 @@ def test_changes_over_several_batches(spark, tmp_path):
     for batch in ([("a", 1, 1), ("b", 2, 1), ("a", 3, 1)], [("a", 4, 2), ("b", 5, 1)], [("a", 6, 2), ("a", 7, 1)], [("a", 2, 9)]):
         spark.createDataFrame(batch, schema).coalesce(1).write.mode("append").parquet(log)
         jobs.run_available(jobs.follow(spark, log, schema), changes.add, str(tmp_path / "cp"))
-    assert sorted(r["seq"] for r in changes.changed.rows().collect()) == [1, 2, 4, 7]
+    # The late row a2 is a change, and so is a3 behind it.
+    assert sorted((r["id"], r["seq"]) for r in changes.current().collect()) == [("a", 1), ("a", 2), ("a", 3), ("a", 4), ("a", 7), ("b", 2)]
 
 
 def test_a_batch_that_runs_again_changes_nothing(spark, tmp_path):
     changes = jobs.Changes(spark, str(tmp_path), "id string, seq bigint, v int", "id", ["v"])
-    for number, batch in ((0, [("a", 1, 1)]), (1, [("a", 2, 1), ("a", 3, 2)]), (1, [("a", 2, 1), ("a", 3, 2)])):
+    for number, batch in ((0, [("a", 1, 1)]), (1, [("a", 2, 1), ("a", 3, 2)]), (1, [("a", 2, 1), ("a", 3, 2)]), (2, [("a", 3, 2), ("a", 1, 1)])):
         changes.add(spark.createDataFrame(batch, "id string, seq bigint, v int"), number)
-    assert sorted(r["seq"] for r in changes.changed.rows().collect()) == [1, 3]
+    assert sorted(r["seq"] for r in changes.current().collect()) == [1, 3]
+
+
+@pytest.mark.parametrize("expires", [None, ("at", 30)])
+def test_shuffled_arrivals_give_the_changes_of_one_batch(spark, tmp_path, expires):
+    """A hot key with many blocks, a key in one block, and gaps of several empty blocks; arrivals in random order."""
+    rng = random.Random(7)
+    start = datetime.datetime(2026, 1, 1)
+    rows = [("hot" if rng.random() < 0.7 else "cold", seq, rng.randrange(2), start + datetime.timedelta(seconds=17 * i))
+            for i, seq in enumerate([*range(40), *range(90, 110), 300])]
+    last, want = {}, []
+    for key, seq, v, at in rows:
+        before = last.get(key)
+        if before is None or before[0] != v or (expires and (at - before[1]).total_seconds() > 30):
+            want.append((key, seq))
+        last[key] = (v, at)
+    rng.shuffle(rows)
+    changes = jobs.Changes(spark, str(tmp_path), "id string, seq bigint, v int, at timestamp", "id", ["v"], expires, block_rows=4)
+    for number, begin in enumerate(range(0, len(rows), 16)):
+        changes.add(spark.createDataFrame(rows[begin:begin + 16], "id string, seq bigint, v int, at timestamp"), number)
+    assert sorted((r["id"], r["seq"]) for r in changes.current().collect()) == sorted(want)
 
 
 def test_late_spend_counts_on_its_day(spark, tmp_path):
