@@ -58,23 +58,32 @@ def _block_masks(max_hamming: int, spare: int) -> list[tuple[int, int]]:
     return [(n, m - (1 << 64) if m >= 1 << 63 else m) for n, m in enumerate(chosen)]
 
 
+def _keyed(signatures: DataFrame, masks: list[tuple[int, int]]) -> DataFrame:
+    """(profile_id, sig, n, bits): the block keys of distinct signatures."""
+    table = F.array(*[F.struct(F.lit(n).alias("n"), F.lit(m).cast("bigint").alias("mask")) for n, m in masks])
+    distinct = signatures.filter(F.col("sig").isNotNull()).select("profile_id", "sig").distinct()
+    return distinct.withColumn("_k", F.explode(table)).select(
+        "profile_id", "sig", F.col("_k.n").alias("n"), F.col("sig").bitwiseAND(F.col("_k.mask")).alias("bits"))
+
+
+def _near(a: DataFrame, b: DataFrame, masks: list[tuple[int, int]], max_hamming: int) -> DataFrame:
+    """(profile_id, sig_a, sig_b): different signatures of two keyed tables within `max_hamming` bits, each pair once."""
+    differ = F.col("sig_a").bitwiseXOR(F.col("sig_b"))
+    first = F.coalesce(*[F.when(differ.bitwiseAND(F.lit(m).cast("bigint")) == 0, n) for n, m in masks])
+    return a.withColumnRenamed("sig", "sig_a").join(b.withColumnRenamed("sig", "sig_b"), ["profile_id", "n", "bits"]).filter(
+        (F.col("sig_a") != F.col("sig_b")) & (F.bit_count(differ) <= max_hamming)).filter(F.col("n") == first).select(
+        "profile_id", "sig_a", "sig_b")
+
+
 def near_signatures(signatures: DataFrame, max_hamming: int = MAX_HAMMING, spare: int = 3) -> DataFrame:
     """Pairs (profile_id, sig_a, sig_b), sig_a < sig_b, of distinct signatures that differ in at most `max_hamming` bits.
 
     Copies are collapsed first, so a signature shared by a third of all rows is one row here. Candidates come from an
     equality join on block keys; a pair that shares several keys is checked only under its first one.
     """
-    distinct = signatures.filter(F.col("sig").isNotNull()).select("profile_id", "sig").distinct()
     masks = _block_masks(max_hamming, spare)
-    table = F.array(*[F.struct(F.lit(n).alias("n"), F.lit(m).cast("bigint").alias("mask")) for n, m in masks])
-    keyed = distinct.withColumn("_k", F.explode(table)).select(
-        "profile_id", "sig", F.col("_k.n").alias("n"), F.col("sig").bitwiseAND(F.col("_k.mask")).alias("bits"))
-    a, b = keyed.withColumnRenamed("sig", "sig_a"), keyed.withColumnRenamed("sig", "sig_b")
-    differ = F.col("sig_a").bitwiseXOR(F.col("sig_b"))
-    first = F.coalesce(*[F.when(differ.bitwiseAND(F.lit(m).cast("bigint")) == 0, n) for n, m in masks])
-    return a.join(b, ["profile_id", "n", "bits"]).filter(
-        (F.col("sig_a") < F.col("sig_b")) & (hamming(F.col("sig_a"), F.col("sig_b")) <= max_hamming)).filter(
-        F.col("n") == first).select("profile_id", "sig_a", "sig_b")
+    keyed = _keyed(signatures, masks)
+    return _near(keyed, keyed, masks, max_hamming).filter("sig_a < sig_b")
 
 
 def exact_classes(photos: DataFrame) -> DataFrame:
@@ -107,16 +116,20 @@ def _memberships(photos: DataFrame, max_hamming: int) -> DataFrame:
 
 
 def group_duplicates(
-    photos: DataFrame, max_hamming: int = MAX_HAMMING, block_rows: int = BLOCK_ROWS, max_rounds: int = 200
+    photos: DataFrame, max_hamming: int = MAX_HAMMING, block_rows: int = BLOCK_ROWS, max_rounds: int = 200, offered: DataFrame | None = None,
 ) -> DataFrame:
     """(profile_id, seq, group_seq): each photo joins the earliest group holding a match, in order of arrival.
 
     Groups never merge, so this is not a connected component: group(x) is the least group among matches that came
     before x. Matches are always earlier rows, so repeating "take the least group offered by earlier members of my
     classes" reaches the only fixed point. A class is scanned in bounded blocks and its pairs are never listed.
+    `offered` (profile_id, seq, offer) names the least group that rows outside of `photos`, earlier than all of them, offer a photo.
     """
     members = cut_lineage(_memberships(photos, max_hamming))
-    state = cut_lineage(members.select("profile_id", "seq").distinct().withColumn("grp", F.col("seq")))
+    start = members.select("profile_id", "seq").distinct().withColumn("grp", F.col("seq"))
+    if offered is not None:
+        start = start.join(offered, ["profile_id", "seq"], "full").select("profile_id", "seq", F.least("seq", "offer").alias("grp"))
+    state = cut_lineage(start)
     for _ in range(max_rounds):
         offers = running_before(
             members.join(state, ["profile_id", "seq"]), ["profile_id", "class"], "seq", {"offer": F.col("grp")}, "min",
@@ -159,12 +172,28 @@ def keep_heads(grouped: DataFrame) -> DataFrame:
     return group_result(grouped).filter("is_head").drop("is_head", "head_seq")
 
 
-def place_into_groups(new: DataFrame, stored: DataFrame, max_hamming: int = MAX_HAMMING) -> DataFrame:
-    """Groups of new photos given stored ones with settled groups; stored rows keep theirs and must precede the new ones."""
-    touched = new.select("profile_id").distinct()
-    known = stored.join(touched, "profile_id", "left_semi")
-    columns = ["profile_id", "seq", "source", "title", "sha1", "sig"]
-    grouped = group_duplicates(known.select(columns).unionByName(new.select(columns)), max_hamming)
-    return new.join(grouped, ["profile_id", "seq"])
+def class_index(photos: DataFrame, groups: DataFrame) -> DataFrame:
+    """(profile_id, class, group_seq): the least group in which each exact key or signature of these photos occurs."""
+    return exact_classes(photos).join(groups, ["profile_id", "seq"]).groupBy("profile_id", "class").agg(F.min("group_seq").alias("group_seq"))
+
 
+def place_into_groups(new: DataFrame, index: DataFrame, max_hamming: int = MAX_HAMMING, spare: int = 3) -> DataFrame:
+    """(profile_id, seq, group_seq) of new photos, all later than the stored ones of their profile, without grouping those again.
 
+    `index` has rows of `class_index` for all stored photos; the least group of a key holds. Only keys of new photos are looked up, so
+    the rounds run over new photos alone; of stored ones, the distinct signatures of the touched profiles are compared.
+    """
+    classes = exact_classes(new)
+    met = index.join(classes.select("profile_id", "class").distinct(), ["profile_id", "class"], "left_semi").groupBy(
+        "profile_id", "class").agg(F.min("group_seq").alias("offer"))
+    same = classes.join(met, ["profile_id", "class"]).select("profile_id", "seq", "offer")
+    signed = new.filter(F.col("sig").isNotNull()).select("profile_id", "seq", "sig")
+    stored = index.filter(F.col("class").startswith("sig:")).join(
+        signed.select("profile_id").distinct(), "profile_id", "left_semi").groupBy("profile_id", "class").agg(F.min("group_seq").alias(
+            "offer")).select("profile_id", "offer", F.conv(F.substr("class", F.lit(5)), 16, -10).cast("bigint").alias("sig"))
+    masks = _block_masks(max_hamming, spare)
+    near = _near(_keyed(signed, masks), _keyed(stored, masks), masks, max_hamming).join(
+        stored.withColumnRenamed("sig", "sig_b"), ["profile_id", "sig_b"]).groupBy("profile_id", "sig_a").agg(F.min("offer").alias("offer"))
+    alike = signed.join(near.withColumnRenamed("sig_a", "sig"), ["profile_id", "sig"]).select("profile_id", "seq", "offer")
+    offered = same.unionByName(alike).groupBy("profile_id", "seq").agg(F.min("offer").alias("offer"))
+    return group_duplicates(new, max_hamming, offered=offered)

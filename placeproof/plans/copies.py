@@ -15,14 +15,18 @@ SIGNED = """s AS (SELECT vec_id, sum(CASE WHEN v > 0 THEN 1::HUGEINT << (i - 1):
     UNION ALL SELECT vec_id % 5, vec_id * 2 + 1, xor(sig, CASE vec_id % 4 WHEN 0 THEN 0 WHEN 1 THEN 1 WHEN 2 THEN 63 ELSE 127 END::HUGEINT) FROM s)"""
 
 
-def _signatures(spark, sf_dir):
-    signed = views.table(spark, sf_dir, "embeddings").select("vec_id", dedupe.sign_signature(F.col("embedding")).alias("sig"))
+def signatures(vectors):
+    signed = vectors.select("vec_id", dedupe.sign_signature(F.col("embedding")).alias("sig"))
     mask = F.expr(views.case("vec_id % 4", FLIPS)).cast("bigint")
     first = signed.select((F.col("vec_id") % 5).alias("profile_id"), (F.col("vec_id") * 2).alias("seq"), "sig")
     return first.unionByName(signed.select(
         (F.col("vec_id") % 5).alias("profile_id"), (F.col("vec_id") * 2 + 1).alias("seq"), F.col("sig").bitwiseXOR(mask).alias("sig")))
 
 
+def _signatures(spark, sf_dir):
+    return signatures(views.table(spark, sf_dir, "embeddings"))
+
+
 @query("sign_signature", f"WITH {SIGNED} SELECT seq, CAST(bit_count(sig) AS INT) AS bits, CAST(sig % 1000003 AS BIGINT) AS digest FROM c")
 def sign_signature(spark, sf_dir):
     unsigned = F.col("sig").cast("decimal(38,0)") + F.when(F.col("sig") < 0, F.lit("18446744073709551616").cast("decimal(38,0)")).otherwise(0)

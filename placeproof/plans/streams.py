@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from placeproof import schemas
 from placeproof.operators import verdicts
 from placeproof.plans import views
-from placeproof.plans.copies import ANSWER, REVIEWED
+from placeproof.plans.copies import ANSWER, REVIEWED, signatures
 from placeproof.plans.logs import COSTED
 from placeproof.plans.registry import ORACLES, query
 from placeproof.plans.scored_sql import scored
@@ -139,4 +139,28 @@ def duplicates_stream(spark, sf_dir):
     documents = _stream(spark, sf_dir, "documents").selectExpr(*[f"{views.IMAGE[c]} AS {c}" for c in (
         "profile_id", "seq", "source", "title", "sha1")]).withColumn("sig", F.lit(None).cast("bigint"))
     jobs.run_available(documents, groups.add, f"{root}/checkpoint")
-    return groups.groups.rows().select(F.concat(F.lit("img-"), F.col("seq").cast("string")).alias("id"), "group_seq")
+    return groups.current().select(F.concat(F.lit("img-"), F.col("seq").cast("string")).alias("id"), "group_seq")
+
+
+def _signed(spark, sf_dir, work):
+    """Photos with signatures, in two streams: `work` gets the job, the rows and the number of the stream."""
+    root = _folder(spark)
+    groups = jobs.DuplicateStream(spark, root)
+    for number in range(2):
+        vectors = _stream(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+        jobs.run_available(vectors, lambda rows, _, n=number: work(groups, signatures(rows).withColumns({
+            "source": F.lit("a"), "title": F.lit(""), "sha1": F.lit(None).cast("string")}), n), f"{root}/checkpoint-{number}")
+    return groups.current().select("seq", "group_seq")
+
+
+@query("late_copies_stream", ORACLES["group_near_duplicates"])
+def late_copies_stream(spark, sf_dir):
+    """Photos with odd numbers come first; the others arrive behind them, late."""
+    return _signed(spark, sf_dir, lambda groups, rows, n: groups.add(rows.filter(F.col("seq") % 2 != n), n))
+
+
+@query("late_signatures_stream", ORACLES["group_near_duplicates"])
+def late_signatures_stream(spark, sf_dir):
+    """All photos come without signatures, which arrive later."""
+    return _signed(spark, sf_dir, lambda groups, rows, n: groups.add_signatures(rows, n) if n else groups.add(
+        rows.withColumn("sig", F.lit(None).cast("bigint")), n))

@@ -203,15 +203,57 @@ class ProfileBuild:
 
 
 class DuplicateStream:
-    """Groups of arriving photos. Stored photos keep their group, because matches only look at earlier rows."""
+    """Groups of arriving photos, which may come in any order.
+
+    Photos that come after all stored ones of their profile are placed by an index: the least group of each exact key and signature.
+    Stored photos are not grouped again then, because matches only look at earlier rows. Profiles in which a photo comes late, or a
+    stored photo gets its signature, are grouped anew. More photos and keys can only lower a group, so the least one written
+    for a photo or a key holds. A photo that comes again is passed over.
+    """
 
     PHOTO = "profile_id bigint, seq bigint, source string, title string, sha1 string, sig bigint"
+    PLACE = ["profile_id", "seq"]
 
     def __init__(self, spark: SparkSession, root: str) -> None:
         self.photos = BatchTable(spark, f"{root}/photos", self.PHOTO)
         self.groups = BatchTable(spark, f"{root}/groups", "profile_id bigint, seq bigint, group_seq bigint")
+        self.index = BatchTable(spark, f"{root}/index", "profile_id bigint, class string, group_seq bigint")
+        self.fields = spark.createDataFrame([], self.PHOTO).columns
+
+    def _write(self, photos: DataFrame, grouped: DataFrame, groups: DataFrame, name: str) -> None:
+        settled = cut_lineage(groups)
+        self.index.write(dedupe.class_index(grouped, settled), name)
+        self.groups.write(settled, name)
+        self.photos.write(photos, name)
+
+    def _anew(self, profiles: DataFrame, instead: DataFrame, name: str) -> DataFrame:
+        """All photos of these profiles, those of `instead` in place of stored ones."""
+        stored = self.photos.latest(self.PLACE, name).join(instead.select(*self.PLACE), self.PLACE, "left_anti")
+        return cut_lineage(stored.unionByName(instead).join(profiles, "profile_id", "left_semi"))
 
     def add(self, rows: DataFrame, batch: int) -> None:
-        placed = dedupe.place_into_groups(rows, self.photos.rows(batch).drop("batch", "version"))
-        self.groups.write(placed.select("profile_id", "seq", "group_seq"), batch)
-        self.photos.write(rows, batch)
+        """New photos."""
+        name = f"photos-{batch}"
+        stored = self.photos.rows(name).select(*self.PLACE)
+        fresh = cut_lineage(rows.select(*self.fields).dropDuplicates(self.PLACE).join(stored, self.PLACE, "left_anti"))
+        first = fresh.groupBy("profile_id").agg(F.min("seq").alias("_first"))
+        late = cut_lineage(stored.join(first, "profile_id").filter("seq > _first").select("profile_id").distinct())
+        grouped = fresh.join(late, "profile_id", "left_anti")
+        groups = dedupe.place_into_groups(grouped, self.index.rows(name))
+        if not late.isEmpty():
+            every = self._anew(late, fresh, name)
+            grouped, groups = grouped.unionByName(every), groups.unionByName(dedupe.group_duplicates(every))
+        self._write(fresh, grouped, groups, name)
+
+    def add_signatures(self, rows: DataFrame, batch: int) -> None:
+        """Signatures (profile_id, seq, sig) of stored photos that had none; others are passed over."""
+        name = f"signatures-{batch}"
+        given = rows.filter(F.col("sig").isNotNull()).groupBy(*self.PLACE).agg(F.min("sig").alias("_sig"))
+        signed = cut_lineage(self.photos.latest(self.PLACE, name).filter(F.col("sig").isNull()).join(given, self.PLACE).withColumn(
+            "sig", F.col("_sig")).select(*self.fields))
+        every = self._anew(signed.select("profile_id").distinct(), signed, name)
+        self._write(signed, every, dedupe.group_duplicates(every), name)
+
+    def current(self) -> DataFrame:
+        """(profile_id, seq, group_seq) as of now."""
+        return self.groups.rows().groupBy(*self.PLACE).agg(F.min("group_seq").alias("group_seq"))

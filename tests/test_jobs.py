@@ -200,4 +200,36 @@ def test_duplicates_keep_their_groups_as_photos_arrive(spark, tmp_path):
     stream = jobs.DuplicateStream(spark, str(tmp_path))
     for n, batch in enumerate([[(1, 0, "a", "", "x", None), (1, 1, "a", "", "y", None)], [(1, 2, "a", "", "y", None), (2, 3, "a", "", "x", None)]]):
         stream.add(spark.createDataFrame(batch, jobs.DuplicateStream.PHOTO), n)
-    assert {r["seq"]: r["group_seq"] for r in stream.groups.rows().collect()} == {0: 0, 1: 1, 2: 1, 3: 3}
+    assert {r["seq"]: r["group_seq"] for r in stream.current().collect()} == {0: 0, 1: 1, 2: 1, 3: 3}
+
+
+def _first_match(rows):
+    """{(profile, seq): group} by the plain rule: the least group among earlier photos with a common key or a near signature."""
+    groups = {}
+    for p, seq, _, _, sha1, sig in sorted(rows):
+        met = [groups[q, s] for q, s, _, _, other, near in rows if (q, s) in groups and q == p and (
+            sha1 and sha1 == other or sig is not None and near is not None and ((sig ^ near) & (1 << 64) - 1).bit_count() <= 6)]
+        groups[p, seq] = min([seq, *met])
+    return groups
+
+
+@pytest.mark.parametrize("shuffled", [False, True])
+def test_photos_and_signatures_in_any_order_give_the_groups_of_one_batch(spark, tmp_path, shuffled):
+    rng = random.Random(3)
+    centers = [-1, 0x1234567890ABCDEF, 0]
+    rows = []
+    for seq in range(60):
+        sig = rng.choice(centers)
+        for bit in rng.sample(range(63), rng.randrange(7)):
+            sig ^= 1 << bit
+        rows.append((rng.choice([1, 1, 2]), seq, "a", "", rng.choice(["", "", f"h{rng.randrange(12)}"]), rng.choice([None, sig])))
+    order = rng.sample(rows, len(rows)) if shuffled else rows
+    stream, later = jobs.DuplicateStream(spark, str(tmp_path)), set(rng.sample(range(60), 10)) if shuffled else set()
+    for n in range(2):
+        batch = [(*r[:5], None if r[1] in later else r[5]) for r in order[30 * n:30 * n + 30]]
+        stream.add(spark.createDataFrame(batch + batch[:2], jobs.DuplicateStream.PHOTO), n)
+        if n == 1:
+            stream.add(spark.createDataFrame(batch, jobs.DuplicateStream.PHOTO), n)
+    if later:
+        stream.add_signatures(spark.createDataFrame([(r[0], r[1], r[5]) for r in rows if r[1] in later], "profile_id bigint, seq bigint, sig bigint"), 0)
+    assert {(r["profile_id"], r["seq"]): r["group_seq"] for r in stream.current().collect()} == _first_match(rows)
