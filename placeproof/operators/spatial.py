@@ -20,6 +20,7 @@ NEAR_POINT_M, AROUND_POINT_M, UNSURE_POINT_M, AWAY_POINT_M = 500, 1500, 3000, 10
 NEARBY_BUILDING_M = 100.0
 NAME_MATCH = 0.8
 CELL_DEG, WIDE_CELL_DEG = 0.001, 0.05
+CELLS_PER_SIDE = 4
 
 
 def _shape_edges(df: DataFrame) -> Column:
@@ -82,19 +83,28 @@ def locate_on_campus(images: DataFrame, campus: DataFrame, whole: bool = False)
         "c_lat", "c_lng", "edges", "ring_center")
 
 
-def _cell(value: Column, size: float) -> Column:
-    return F.floor(value / F.lit(size)).cast("bigint")
-
-
-def _cells(low: Column, high: Column, size: float) -> Column:
-    return F.sequence(_cell(low, size), _cell(high, size))
+def _cell(value: Column, size: Column) -> Column:
+    return F.floor(value / size).cast("bigint")
 
 
 def _tiled(df: DataFrame, box: Column, size: float) -> DataFrame:
-    """One row per grid cell that the box touches."""
+    """One row per grid cell that the box touches, on a grid of its own `level`: cells double until at most `CELLS_PER_SIDE` go along a
+    side, so a box of any size has at most (`CELLS_PER_SIDE` + 1) squared rows."""
     boxed = df.withColumn("_box", box)
-    return boxed.withColumn("cx", F.explode(_cells(F.col("_box.w"), F.col("_box.e"), size))).withColumn(
-        "cy", F.explode(_cells(F.col("_box.s"), F.col("_box.n"), size))).drop("_box")
+    side = F.greatest(F.col("_box.e") - F.col("_box.w"), F.col("_box.n") - F.col("_box.s"))
+    level = F.greatest(F.lit(0), F.ceil(F.log2(side / (size * CELLS_PER_SIDE)))).cast("int")
+    sized = boxed.withColumn("level", F.when(side > 0, level).otherwise(F.when(side.isNotNull(), 0))).withColumn(
+        "_size", F.lit(size) * F.pow(F.lit(2.0), F.col("level")))
+    for out, low, high in (("cx", "w", "e"), ("cy", "s", "n")):
+        sized = sized.withColumn(out, F.explode(F.sequence(_cell(F.col(f"_box.{low}"), F.col("_size")), _cell(F.col(f"_box.{high}"), F.col("_size")))))
+    return sized.drop("_box", "_size")
+
+
+def _keyed(points: DataFrame, tiled: DataFrame, size: float) -> DataFrame:
+    """Points once for each level that occurs (few: every level doubles the cells), with their cell there."""
+    levels = tiled.agg(F.collect_set("level")).scalar()
+    leveled = points.withColumn("level", F.explode(levels)).withColumn("_size", F.lit(size) * F.pow(F.lit(2.0), F.col("level")))
+    return leveled.withColumns({"cx": _cell(F.col("lng"), F.col("_size")), "cy": _cell(F.col("lat"), F.col("_size"))}).drop("_size")
 
 
 def building_at(points: DataFrame, buildings: DataFrame, cell: float = CELL_DEG) -> DataFrame:
@@ -103,9 +113,8 @@ def building_at(points: DataFrame, buildings: DataFrame, cell: float = CELL_DEG)
         "profile_id", F.struct("ord", "building_id", "name", "type", "inside_campus").alias("building"),
         geo.edges_of(F.col("ring")).alias("edges"), "ring")
     tiled = _tiled(shapes, geo.bbox_of(F.col("ring")), cell).drop("ring")
-    located = points.filter(F.col("lat").isNotNull() & F.col("lng").isNotNull()).select(
-        "profile_id", "seq", "lat", "lng", _cell(F.col("lng"), cell).alias("cx"), _cell(F.col("lat"), cell).alias("cy"))
-    hits = located.join(tiled, ["profile_id", "cx", "cy"]).filter(
+    located = _keyed(points.filter(F.col("lat").isNotNull() & F.col("lng").isNotNull()).select("profile_id", "seq", "lat", "lng"), tiled, cell)
+    hits = located.join(tiled, ["profile_id", "level", "cx", "cy"]).filter(
         geo.contains(F.col("edges"), F.col("lng"), F.col("lat")))
     return hits.groupBy("profile_id", "seq").agg(F.min("building").alias("building"))
 
@@ -140,9 +149,9 @@ def buildings_near_campus(buildings: DataFrame, campus: DataFrame, within_m: flo
 def within_bbox(points: DataFrame, boxes: DataFrame, pad_m: float = 250.0, cell: float = WIDE_CELL_DEG) -> DataFrame:
     """Every (point, profile) pair where the point lies in the profile's padded box."""
     padded = boxes.withColumn("box", geo.padded_bbox(F.col("box"), pad_m))
-    keyed = points.withColumns({"cx": _cell(F.col("lng"), cell), "cy": _cell(F.col("lat"), cell)})
-    return keyed.join(_tiled(padded, F.col("box"), cell), ["cx", "cy"]).filter(
-        geo.in_bbox(F.col("box"), F.col("lng"), F.col("lat"))).drop("cx", "cy")
+    tiled = _tiled(padded, F.col("box"), cell)
+    return _keyed(points, tiled, cell).join(tiled, ["level", "cx", "cy"]).filter(
+        geo.in_bbox(F.col("box"), F.col("lng"), F.col("lat"))).drop("level", "cx", "cy")
 
 
 def within_radius(points: DataFrame, circles: DataFrame, cell: float = WIDE_CELL_DEG) -> DataFrame:
@@ -152,8 +161,8 @@ def within_radius(points: DataFrame, circles: DataFrame, cell: float = WIDE_CELL
     half_lat = F.col("radius") / geo.M_PER_DEGREE * 1.01
     half_lng = half_lat / F.greatest(F.cos(F.radians(F.col("c_lat"))) - 0.01, F.lit(0.01))
     box = geo.bbox(F.col("c_lng") - half_lng, F.col("c_lat") - half_lat, F.col("c_lng") + half_lng, F.col("c_lat") + half_lat)
-    keyed = points.withColumns({"cx": _cell(F.col("lng"), cell), "cy": _cell(F.col("lat"), cell)})
-    near = keyed.join(_tiled(sized, box, cell), ["cx", "cy"]).filter(
+    tiled = _tiled(sized, box, cell)
+    near = _keyed(points, tiled, cell).join(tiled, ["level", "cx", "cy"]).filter(
         geo.haversine_m(F.col("c_lat"), F.col("c_lng"), F.col("lat"), F.col("lng")) <= F.col("radius"))
     return near.select(*points.columns, "profile_id").distinct()
 

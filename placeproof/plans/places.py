@@ -128,6 +128,17 @@ def within_bbox(spark, sf_dir):
     return spatial.within_bbox(points, boxes).select("id", "profile_id")
 
 
+@query("within_wide_bbox", f"WITH {views.with_views('img', 'campus')}, b AS (SELECT profile_id, lng - hw AS w, lat - hw / 2 AS s, lng + hw AS e, lat + "
+                           "hw / 2 AS n FROM (SELECT *, 1e-2 * pow(2, profile_id % 13) AS hw FROM campus)) SELECT i.id, b.profile_id FROM img i "
+                           "JOIN b ON i.lng BETWEEN w AND e AND i.lat BETWEEN s AND n")
+def within_wide_bbox(spark, sf_dir):
+    """Boxes from the size of a campus to that of a continent."""
+    half = 1e-2 * F.pow(F.lit(2.0), F.col("profile_id") % 13)
+    boxes = views.campus(spark, sf_dir).select("profile_id", geo.bbox(
+        F.col("lng") - half, F.col("lat") - half / 2, F.col("lng") + half, F.col("lat") + half / 2).alias("box"))
+    return spatial.within_bbox(views.images(spark, sf_dir).select("id", "lat", "lng"), boxes, pad_m=0.0).select("id", "profile_id")
+
+
 @query("within_radius", f"WITH {views.with_views('img', 'campus')} SELECT DISTINCT i.id, c.profile_id FROM img i JOIN campus c ON "
                         f"{haversine('c.lat', 'c.lng', 'i.lat', 'i.lng')} <= least(10000, 10 + c.profile_id * 600)")
 def within_radius(spark, sf_dir):

@@ -145,3 +145,24 @@ def test_boundary_points_are_outside_and_areas_are_right(spark):
               geo.outside_m(edges, F.lit(127.032), F.lit(37.5955)), geo.area_km2(edges))
     assert got[0] is False and got[1] is True and 160 < got[2] < 175
     assert math.isclose(got[3], 0.01 * 0.01 * 111.32 ** 2 * math.cos(math.radians(37.589)), rel_tol=1e-6)
+
+
+def test_shapes_of_any_size_take_few_cells(spark):
+    """A ring around a country, one around a house in it, and a box around the world, against the plain conditions."""
+    def ring(x, y, side):
+        return [(x, y), (x + side, y), (x + side, y + side), (x, y + side), (x, y)]
+
+    shapes = spark.createDataFrame(
+        [(1, 1, "land", ring(100.0, 10.0, 21.0)), (1, 0, "house", ring(110.0, 20.0, 0.0007)), (1, 2, "spot", ring(90.0, 5.0, 0.0))],
+        "profile_id bigint, ord int, building_id string, ring array<struct<x: double, y: double>>").withColumns(
+        {"name": F.lit(None).cast("string"), "type": F.lit("other"), "inside_campus": F.lit(False)})
+    spots = {1: (20.0003, 110.0003), 2: (20.0, 105.0), 3: (30.9, 120.9), 4: (31.1, 120.9), 5: (10.5, 100.5)}
+    points = spark.createDataFrame([(1, seq, *at) for seq, at in spots.items()], "profile_id bigint, seq bigint, lat double, lng double")
+    assert spatial._tiled(shapes, geo.bbox_of(F.col("ring")), 0.001).groupBy("building_id").count().agg(F.max("count")).first()[0] <= 25
+    got = {r["seq"]: r["building"]["ord"] for r in spatial.building_at(points, shapes).collect()}
+    assert got == {1: 0, 2: 1, 3: 1, 5: 1}
+    boxes = spark.createDataFrame([(7, (-180.0, -90.0, 180.0, 90.0)), (8, (110.0, 20.0, 110.001, 20.001))], "box_id bigint, box struct<w: double, s: double, e: double, n: double>")
+    found = spatial.within_bbox(points, boxes, pad_m=0.0).select("seq", "box_id").collect()
+    assert sorted(map(tuple, found)) == sorted([*((s, 7) for s in spots), (1, 8)])
+    empty = spatial.within_bbox(points, boxes.limit(0), pad_m=0.0)
+    assert empty.count() == 0
