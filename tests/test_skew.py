@@ -176,3 +176,12 @@ def test_targets_keep_unconfirmed_photos(spark):
     assert sorted(r["tier"] for r in kept.collect()) == ["unconfirmed"] * 3 + ["verified"] * 2
     parsed = spark.range(1).select(ranking.parse_targets(F.lit("campus=12, dorms=6,bad,city=x")).alias("t")).first()["t"]
     assert parsed == {"campus": 12, "dorms": 6}
+
+
+def test_block_keys_meet_by_shuffle(spark):
+    """A signature becomes 84 rows, which no size estimate counts: a broadcast of them would go through the driver."""
+    rows = spark.createDataFrame([(1, i, i) for i in range(20)], "profile_id bigint, seq bigint, sig bigint")
+    near = dedupe.near_signatures(rows)
+    plan = near._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+    assert near.count() == sum(bin(a ^ b).count("1") <= 6 for a in range(20) for b in range(a))
