@@ -202,7 +202,11 @@ RELATION = "named_struct('type', 'relation', 'id', p_partkey, 'tags', map('ameni
     CASE WHEN p_partkey % 3 = 0 THEN 5e-3 ELSE 0 END, 6) AS largest_w, p_partkey % 4 <> 0 AS holds_first, p_partkey % 3 = 0 AS holds_second
     FROM part WHERE p_partkey % 4 <> 0 OR p_partkey % 3 = 0""")
 def join_outlines(spark, sf_dir):
-    payloads = views.table(spark, sf_dir, "part").selectExpr(
+    # Joining ways is long work on short rows: one file split may hold a million of them, so they are dealt out first, to a given
+    # number of partitions, which adaptive execution leaves as they are.
+    parts = views.table(spark, sf_dir, "part").select("p_partkey", "p_size", "p_name").repartition(
+        int(spark.conf.get("spark.sql.shuffle.partitions")), "p_partkey")
+    payloads = parts.selectExpr(
         "p_partkey % 25 AS profile_id", "p_partkey AS seq", f"to_json({RELATION}) AS payload", "p_size * 1e-2 AS x0")
     rows = maps.campus_elements(maps.read_elements(payloads)).withColumn("edges", F.flatten(F.transform("parts", geo.edges_of)))
     at = payloads.select(F.col("seq").alias("element_id"), "x0")

@@ -6,9 +6,11 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from placeproof import schemas
 from placeproof.functions import geo, rings
 from placeproof.functions.text import name_similarity
 from placeproof.operators import spatial
+from placeproof.plans import payloads
 from placeproof.sources import maps
 
 WAYS = "array<array<struct<x:double,y:double>>>"
@@ -171,3 +173,17 @@ def test_buildings_and_photos_by_all_parts(spark, campus_parts):
     assert whole == {"first": "geo_inside", "second": "geo_inside", "hole": "geo_inside", "between": "geo_away"}
     largest = {r["id"]: r["geo"]["key"] for r in spatial.locate_on_campus(photos, outline).collect()}
     assert largest == {"first": "geo_away", "second": "geo_inside", "hole": "geo_inside", "between": "geo_away"}
+
+
+def test_nearby_buildings_compute_their_point_once(spark):
+    empty = spark.createDataFrame([], schemas.BUILDINGS), spark.createDataFrame([], schemas.CAMPUS)
+    plan = spatial.buildings_near_campus(*empty)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("array_sort(") == 1
+
+
+def test_elements_are_dealt_out_before_their_ways_are_joined(spark, tmp_path):
+    """A file of short rows is one split; the work on them is not."""
+    spark.range(40).selectExpr("id AS p_partkey", "CAST(id % 50 AS INT) AS p_size", "'name' AS p_name").coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    found = payloads.join_outlines(spark, str(tmp_path))
+    assert "REPARTITION_BY_NUM" in found._jdf.queryExecution().executedPlan().toString()
+    assert found.count() == sum(i % 4 != 0 or i % 3 == 0 for i in range(40))
