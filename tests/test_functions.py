@@ -138,6 +138,24 @@ def test_buildings_first_in_list_order_wins(spark):
     assert got == {i: j for i, j in want.items() if j is not None}
 
 
+def test_points_meet_few_of_many_buildings_in_one_place(spark):
+    """Two thousand slanted buildings around one square: the first of the list wins, and a cell keeps few outlines."""
+    rng = random.Random(3)
+    rings = []
+    for _ in range(2000):
+        x, y, a, b = rng.random() * 0.002, rng.random() * 0.002, 0.0003 + rng.random() * 0.0007, rng.random() * 0.0003
+        rings.append([(x, y), (x + a, y + b), (x + a - b, y + a + b), (x - b, y + a), (x, y)])
+    houses = spark.createDataFrame([(1, i, f"b{i}", "", "other", r, None, None, True) for i, r in enumerate(rings)], schemas.BUILDINGS)
+    places = [(rng.random() * 0.003, rng.random() * 0.003) for _ in range(400)]
+    spots = spark.createDataFrame([(1, i, y, x) for i, (x, y) in enumerate(places)], "profile_id bigint, seq bigint, lat double, lng double")
+    want = {i: next((j for j, r in enumerate(rings) if _inside(x, y, r)), None) for i, (x, y) in enumerate(places)}
+    got = {r["seq"]: r["building"]["ord"] for r in spatial.building_at(spots, houses).collect()}
+    assert got == {i: j for i, j in want.items() if j is not None}
+    _, _, near = spatial._by_cell(houses, spatial.CELL_DEG)
+    tiles = spatial._tiled(houses, geo.bbox_of(F.col("ring")), spatial.CELL_DEG, spatial.FINEST_LEVEL)
+    assert near.count() * 3 < tiles.count()
+
+
 def test_boundary_points_are_outside_and_areas_are_right(spark):
     ring = F.array(*[F.struct(F.lit(x).alias("x"), F.lit(y).alias("y")) for x, y in RING])
     edges = geo.edges_of(ring)
