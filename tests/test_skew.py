@@ -185,3 +185,13 @@ def test_block_keys_meet_by_shuffle(spark):
     plan = near._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
     assert near.count() == sum(bin(a ^ b).count("1") <= 6 for a in range(20) for b in range(a))
+
+
+def test_cells_are_judged_without_moving_outlines_for_their_levels(spark):
+    """Levels need one pass over the rings; the rows of a building's cells carry no outline."""
+    from placeproof.operators import spatial
+    from tests.helpers import buildings
+    sized, whole, _ = spatial._by_cell(buildings(spark), spatial.CELL_DEG)
+    assert "Repartition" not in sized._jdf.queryExecution().optimizedPlan().toString()
+    above = whole._jdf.queryExecution().optimizedPlan().toString().split("Generate explode")[0]
+    assert "edges" not in above and "zip_with" not in above
