@@ -4,7 +4,9 @@ import unicodedata
 
 import math
 import random
+from difflib import SequenceMatcher
 
+import pandas as pd
 from helpers import RING
 from pyspark.sql import functions as F
 
@@ -184,3 +186,19 @@ def test_shapes_of_any_size_take_few_cells(spark):
     assert sorted(map(tuple, found)) == sorted([*((s, 7) for s in spots), (1, 8)])
     empty = spatial.within_bbox(points, boxes.limit(0), pad_m=0.0)
     assert empty.count() == 0
+
+
+def test_words_that_share_few_letters_need_no_ratio(monkeypatch):
+    def never(*_):
+        raise AssertionError("compared")
+    asked, offered = [["cold", "plate"], ["stone"], []], [["ring", "bolts"], ["stone"], ["x"]]
+    monkeypatch.setattr(text, "SequenceMatcher", never)
+    assert list(text._found_words_udf.func(pd.Series(asked), pd.Series(offered))) == [0, 1, 0]
+
+
+def test_letter_bound_never_hides_a_near_equal_word():
+    draw = random.Random(5)
+    words = ["".join(draw.choices("aabcé", k=draw.randint(1, 7))) for _ in range(20000)]
+    pairs = [(a, b) for a, b in zip(words, words[1:]) if a != b]
+    got = text._found_words_udf.func(pd.Series([[a] for a, _ in pairs]), pd.Series([[b] for _, b in pairs]))
+    assert list(got) == [int(SequenceMatcher(None, a, b).ratio() >= text.MIN_TOKEN_RATIO) for a, b in pairs]
