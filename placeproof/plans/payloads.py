@@ -209,10 +209,12 @@ def join_outlines(spark, sf_dir):
     payloads = parts.selectExpr(
         "p_partkey % 25 AS profile_id", "p_partkey AS seq", f"to_json({RELATION}) AS payload", "p_size * 1e-2 AS x0")
     rows = maps.campus_elements(maps.read_elements(payloads)).withColumn("edges", F.flatten(F.transform("parts", geo.edges_of)))
-    at = payloads.select(F.col("seq").alias("element_id"), "x0")
-    return rows.join(at, "element_id").select(
+    measured = rows.select(
         "element_id", F.size("parts").alias("parts"), F.round(geo.planar_area(F.col("edges")) * 1e6, 3).alias("area"),
-        F.round(geo.bbox_of(F.col("ring"))["w"], 6).alias("largest_w"),
+        F.round(geo.bbox_of(F.col("ring"))["w"], 6).alias("largest_w"), "edges")
+    at = payloads.select(F.col("seq").alias("element_id"), "x0")
+    return measured.join(at, "element_id").select(
+        "element_id", "parts", "area", "largest_w",
         geo.contains(F.col("edges"), F.col("x0") + 2.5e-4, F.lit(1.00025)).alias("holds_first"),
         geo.contains(F.col("edges"), F.col("x0") + 6e-3, F.lit(1.001)).alias("holds_second"))
 

@@ -46,9 +46,11 @@ def read_elements(payloads: DataFrame) -> DataFrame:
     parts = F.when(F.col("e.type") == "way", F.array_compact(F.array(_ring(F.col("e.geometry"))))).otherwise(F.col("joined"))
     drawn = joined.select(
         "profile_id", "seq", F.col("e.type").alias("kind"), F.col("e.id").alias("element"), F.col("e.tags").alias("tags"), parts.alias("p"))
-    # Generated rather than filtered, so that the optimizer doesn't compute the rings once to test and once to return them.
-    return drawn.select(
-        "profile_id", "seq", "kind", "element", "tags", F.explode(F.when(F.size("p") > 0, F.array("p"))).alias("parts"))
+    # Generated rather than filtered, so that the optimizer doesn't compute the rings once to test and once to return them. The number
+    # goes with them: a join by it tests it for null, and that test would parse all payloads once more, before they are dealt out.
+    some = drawn.select("profile_id", "seq", "kind", "tags", F.explode(F.when(F.size("p") > 0, F.array(
+        F.struct("element", F.col("p").alias("parts"))))).alias("g"))
+    return some.select("profile_id", "seq", "kind", F.col("g.element").alias("element"), "tags", F.col("g.parts").alias("parts"))
 
 
 def number(value: Column) -> Column:

@@ -187,3 +187,10 @@ def test_elements_are_dealt_out_before_their_ways_are_joined(spark, tmp_path):
     found = payloads.join_outlines(spark, str(tmp_path))
     assert "REPARTITION_BY_NUM" in found._jdf.queryExecution().executedPlan().toString()
     assert found.count() == sum(i % 4 != 0 or i % 3 == 0 for i in range(40))
+
+
+def test_payloads_are_parsed_once_after_they_are_dealt_out(spark, tmp_path):
+    """No test for null ids that parses them in the few tasks of the scan."""
+    spark.range(40).selectExpr("id AS p_partkey", "CAST(id % 50 AS INT) AS p_size", "'name' AS p_name").write.parquet(f"{tmp_path}/part.parquet")
+    plan = payloads.join_outlines(spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("from_json(") == 1
