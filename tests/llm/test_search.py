@@ -121,3 +121,23 @@ def test_search_finds_the_exact_best(spark):
         assert [x[1:] for x in sorted(got.get(query, []))] == brute(docs, query, 7)
     assert 800 not in got and 900 not in got
     assert wand.top_k(df.limit(0), F.col("doc_id") % 100 == 0).collect() == []
+
+
+def test_queries_are_copied_once_a_shard_and_shards_grow(spark, monkeypatch):
+    """The work of copying queries doesn't grow with queries times rows; several groups of queries and tiles give the same hits."""
+    rng = random.Random(8)
+    words = [f"w{i}" for i in range(300)]
+    rows = [(i, " ".join(rng.choices(words[:rng.choice([10, 300])], k=rng.choice([3, 30, 90])))) for i in range(800)]
+    rows += [(i + 800, t) for i, t in rows[:100]] + [(3, "w1 w2 again"), (3, rows[3][1])]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    monkeypatch.setattr(wand, "SHARDS", 3)
+    for name, value in (("ASKED_WORDS", 400), ("TILE", 100), ("TILE_WORDS", 2000), ("BLOCK", 64), ("BATCH", 4), ("PASS", 2)):
+        monkeypatch.setattr(wand, name, value)
+    found = wand.top_k(df, F.col("doc_id") % 50 == 3, k=6, shard_docs=10)
+    shards = re.findall(r"sequence\(0, (\d+)", found._jdf.queryExecution().logical().toString())
+    assert "2" in shards and "90" not in shards
+    got = {}
+    for r in found.collect():
+        got.setdefault(r.query_id, []).append((r.rank, -round(r.score, 9), r.doc_id))
+    for query in {d for d, _ in rows if d % 50 == 3}:
+        assert [x[1:] for x in sorted(got[query])] == brute(rows, query, 6)
